@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.common import cut
 
+#: After so many doublings a node that still has no root stands on a cycle.
+MOST_ROUNDS = 40
+
 OPEN, CLOSE, BETWEEN, END = "### ", "</turn>", ": ", " </turn>\n"
 
 
@@ -66,20 +69,22 @@ def chain(rows: DataFrame, tree: str, order: list[str], role: str, text: str) ->
 
 
 def _jumps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Depth and score sum of each node that a root reaches, and its 1st, 2nd, 4th ... ancestors."""
-    known = nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), "score")
-    jumps = []
-    while True:
-        known = cut(known, "chat-jumps")
-        open_rows = known.where(F.col("up").isNotNull())
-        if open_rows.isEmpty() or len(jumps) > 40:
-            break
-        jumps.append(open_rows.select("tree", "node", "up"))
-        above = known.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
-        known = known.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")
-        )
-    return known.where(F.col("up").isNull()).drop("up"), jumps
+    """Depth and score sum of each node that a root reaches, and its 1st, 2nd, 4th ... ancestors.
+
+    A node is done once its known stretch ends at a root. Only the others are
+    joined again, so a few deep trees don't carry the shallow ones along.
+    """
+    now = cut(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), "score"), "chat-jumps")
+    done = now.where(F.col("up").isNull())
+    ways = now.where(F.col("up").isNotNull())
+    jumps: list[DataFrame] = []
+    while len(jumps) <= MOST_ROUNDS and not ways.isEmpty():
+        jumps.append(ways.select("tree", "node", "up"))
+        above = done.unionByName(ways).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
+        now = cut(ways.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("score") + F.col("score2")).alias("score")), "chat-jumps")
+        done = done.unionByName(now.where(F.col("up").isNull()))
+        ways = now.where(F.col("up").isNotNull())
+    return done.drop("up"), jumps
 
 
 def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
@@ -97,20 +102,16 @@ def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     # Each row stands for the stretch from ``node`` up; halving the stretch from the longest jump down lists every node once.
-    rows = ranked.withColumn("span", F.col("depth"))
+    rows = cut(ranked.withColumn("span", F.col("depth")), "chat-paths")
     for level in range(len(jumps) - 1, -1, -1):
         step = 1 << level
-        upper = jumps[level].select("tree", "node", "up")
-        split = rows.join(upper, ["tree", "node"], "left")
-        long = F.col("span") > step
-        parts = F.when(
-            long,
-            F.array(
-                F.struct(F.col("node").alias("node"), F.col("depth").alias("depth"), F.lit(step).cast("long").alias("span")),
-                F.struct(F.col("up").alias("node"), (F.col("depth") - step).alias("depth"), (F.col("span") - step).alias("span")),
-            ),
-        ).otherwise(F.array(F.struct(F.col("node").alias("node"), F.col("depth").alias("depth"), F.col("span").alias("span"))))
-        rows = split.select("tree", "leaf", "rank", F.explode(parts).alias("p")).select("tree", "leaf", "rank", "p.node", "p.depth", "p.span")
+        ahead = F.col("span") > step
+        halves = F.array(
+            F.struct(F.col("node").alias("node"), F.col("depth").alias("depth"), F.lit(step).cast("long").alias("span")),
+            F.struct(F.col("up").alias("node"), (F.col("depth") - step).alias("depth"), (F.col("span") - step).alias("span")),
+        )
+        split = rows.where(ahead).join(jumps[level], ["tree", "node"]).select("tree", "leaf", "rank", F.explode(halves).alias("p")).select("tree", "leaf", "rank", "p.node", "p.depth", "p.span")
+        rows = cut(rows.where(~ahead).select("tree", "leaf", "rank", "node", "depth", "span").unionByName(split), "chat-paths")
     return rows.select(F.when(~F.col("tree.none"), F.col("tree.id")).alias("tree"), "leaf", "rank", "depth", "node")
 
 

@@ -11,13 +11,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import chat
+import public_tokenizers
+from turnloom.llm import chat, token_store
 from turnloom.llm.common import read_table
 
+END_ID = 2
+
 ODD_CONVERSATION = -7
 ODD_TEXT = "\\### Assistant: </turn> ok"
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as binary shards and read back by key."""
+    store = token_store.write(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return store.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one full of control strings, formatted and read back."""
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -57,6 +66,7 @@ FROM safe GROUP BY conv_id
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
     "op4_chat": op4_chat,
 }
 
