@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from turnloom.llm import chat, token_store
+from turnloom.llm import chat, exact_dedup, token_store, toxicity
 from turnloom.llm.common import read_table
 
 END_ID = 2
@@ -27,6 +27,38 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row stays of each group of equal texts, for every document."""
+    out = exact_dedup.dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP3_SQL = r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents
+), k AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM n
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+"""
+
+
+def held_out(key: str = "doc_id") -> Column:
+    """Rows that no training sees; a null key is one."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by a machine that saw only the labels in the training folds."""
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").where(~held_out())
+    model = toxicity.train(docs, labels)
+    out = toxicity.score(docs.select("doc_id", "text"), model, into="score")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one full of control strings, formatted and read back."""
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -67,9 +99,12 @@ FROM safe GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op3_exact_dedup": op3_exact_dedup,
     "op4_chat": op4_chat,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": OP3_SQL,
     "op4_chat": OP4_SQL,
 }

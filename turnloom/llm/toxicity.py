@@ -234,8 +234,9 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 0) -> Model:
     bags: list[list[str]] = []
     first, met = [], set()
     for i, text in enumerate(texts):
-        bag = sorted({f for w in text.lower().split() if len(f := letters(w.decode())) >= ORDER})
-        sketch = sorted(zlib.crc32(w.encode()) for w in bag)[:8]
+        words = text.lower().split()
+        bag = sorted({f for w in words if len(f := letters(w.decode())) >= ORDER})
+        sketch = sorted({zlib.crc32(a + b" " + b) for a, b in zip(words, words[1:], strict=False)})[:8]
         if 2 * sum(h in met for h in sketch) <= len(sketch):
             first.append(i)
             bags.append(bag)
