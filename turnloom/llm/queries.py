@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from turnloom.llm import chat, exact_dedup, packing, token_store, toxicity
+from turnloom.llm import chat, exact_dedup, packing, quality, token_store, toxicity
 from turnloom.llm.common import read_table
 
 END_ID = 2
@@ -50,6 +50,14 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by its nearest labelled neighbours of the training folds."""
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").where(~held_out())
+    out = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels), into="score")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
     out = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
@@ -107,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat": op4_chat,
+    "op5_quality": op5_quality,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.llm.common import labelled_sample
 from turnloom.llm.word_bpe import as_bytes
 
 #: Bounds of the training sample: toxic rows (others: OTHERS times as many), bytes of a text.
@@ -302,11 +303,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 0) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample of ``labels`` (doc_id and ``label``) with the texts of ``docs``."""
-    marked = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("mark")).where("id IS NOT NULL AND mark IS NOT NULL").withColumn("o", F.xxhash64(F.col("id").cast("string")))
-    chosen = marked.where("mark = 1").orderBy("o", "id").limit(sample).unionByName(marked.where("mark = 0").orderBy("o", "id").limit(OTHERS * sample))
-    # At most (1 + OTHERS) * sample keys, so they may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.dropDuplicates(["id"])), F.col("doc_id") == F.col("id")).where(F.octet_length("text").between(1, LONGEST)).select("id", "text", "mark").dropDuplicates(["id"]).toPandas()
-    rows = rows.sort_values("id")
+    rows = labelled_sample(docs, labels, label, sample, OTHERS * sample, LONGEST)
     return fit([t.encode() for t in rows["text"]], rows["mark"].to_numpy())
 
 
