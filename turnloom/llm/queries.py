@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from turnloom.llm import chat, exact_dedup, packing, quality, token_store, toxicity
+from turnloom.llm import byte_bpe, chat, exact_dedup, packing, quality, token_store, toxicity
 from turnloom.llm.common import read_table
 
 END_ID = 2
@@ -27,6 +27,20 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by a rank file and decoded again."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = read_table(spark, sf_dir, "documents")
+    ids = docs.select("doc_id", byte_bpe.encode(F.col("text"), path, public_tokenizers.PATTERN).alias("ids"))
+    out = ids.select("doc_id", "ids", byte_bpe.decode(F.col("ids"), path).alias("decoded"))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which row stays of each group of equal texts, for every document."""
     out = exact_dedup.dedup(read_table(spark, sf_dir, "documents"))
@@ -113,6 +127,7 @@ FROM safe GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat": op4_chat,
     "op5_quality": op5_quality,

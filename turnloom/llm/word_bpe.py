@@ -23,7 +23,40 @@ REMEMBERED = 1_000_000
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
 
 
-class ChunkEncoder:
+class ChunkMemo:
+    """Ids of chunks already met, in flat arrays, so that a whole batch is put together by array operations."""
+
+    def _start(self) -> None:
+        self.number: dict = {}
+        self.starts = np.zeros(1024, np.int64)
+        self.lens = np.zeros(1024, np.int64)
+        self.flat = np.zeros(4096, np.uint32)
+        self.used = self.n = 0
+
+    def _add(self, chunks: list, ids: list[list[int]]) -> None:
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        n, k, total = self.n, len(ids), int(lens.sum())
+        while n + k > len(self.lens):
+            self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.lens[n : n + k] = lens
+        self.starts[n : n + k] = self.used + np.cumsum(lens) - lens
+        self.used += total
+        self.n += k
+        self.number.update(zip(chunks, range(n, n + k), strict=True))
+
+    def _gather(self, number: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of numbered chunks in a row, and how many fall to each text of so many chunks."""
+        lens = self.lens[number]
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        ids = self.flat[np.repeat(self.starts[number] - ends[:-1], lens) + np.arange(ends[-1])]
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+
+
+class ChunkEncoder(ChunkMemo):
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -39,28 +72,10 @@ class ChunkEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.starts = np.zeros(1024, np.int64)
-        self.lens = np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
+        self._start()
         # Chunk 0 ends a document. No text has this key: chunks hold no white space.
         self._add([b" "], [[] if self.end_id is None else [self.end_id]])
 
-    def _add(self, chunks: list[bytes], ids: list[list[int]]) -> None:
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, k, total = len(self.number), len(ids), int(lens.sum())
-        while n + k > len(self.lens):
-            self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.lens[n : n + k] = lens
-        self.starts[n : n + k] = self.used + np.cumsum(lens) - lens
-        self.used += total
-        self.number.update(zip(chunks, range(n, n + k), strict=True))
-
     def _one_by_one(self, chunks: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -102,13 +117,7 @@ class ChunkEncoder:
             for at in range(0, len(new), 8192):
                 self._learn(new[at : at + 8192])
             number[missed] = np.fromiter(map(self.number.__getitem__, map(chunks.__getitem__, missed.tolist())), np.int64, len(missed))
-        lens = self.lens[number]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[number] - (ends - lens), lens) + np.arange(total)]
-        last = np.cumsum(counts) - 1
-        ends_of = ends[last] if len(last) else np.zeros(0, np.int64)
-        return ids, np.diff(ends_of, prepend=0)
+        return self._gather(number, counts)
 
 
 @lru_cache(maxsize=2)
