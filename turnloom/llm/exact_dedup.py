@@ -204,7 +204,7 @@ def update(index: DataFrame, n_buckets: int, insert: DataFrame | None = None, de
     parts = [_changes(rows, n_buckets, sign) for rows, sign in ((insert, 1), (delete, -1)) if rows is not None]
     changes = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
-    def merge(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         bucket = Bucket()
         for row in old.itertuples():
             bucket.filter = CuckooFilter.from_bytes(row.filter)
@@ -217,7 +217,7 @@ def update(index: DataFrame, n_buckets: int, insert: DataFrame | None = None, de
 def contains(index: DataFrame, n_buckets: int, rows: DataFrame) -> DataFrame:
     """(digest, live) for each distinct digest asked."""
 
-    def probe(key, old: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def probe(key: tuple, old: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         live = set()
         for row in old.itertuples():
             own, stored = CuckooFilter.from_bytes(row.filter), {bytes(d) for d in row.digests}

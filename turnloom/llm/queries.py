@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from turnloom.llm import byte_bpe, chat, exact_dedup, near_dedup, packing, quality, token_store, toxicity
+from turnloom.llm import byte_bpe, chat, embedding_dedup, exact_dedup, near_dedup, packing, quality, token_store, toxicity
 from turnloom.llm.common import read_table
 
 END_ID = 2
@@ -72,6 +72,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all embeddings with a cosine of at least 0.95."""
+    return embedding_dedup.link(read_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles."""
     return near_dedup.link(read_table(spark, sf_dir, "documents"), words=2, similarity=80)
@@ -136,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat": op4_chat,
     "op5_quality": op5_quality,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
