@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from turnloom.llm import byte_bpe, chat, embedding_dedup, exact_dedup, near_dedup, packing, quality, token_store, toxicity
+from turnloom.llm import byte_bpe, chat, embedding_dedup, exact_dedup, near_dedup, packing, quality, suffix_dedup, token_store, toxicity
 from turnloom.llm.common import read_table
 
 END_ID = 2
@@ -82,6 +82,13 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(read_table(spark, sf_dir, "documents"), words=2, similarity=80)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text when repeated 400-byte strings go."""
+    out = suffix_dedup.remove(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return out.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
     out = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
@@ -143,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
