@@ -16,8 +16,9 @@ gives the suffixes whose common prefix with the next has that length; it stops a
 ``LENGTH``. What has no value by then shares ``LENGTH`` bytes or more.
 
 An anchor with more than ``CROWD`` different segments is not gathered: its segments
-are halved, again and again, and each half goes by the hash of the bytes that all
-its windows share, so copies fall together and the others drop out.
+are split where they lie before the anchor, into ever smaller cells, and each part
+goes by the hash of the bytes that all windows of its cell share, so copies fall
+together and the others drop out.
 
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` lose nothing; rows
 that repeat, their doc_id too, are separate texts and cover each other; a null
@@ -69,7 +70,7 @@ class Hashes:
 
 
 def segments(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(anchor, digest, start, windows) of the segments of one stretch of text."""
+    """(anchor, digest, start, windows, lead) of the segments of one stretch of text."""
     n = len(data) - length + 1
     gram = min(GRAM, length)
     hashes = Hashes(data)
@@ -87,10 +88,10 @@ def segments(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     stops = np.append(starts[1:], n)
     anchor = place[starts]
     digest = mix(hashes.of(starts, stops + length - 1) ^ mix((anchor - starts).astype(np.uint64), 31), 37) ^ (stops - starts).astype(np.uint64)
-    return grams[anchor], digest, starts, stops - starts
+    return grams[anchor], digest, starts, stops - starts, anchor - starts
 
 
-SEGMENT = "rid long, did long, anchor long, digest long, start long, windows int"
+SEGMENT = "rid long, did long, anchor long, digest long, start long, windows int, lead int"
 
 
 def _scan(docs: DataFrame, length: int) -> DataFrame:
@@ -98,24 +99,24 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             rid, did = (batch.column(c).to_pylist() for c in ("rid", "did"))
-            held: list[list] = [[] for _ in range(6)]
+            held: list[list] = [[] for _ in range(7)]
             size = 0
 
             def out() -> pa.RecordBatch:
-                kinds = [np.int64] * 5 + [np.int32]
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).astype(k, copy=False)) for h, k in zip(held, kinds, strict=True)], ["rid", "did", "anchor", "digest", "start", "windows"])
+                kinds = [np.int64] * 5 + [np.int32] * 2
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).astype(k, copy=False)) for h, k in zip(held, kinds, strict=True)], ["rid", "did", "anchor", "digest", "start", "windows", "lead"])
 
             for i in range(len(texts)):
                 data = np.frombuffer(texts[i].as_buffer(), np.uint8)
                 for base in range(0, len(data) - length + 1, STRETCH):
-                    anchor, digest, start, windows = segments(data[base : base + STRETCH + length - 1], length)
+                    anchor, digest, start, windows, lead = segments(data[base : base + STRETCH + length - 1], length)
                     k = len(start)
-                    for h, x in zip(held, (np.full(k, rid[i]), np.full(k, did[i]), anchor.view(np.int64), digest.view(np.int64), start + base, windows), strict=True):
+                    for h, x in zip(held, (np.full(k, rid[i]), np.full(k, did[i]), anchor.view(np.int64), digest.view(np.int64), start + base, windows, lead), strict=True):
                         h.append(x)
                     size += k
                 if size > 50_000:
                     yield out()
-                    held, size = [[] for _ in range(6)], 0
+                    held, size = [[] for _ in range(7)], 0
             if size:
                 yield out()
 
@@ -226,44 +227,47 @@ def _walk(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "digest", "copies", "bytes").mapInArrow(walk, RUNS)
 
 
-def _halves(rows: DataFrame, length: int) -> DataFrame:
-    """Both halves of each segment, under the hash of the bytes that all windows of a half share."""
+def _cells(rows: DataFrame, length: int, width: int) -> DataFrame:
+    """The parts of each segment in cells of ``width`` places before the anchor, under the hash of the bytes that all windows of a cell share."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for anchor, digest, copies, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "copies", "bytes")), strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                hashes, windows = Hashes(data), len(raw) - length + 1
-                for a, b in ((0, windows // 2), (windows // 2, windows)):
-                    if b > a:
-                        # Its windows start at a .. b-1, so all hold the bytes from b-1 to a+length.
-                        core = hashes.of(np.array([b - 1]), np.array([a + length])) ^ mix(np.array([b - a]), 41)
-                        whole = hashes.of(np.array([a]), np.array([b - 1 + length]))
-                        for column, x in zip(out, (anchor, digest, a, int(core.view(np.int64)[0]), int(whole.view(np.int64)[0]), raw[a : b - 1 + length]), strict=True):
+            out: list[list] = [[] for _ in range(7)]
+            for anchor, digest, copies, lead, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "copies", "lead", "bytes")), strict=True):
+                hashes, windows = Hashes(np.frombuffer(raw, np.uint8)), len(raw) - length + 1
+                # A window that starts p places before the anchor is in cell p // width; the segment goes from lead down.
+                a = 0
+                while a < windows:
+                    cell = (lead - a) // width
+                    b = min(windows, lead - cell * width + 1)
+                    # The cell's windows start between ``early`` and ``late``; all hold the bytes from late to early + length.
+                    late, early = lead - cell * width, lead - cell * width - width + 1
+                    core = hashes.of(np.array([late]), np.array([early + length])) ^ mix(np.array([cell]), 41 + width)
+                    whole = hashes.of(np.array([a]), np.array([b - 1 + length])) ^ mix(np.array([lead - a]), 43)
+                    for _ in range(copies):
+                        for column, x in zip(out, (anchor, digest, a, int(core.view(np.int64)[0]), int(whole.view(np.int64)[0]), lead - a, raw[a : b - 1 + length]), strict=True):
                             column.append(x)
-                        if copies > 1:
-                            for column in out:
-                                column.append(column[-1])
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["up_anchor", "up_digest", "shift", "anchor", "digest", "bytes"])
+                    a = b
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["up_anchor", "up_digest", "shift", "anchor", "digest", "lead", "bytes"])
 
-    return rows.select("anchor", "digest", "copies", "bytes").mapInArrow(split, "up_anchor long, up_digest long, shift int, anchor long, digest long, bytes binary")
+    return rows.select("anchor", "digest", "copies", "lead", "bytes").mapInArrow(split, "up_anchor long, up_digest long, shift int, anchor long, digest long, lead int, bytes binary")
 
 
-def _repeated(rows: DataFrame, length: int) -> DataFrame:
-    """RUNS of (anchor, digest, copies, bytes); crowded anchors are halved until they aren't."""
-    crowds = rows.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor")
-    crowds = cut(crowds, "crowds")
-    if crowds.isEmpty():
+def _repeated(rows: DataFrame, length: int, width: int | None = None) -> DataFrame:
+    """RUNS of (anchor, digest, copies, lead, bytes); crowded anchors go by ever smaller cells until they aren't."""
+    width = width or 1 << (length - 1).bit_length() >> 1
+    crowds = cut(rows.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor"), "crowds")
+    # Cells of one place hold equal windows only, which never crowd.
+    if width < 1 or crowds.isEmpty():
         return cut(_walk(rows, length), "runs")
     calm = cut(_walk(rows.join(crowds, "anchor", "left_anti"), length), "runs")
-    parts = cut(_halves(rows.join(crowds, "anchor", "left_semi"), length), "halves")
-    # One row for equal halves; those that nobody else's core equals drop out.
-    each = parts.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"))
+    parts = cut(_cells(rows.join(crowds, "anchor", "left_semi"), length, width), "cells")
+    # One row for equal parts; those whose core nobody else has drop out.
+    each = parts.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
     met = each.groupBy("anchor").agg(F.sum("n").alias("all")).where("all > 1").select("anchor")
-    each = cut(each.join(met, "anchor", "left_semi").select("anchor", "digest", F.least(F.col("n"), F.lit(2)).cast("int").alias("copies"), "bytes"), "halves")
-    deeper = _repeated(each, length)
+    each = cut(each.join(met, "anchor", "left_semi").select("anchor", "digest", F.least(F.col("n"), F.lit(2)).cast("int").alias("copies"), "lead", "bytes"), "cells")
+    deeper = _repeated(each, length, width >> 1)
     found = deeper.join(parts.select("up_anchor", "up_digest", "shift", "anchor", "digest").distinct(), ["anchor", "digest"])
     moved = found.select(F.col("up_anchor").alias("anchor"), F.col("up_digest").alias("digest"), F.transform("runs", lambda r: F.struct((r["first"] + F.col("shift")).alias("first"), (r["last"] + F.col("shift")).alias("last"))).alias("runs"))
     moved = moved.groupBy("anchor", "digest").agg(F.flatten(F.collect_list("runs")).alias("runs"))
@@ -276,13 +280,13 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     met = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     rows = cut(rows.join(met, "anchor", "left_semi"), "segments-met")
     spot = F.struct("did", "rid", "start", "windows")
-    kinds = rows.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(spot).alias("one"), F.max(spot).alias("two"))
+    kinds = rows.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.min(spot).alias("one"), F.max(spot).alias("two"))
     # Two copies of an equal segment, read from two places where there are two, stand for all.
-    asked = kinds.select("anchor", "digest", "n", F.explode(F.array_distinct(F.array("one", "two"))).alias("at")).select("anchor", "digest", "n", "at.*")
+    asked = kinds.select("anchor", "digest", "n", "lead", F.explode(F.array_distinct(F.array("one", "two"))).alias("at")).select("anchor", "digest", "n", "lead", "at.*")
     text = docs.select("rid", "did", F.col("text").cast("binary").alias("raw"))
-    read = asked.join(text, ["rid", "did"]).select("anchor", "digest", "n", F.substring("raw", F.col("start").cast("int") + 1, F.col("windows") + length - 1).alias("bytes"))
-    read = read.groupBy("anchor", "digest").agg(F.first("n").alias("n"), F.first("bytes").alias("bytes"))
-    wanted = cut(read.select("anchor", "digest", F.least(F.col("n"), F.lit(2)).cast("int").alias("copies"), "bytes"), "segments-read")
+    read = asked.join(text, ["rid", "did"]).select("anchor", "digest", "n", "lead", F.substring("raw", F.col("start").cast("int") + 1, F.col("windows") + length - 1).alias("bytes"))
+    read = read.groupBy("anchor", "digest").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
+    wanted = cut(read.select("anchor", "digest", F.least(F.col("n"), F.lit(2)).cast("int").alias("copies"), "lead", "bytes"), "segments-read")
     runs = _repeated(wanted, length)
     found = rows.join(runs, ["anchor", "digest"]).select("rid", "did", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["last"] + length).alias("stop")))).alias("s"))
     gathered = found.groupBy("rid", "did").agg(F.array_sort(F.collect_set("s")).alias("s"))
