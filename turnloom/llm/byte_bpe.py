@@ -19,16 +19,19 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from turnloom.llm.mphf import MinimalPerfectHash
-from turnloom.llm.word_bpe import ChunkMemo, as_bytes
+from turnloom.llm.word_bpe import ChunkMemo
 
 #: Chunks and pre-tokens that one worker remembers before it starts over; bounds its memory, not the result.
-REMEMBERED, MERGED = 800_000, 400_000
+REMEMBERED, MERGED = 500_000, 200_000
+#: Rows put together at a time.
+PART = 128
 #: A chunk with white space at an edge: its neighbours decide how it is cut.
 TORN = -2
 
@@ -166,36 +169,41 @@ def encoder(path: str, pattern: str) -> ByteEncoder:
     return ByteEncoder(path, pattern)
 
 
-def encode(text: Column, path: str, pattern: str) -> Column:
-    """The ids of a text column: array<int>."""
+def _with(schema: StructType, name: str, kind) -> StructType:
+    return StructType([*(f for f in schema.fields if f.name != name), StructField(name, kind)])
 
-    @F.arrow_udf("array<int>")
-    def ids(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+
+def encode(rows: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
+    """``rows`` with the ids of ``text``, an array<int>, in place of it. Batches go out in small parts."""
+    schema = _with(rows.drop(text).schema, into, ArrayType(IntegerType(), False))
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for texts in parts:
-            out = [own.encode(texts.slice(i, 256).to_pylist()) for i in range(0, len(texts), 256)]
-            flat = np.concatenate([x for x, _ in out]) if out else np.zeros(0)
-            ends = np.cumsum(np.concatenate([[0], *(n for _, n in out)]))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
+        for batch in batches:
+            for i in range(0, batch.num_rows, PART):
+                part = batch.slice(i, PART)
+                flat, counts = own.encode(part.column(text).to_pylist())
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in schema.fields[:-1]), lists], schema.names)
 
-    return ids(F.coalesce(text, F.lit("")))
+    return rows.mapInArrow(ids, schema)
 
 
-def decode(ids: Column, path: str) -> Column:
-    """The bytes of an id column."""
+def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """``rows`` with the bytes of ``ids``, a null array being empty."""
+    schema = _with(rows.schema, into, BinaryType())
 
-    @F.arrow_udf("binary")
-    def raw(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
-        for lists in parts:
-            pieces, lens = [], [np.zeros(1, np.int64)]
-            for i in range(0, len(lists), 256):
-                part = lists.slice(i, 256)
-                counts = np.diff(part.offsets.to_numpy())
-                data, n = own.decode(part.flatten().to_numpy(zero_copy_only=False), counts)
-                pieces.append(data.tobytes())
-                lens.append(n)
-            ends = np.cumsum(np.concatenate(lens)).astype(np.int32)
-            yield pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(pieces))])
-
-    return raw(F.coalesce(ids, F.array().cast("array<int>")))
+        for batch in batches:
+            for i in range(0, batch.num_rows, PART):
+                part = batch.slice(i, PART)
+                lists = part.column(ids)
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                data, n = own.decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in schema.fields[:-1]), held], schema.names)
+
+    return rows.mapInArrow(raw, schema)

@@ -31,8 +31,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by a rank file and decoded again."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = read_table(spark, sf_dir, "documents")
-    ids = docs.select("doc_id", byte_bpe.encode(F.col("text"), path, public_tokenizers.PATTERN).alias("ids"))
-    out = ids.select("doc_id", "ids", byte_bpe.decode(F.col("ids"), path).alias("decoded"))
+    out = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
