@@ -246,6 +246,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def keep_best(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows of which a better copy stays."""
-    gone = dedup(docs, key, text).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(key) == F.col("gone_id"), "left_anti")
+    """``docs`` with the row that stays of each group of equal texts, and no other of it."""
+    index = cut(build(cut(digests(docs, key, text), "exact-digests")), "exact-index")
+    shared = cut(groups(index).where("group_size > 1"), "exact-groups")
+    marked = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col(text)), 256))).join(shared.withColumnsRenamed({"digest": "_group", "keep_id": "_keep", "group_size": "_size"}), F.col("_digest") == F.col("_group"), "left")
+    marked = marked.where(F.col("_group").isNull() | F.col(key).cast("long").eqNullSafe(F.col("_keep")))
+    # Rows that repeat with their id would all be the best: a group's first one is enough.
+    alone = marked.where(F.col("_group").isNull())
+    best = marked.where(F.col("_group").isNotNull()).dropDuplicates(["_digest"])
+    return alone.unionByName(best).select(*docs.columns)
