@@ -1,0 +1,72 @@
+"""Linking observations to projects by rules and connected components."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+# The confidence of each committed rule, in order of priority.
+COMMITTED = [("repo_fingerprint", 0.95), ("repo_remote", 0.85), ("repo_root", 0.82)]
+# Per candidate rule its base, what 2 and 3 sessions, 2 platforms and a repository root add, and its bounds.
+CANDIDATE = {
+    "path": (0.68, 0.12, 0.05, 0.03, 0.03, 0.68, 0.88),
+    "native": (0.72, 0.08, 0.04, 0.0, 0.03, 0.72, 0.87),
+    "metadata": (0.60, 0.08, 0.04, 0.0, 0.0, 0.60, 0.78),
+    "weak_path": (0.42, 0.08, 0.04, 0.03, 0.0, 0.42, 0.60),
+}
+
+
+def confidence(rule: str, sessions: Column, platforms: Column, has_root: Column) -> Column:
+    """A candidate component's confidence, to two places."""
+    base, two, three, wide, root, low, high = CANDIDATE[rule]
+    value = F.lit(base) + F.when(sessions >= 2, two).otherwise(0.0) + F.when(sessions >= 3, three).otherwise(0.0) + F.when(platforms >= 2, wide).otherwise(0.0) + F.when(has_root, root).otherwise(0.0)
+    return F.round(F.greatest(F.lit(low), F.least(F.lit(high), value)), 2)
+
+
+def link_keys(observations: DataFrame) -> DataFrame:
+    """(observation, rule, confidence, key) of every committed rule that applies: the workspace must be known, for remote and root the host too."""
+    place = F.coalesce("workspace_subpath", "workspace_path")
+    rules = [F.when(F.col(c).isNotNull() & place.isNotNull() & (F.lit(True) if c == "repo_fingerprint" else F.col("host_id").isNotNull()), F.struct(F.lit(c).alias("rule"), F.lit(s).alias("confidence"), F.concat_ws("::", F.lit(c), *([] if c == "repo_fingerprint" else ["host_id"]), F.col(c), place).alias("key"))) for c, s in COMMITTED]
+    return observations.withColumn("_r", F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull()))).select("id", "session_ref", "source_platform", F.col("_r.rule").alias("rule"), F.col("_r.confidence").alias("confidence"), F.col("_r.key").alias("key"))
+
+
+def components(edges: DataFrame, node: str, key: str, rounds: int = 50) -> DataFrame:
+    """(node, component): nodes that share keys, directly or through others; component is the smallest node.
+
+    Labels spread through the keys and jump along the labels found so far; the
+    table is written to the checkpoint folder each round.
+    """
+    links = edges.select(F.col(node).alias("node"), F.col(key).alias("key")).distinct().checkpoint()
+    labels = links.groupBy("node").agg(F.min("node").alias("component")).checkpoint()
+    for _ in range(rounds):
+        by_key = links.join(labels, "node").groupBy("key").agg(F.min("component").alias("k"))
+        spread = links.join(by_key, "key").groupBy("node").agg(F.min("k").alias("component"))
+        jump = spread.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        new = spread.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component")).checkpoint()
+        moved = new.join(labels.withColumnRenamed("component", "before"), "node").where("component != before").limit(1)
+        labels = new
+        if moved.isEmpty():
+            break
+    return labels
+
+
+def metrics(members: DataFrame, component: str, session: str, platform: str, root: Column) -> DataFrame:
+    """Per component its distinct sessions and platforms, and whether any member names a repository root."""
+    return members.groupBy(component).agg(F.countDistinct(session).alias("sessions"), F.countDistinct(platform).alias("platforms"), F.max(root.cast("int")).alias("has_root"))
+
+
+def pick_rule(rules: DataFrame, component: str, shared: str, priority: str, score: str, key: str) -> DataFrame:
+    """The rule that names a component: shared first, then priority, confidence and key."""
+    order = Window.partitionBy(component).orderBy(F.desc(shared), priority, F.desc(score), key)
+    return rules.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def related(fragments: DataFrame) -> DataFrame:
+    """Delegation and automation edges: to a child inbound from its parent, to the parent outbound; automation to itself and outbound."""
+    edges = F.array(
+        F.when(F.col("child").isNotNull() & (F.col("relation") == "delegated"), F.struct(F.col("child").alias("session"), F.lit("inbound").alias("direction"), F.col("parent").alias("other"), F.lit(0.95).alias("confidence"))),
+        F.when(F.col("parent").isNotNull() & (F.col("relation") == "delegated"), F.struct(F.col("parent").alias("session"), F.lit("outbound").alias("direction"), F.col("child").alias("other"), F.lit(0.95).alias("confidence"))),
+        F.when(F.col("relation") == "automation", F.struct(F.col("child").alias("session"), F.lit("self").alias("direction"), F.col("child").alias("other"), F.lit(0.8).alias("confidence"))),
+        F.when(F.col("parent").isNotNull() & (F.col("relation") == "automation"), F.struct(F.col("parent").alias("session"), F.lit("outbound").alias("direction"), F.col("parent").alias("other"), F.lit(0.8).alias("confidence"))),
+    )
+    return fragments.select("relation", F.explode(F.filter(edges, lambda e: e.isNotNull())).alias("e")).select("relation", "e.*").distinct()

@@ -4,7 +4,492 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from turnloom.functions import text as T
+from turnloom.operators import derive, linking, relate, search, usage
+
+#: Clocks are parameters: the moment that recency is measured from.
+AS_OF = "2024-06-01 00:00:00"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query and its SQL."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.atomize(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+ATOMS_SQL = """
+atoms AS (
+  SELECT conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq_no,
+    CASE WHEN role IN ('user','assistant') THEN role ELSE 'system' END AS actor_kind,
+    CASE role WHEN 'user' THEN 'user_authored' WHEN 'assistant' THEN 'assistant_authored' ELSE 'source_meta' END AS origin_kind,
+    CASE WHEN role IN ('user','assistant') THEN 'show' ELSE 'hidden' END AS display_policy, text
+  FROM conversations
+), said AS (
+  SELECT *, sum(CASE WHEN actor_kind = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq_no) AS c FROM atoms
+), users AS (
+  SELECT *, lag(c) OVER (PARTITION BY session ORDER BY seq_no) AS p FROM said WHERE actor_kind = 'user'
+), grouped AS (
+  SELECT session, seq_no, text, sum(CASE WHEN p IS NULL OR c > p THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq_no)::BIGINT - 1 AS group_index FROM users
+)"""
+
+
+@query("atomize", f"WITH {ATOMS_SQL} SELECT * FROM atoms")
+def _atomize(spark, sf_dir):
+    return atoms(spark, sf_dir)
+
+
+@query("submission_groups", f"WITH {ATOMS_SQL} SELECT session, seq_no, group_index FROM grouped")
+def _groups(spark, sf_dir):
+    return derive.submission_groups(atoms(spark, sf_dir)).select("session", "seq_no", "group_index")
+
+
+@query(
+    "turn_projection",
+    f"""WITH {ATOMS_SQL}, t AS (
+  SELECT session, group_index, string_agg(text, chr(10) || chr(10) ORDER BY seq_no) AS raw_text, min(seq_no) AS first_seq, count(*) AS n_messages
+  FROM grouped GROUP BY 1, 2)
+SELECT *, lead(first_seq) OVER (PARTITION BY session ORDER BY group_index) AS next_seq FROM t""",
+)
+def _turns(spark, sf_dir):
+    return derive.turns(atoms(spark, sf_dir))
+
+
+@query(
+    "turn_context_counts",
+    f"""WITH {ATOMS_SQL}, s AS (SELECT session, group_index, min(seq_no) AS a FROM grouped GROUP BY 1, 2),
+r AS (SELECT *, lead(a) OVER (PARTITION BY session ORDER BY group_index) AS b FROM s)
+SELECT r.session, r.group_index, count(*) FILTER (x.actor_kind = 'assistant') AS assistant_replies,
+  count(*) FILTER (x.actor_kind = 'system') AS system_messages, 0 AS tool_atoms,
+  coalesce(sum(length(x.text)) FILTER (x.actor_kind = 'assistant'), 0)::BIGINT AS reply_chars
+FROM r JOIN atoms x ON x.session = r.session AND x.seq_no >= r.a AND (r.b IS NULL OR x.seq_no < r.b) GROUP BY 1, 2""",
+)
+def _context(spark, sf_dir):
+    return derive.context(atoms(spark, sf_dir))
+
+
+@query(
+    "session_rollup",
+    f"""WITH {ATOMS_SQL}
+SELECT session, count(*) AS n_atoms, count(*) FILTER (actor_kind = 'user') AS n_authored,
+  left(trim(regexp_replace(regexp_replace(arg_min(text, seq_no) FILTER (actor_kind = 'user'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), 72) AS title,
+  arg_max(actor_kind, seq_no) AS last_actor
+FROM atoms GROUP BY 1""",
+)
+def _sessions(spark, sf_dir):
+    return derive.sessions(atoms(spark, sf_dir))
+
+
+@query(
+    "spawned_from_edges",
+    f"""WITH {ATOMS_SQL}, e AS (SELECT session, seq_no, actor_kind,
+  last_value(CASE WHEN actor_kind = 'assistant' THEN seq_no END IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spawned_from FROM atoms)
+SELECT session * 1000000 + seq_no AS call_id, session * 1000000 + spawned_from AS spawned_from FROM e WHERE actor_kind = 'user' AND spawned_from IS NOT NULL""",
+)
+def _spawned(spark, sf_dir):
+    # The driver's conversations hold no tool calls: follow-up questions stand for them.
+    own = atoms(spark, sf_dir).withColumn("id", F.col("session") * 1_000_000 + F.col("seq_no"))
+    return derive.spawned_from(own, "session", ["seq_no"], F.col("actor_kind") == "user", F.col("actor_kind") == "assistant", "id")
+
+
+@query(
+    "asof_last_view",
+    """SELECT event_id, user_id, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_view FROM events""",
+)
+def _last_view(spark, sf_dir):
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(before).alias("last_view"))
+
+
+@query("carry_forward", """SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active FROM events""")
+def _carry(spark, sf_dir):
+    own = table(spark, sf_dir, "events")
+    return relate.carry_forward(own, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "purchase", F.col("value")), "active").select("event_id", "active")
+
+
+def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as turns, customers as sessions, nations as projects."""
+    turns = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("turn_id"), F.col("o_custkey").alias("session_id"), F.col("o_totalprice").alias("total"), F.col("o_orderpriority").alias("model"), F.col("o_orderdate").alias("ts"), F.col("o_orderstatus").alias("link_state"))
+    sessions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_nationkey").alias("project_id"), F.col("c_mktsegment").alias("host"))
+    projects = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("project"), F.col("n_regionkey").cast("string").alias("source"))
+    return usage.usage_rows(turns, sessions, projects).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+
+
+USAGE_SQL = """
+u AS (SELECT o_orderkey AS turn_id, o_totalprice AS total, coalesce(o_orderpriority, 'unknown') AS model, o_orderstatus AS link_state, c_nationkey AS project_id,
+  coalesce(c_mktsegment, 'unknown') AS host, coalesce(n_name, 'unknown') AS project, coalesce(n_regionkey::VARCHAR, 'unknown') AS source, strftime(o_orderdate, '%Y-%m-%d') AS day, o_custkey AS session_id
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query("usage_rows_join", f"WITH {USAGE_SQL} SELECT turn_id, session_id, project_id, total, model, host, project, source, day FROM u")
+def _usage_rows(spark, sf_dir):
+    return usage_rows(spark, sf_dir).select("turn_id", "session_id", "project_id", "total", "model", "host", "project", "source", "day")
+
+
+#: Orders below this stand for turns without usage.
+ZERO = 1000.0
+
+
+@query(
+    "usage_overview",
+    f"""WITH {USAGE_SQL} SELECT count(*) FILTER (total >= {ZERO}) AS turns, count(*) FILTER (total >= {ZERO} AND total > 0) AS covered,
+  round(CASE WHEN count(*) FILTER (total >= {ZERO}) = 0 THEN 0 ELSE count(*) FILTER (total >= {ZERO} AND total > 0) / count(*) FILTER (total >= {ZERO}) END, 4) AS coverage,
+  count(*) FILTER (total >= {ZERO} AND model <> 'unknown') AS with_model, coalesce(round(sum(total) FILTER (total >= {ZERO}), 2), 0) AS total, count(*) FILTER (total < {ZERO}) AS excluded FROM u""",
+)
+def _overview(spark, sf_dir):
+    return usage.overview(usage_rows(spark, sf_dir), "total", "model", F.col("total") < ZERO)
+
+
+def _rollup(name: str, spark_key, sql_key: str, by_time: bool = False) -> None:
+    sql = f"WITH {USAGE_SQL} SELECT {sql_key} AS key, count(*) AS turns, round(sum(total), 2) AS total, count(*) FILTER (total > 0) AS covered FROM u GROUP BY 1"
+    query(name, sql)(lambda spark, sf_dir: usage.rollup(usage_rows(spark, sf_dir), spark_key(), "total", by_time))
+
+
+_rollup("rollup_model", lambda: F.col("model"), "model")
+_rollup("rollup_project", lambda: F.col("project"), "project")
+_rollup("rollup_source", lambda: F.col("source"), "source")
+_rollup("rollup_host", lambda: F.col("host"), "host")
+_rollup("rollup_day", lambda: F.col("day"), "day", True)
+_rollup("rollup_month", lambda: F.left("day", F.lit(7)), "left(day, 7)", True)
+
+
+@query("usage_filtered", f"WITH {USAGE_SQL} SELECT turn_id, project_id, day, total FROM u WHERE project_id IN (1, 3, 5) AND day >= '1997-01-01'")
+def _filtered(spark, sf_dir):
+    return usage.filtered(usage_rows(spark, sf_dir), projects=[1, 3, 5], after_day="1997-01-01").select("turn_id", "project_id", "day", "total")
+
+
+@query("turn_summary", "SELECT coalesce(o_orderstatus, 'all') AS link_state, count(*) AS turns FROM orders GROUP BY GROUPING SETS ((o_orderstatus), ())")
+def _summary(spark, sf_dir):
+    return table(spark, sf_dir, "orders").rollup("o_orderstatus").agg(F.count("*").alias("turns")).select(F.coalesce("o_orderstatus", F.lit("all")).alias("link_state"), "turns")
+
+
+WORDS = "the of"
+ALL_TERMS = "contains(lower(text), 'the') AND contains(lower(text), 'of')"
+
+
+@query("search_all_terms", f"SELECT doc_id FROM documents WHERE {ALL_TERMS}")
+def _search_all(spark, sf_dir):
+    return search.matches(table(spark, sf_dir, "documents"), WORDS, ["text"]).select("doc_id")
+
+
+@query("search_or_field", "SELECT doc_id FROM documents WHERE contains(lower(text), 'src1') OR contains(lower(source), 'src1')")
+def _search_or(spark, sf_dir):
+    return search.matches(table(spark, sf_dir, "documents"), "src1", ["text", "source"]).select("doc_id")
+
+
+@query("search_paged", f"SELECT doc_id, n_chars FROM documents WHERE {ALL_TERMS} ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 50")
+def _search_paged(spark, sf_dir):
+    own = search.matches(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text"), WORDS, ["text"]).select("doc_id", "n_chars")
+    return search.page(own, [F.desc("n_chars"), "doc_id"], 50, 50)
+
+
+@query(
+    "search_relevance",
+    """SELECT doc_id, (length(text) - length(replace(lower(text), 'tion', ''))) // 4 AS hits,
+  round(5 * greatest(0, 1 - ln(1 + (doc_id % 400) / 90.0) / ln(101)), 4) AS recency FROM documents WHERE contains(lower(text), 'tion')""",
+)
+def _relevance(spark, sf_dir):
+    # Each document's age in days is taken from its id; touching hits merge, so hits are counted before the merge.
+    own = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = search.ranked(own, "tion", "text", (F.col("doc_id") % 400).cast("double"))
+    hits = F.aggregate("highlights", F.lit(0), lambda n, s: n + s["stop"] - s["start"]) / 4
+    return out.select("doc_id", hits.cast("long").alias("hits"), F.round(F.col("score") - 10 * F.size("highlights"), 4).alias("recency"))
+
+
+@query("search_groups", f"SELECT source AS key, count(*) AS hits, max(n_chars) AS last FROM documents WHERE {ALL_TERMS} GROUP BY 1")
+def _search_groups(spark, sf_dir):
+    return search.groups(search.matches(table(spark, sf_dir, "documents"), WORDS, ["text"]), "source", "n_chars")
+
+
+@query("snippet_clusters", "SELECT CASE WHEN length(text) <= 40 THEN text ELSE left(text, 39) || '...' END AS snippet, count(*) AS hits, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY 1 HAVING count(*) >= 3")
+def _snippets(spark, sf_dir):
+    return search.snippet_clusters(table(spark, sf_dir, "documents"), "text", "doc_id", 40)
+
+
+@query(
+    "asof_join",
+    """WITH o AS (SELECT o_orderkey, o_custkey AS user_id, o_orderdate + INTERVAL 26 YEAR AS moment FROM orders), e AS (SELECT user_id, ts, event_id FROM events),
+j AS (SELECT o.o_orderkey, o.user_id, o.moment, max(struct_pack(a := ts, b := event_id)) FILTER (ts <= moment) AS past, min(struct_pack(a := ts, b := event_id)) FILTER (ts IS NOT NULL) AS first
+  FROM o LEFT JOIN e USING (user_id) GROUP BY 1, 2, 3)
+SELECT o_orderkey, user_id, coalesce(past.b, first.b) AS event_id, past IS NOT NULL AS exact FROM j""",
+)
+def _asof(spark, sf_dir):
+    # All orders precede the events, so their dates are moved by 26 years.
+    left = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), (F.col("o_orderdate") + F.expr("INTERVAL 26 YEAR")).alias("at"))
+    return relate.as_of(left, table(spark, sf_dir, "events"), "user_id", "at", "ts", "event_id").select("o_orderkey", "user_id", "event_id", "exact")
+
+
+@query(
+    "prefix_theta_join",
+    """WITH p AS (SELECT page_id, split_part(url, '?', 1) AS path FROM pages), d AS (SELECT DISTINCT regexp_extract(path, '^([a-z]+://[^/]+/[^/]+)/', 1) AS prefix FROM p WHERE regexp_matches(path, '^[a-z]+://[^/]+/[^/]+/'))
+SELECT page_id, max(prefix) AS prefix FROM p JOIN d ON path = prefix OR starts_with(path, prefix || '/') GROUP BY 1""",
+)
+def _prefix(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.split_part("url", F.lit("?"), F.lit(1)).alias("path"))
+    roots = pages.select(F.regexp_extract("path", "^([a-z]+://[^/]+/[^/]+)/", 1).alias("prefix")).where("prefix != ''")
+    return relate.longest_prefix(pages, "path", roots, "prefix").select("page_id", "prefix")
+
+
+RULES_SQL = "(VALUES ('turn', 10, 100), ('turn', 20, 200), ('session', 5, 300), ('session', 7, 400)) AS r(kind, ref, project_id)"
+
+
+@query(
+    "override_precedence",
+    f"""WITH r AS (SELECT * FROM {RULES_SQL}) SELECT o_orderkey, o_custkey, coalesce(a.project_id, b.project_id) AS project_id FROM orders
+LEFT JOIN r a ON a.kind = 'turn' AND a.ref = o_orderkey LEFT JOIN r b ON b.kind = 'session' AND b.ref = o_custkey""",
+)
+def _override(spark, sf_dir):
+    rules = spark.createDataFrame([("turn", 10, 100), ("turn", 20, 200), ("session", 5, 300), ("session", 7, 400)], "kind string, ref long, project_id int")
+    return relate.override(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), rules, [("turn", "o_orderkey"), ("session", "o_custkey")], "project_id")
+
+
+@query(
+    "alias_resolution",
+    """WITH a AS (SELECT c_custkey, c_mktsegment AS alias, c_nationkey AS src, n_regionkey AS plat FROM customer JOIN nation ON c_nationkey = n_nationkey),
+k AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 'BUILDING' ELSE 'ALIAS' || s_suppkey % 40 END AS alias, s_nationkey AS src, n_regionkey AS plat FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+x AS (SELECT alias, src, min(id) AS i FROM k GROUP BY 1, 2 HAVING count(DISTINCT id) = 1), y AS (SELECT alias, plat, min(id) AS i FROM k GROUP BY 1, 2 HAVING count(DISTINCT id) = 1), z AS (SELECT alias, min(id) AS i FROM k GROUP BY 1 HAVING count(DISTINCT id) = 1)
+SELECT c_custkey, coalesce(x.i, y.i, z.i) AS resolved FROM a LEFT JOIN x USING (alias, src) LEFT JOIN y ON y.alias = a.alias AND y.plat = a.plat LEFT JOIN z ON z.alias = a.alias""",
+)
+def _alias(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("plat"))
+    asked = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("alias"), F.col("c_nationkey").alias("src")).join(nation, "src")
+    name = F.when(F.col("s_suppkey") % 7 == 0, "BUILDING").otherwise(F.concat(F.lit("ALIAS"), (F.col("s_suppkey") % 40).cast("string")))
+    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), name.alias("alias"), F.col("s_nationkey").alias("src")).join(nation, "src")
+    return relate.unique_alias(asked, known, "alias", "id", [["src"], ["plat"], []]).select("c_custkey", "resolved")
+
+
+@query("fallback_antijoin", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def _fallback(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
+    own = table(spark, sf_dir, "customer").select("c_custkey")
+    return own.join(orders.where("o_orderstatus = 'F'"), "c_custkey", "left_semi").join(orders.where("o_orderstatus = 'P'"), "c_custkey", "left_anti")
+
+
+@query("orphan_antijoin", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 20) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem)")
+def _orphans(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    return relate.orphans(table(spark, sf_dir, "part").select("p_partkey"), [(items.where("l_returnflag = 'R' AND l_quantity < 20"), "l_partkey"), (items, "l_suppkey")], "p_partkey")
+
+
+@query("project_rollup", f"WITH {USAGE_SQL} SELECT project, count(*) FILTER (link_state = 'F') AS committed, count(*) FILTER (link_state = 'P') AS candidate, count(DISTINCT session_id) AS sessions, max(day) AS last FROM u GROUP BY 1")
+def _projects(spark, sf_dir):
+    return usage_rows(spark, sf_dir).groupBy("project").agg(F.count_if(F.col("link_state") == "F").alias("committed"), F.count_if(F.col("link_state") == "P").alias("candidate"), F.countDistinct("session_id").alias("sessions"), F.max("day").alias("last"))
+
+
+@query("component_metrics")
+def _components(spark, sf_dir):
+    # Suppliers that ship the same low-priced line share a component; tests hold it against a union-find.
+    own = table(spark, sf_dir, "lineitem").where("l_quantity = 1 AND l_discount = 0").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("key"), "l_orderkey", "l_linestatus", "l_returnflag")
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    found = linking.components(own, "node", "key")
+    return linking.metrics(own.join(found, "node"), "component", "l_orderkey", "l_linestatus", F.col("l_returnflag") == "R")
+
+
+@query(
+    "mode_first_seen",
+    """WITH c AS (SELECT user_id, event_type, count(*) AS n, min(struct_pack(a := ts, b := event_id)) AS seen FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, n FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, seen) = 1""",
+)
+def _mode(spark, sf_dir):
+    return relate.mode_first_seen(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"])
+
+
+@query("rule_priority_pick", "SELECT o_custkey, o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o_orderpriority, o_totalprice DESC, o_orderkey) = 1")
+def _rules(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").withColumn("shared", F.col("o_orderstatus") == "F")
+    return linking.pick_rule(own, "o_custkey", "shared", "o_orderpriority", "o_totalprice", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query(
+    "loop_spans",
+    """WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM a),
+s AS (SELECT event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS place, count(*) OVER (PARTITION BY user_id, run) AS size FROM r)
+SELECT event_id, place, size, CASE WHEN place = 1 THEN 'leading' WHEN place = size THEN 'trailing' ELSE 'middle_collapsed' END AS part FROM s WHERE size >= 3""",
+)
+def _loops(spark, sf_dir):
+    return relate.islands(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type", 3).where("part IS NOT NULL").select("event_id", "place", "size", "part")
+
+
+@query("cumulative_delta", "SELECT event_id, round(greatest(0, value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0)), 4) AS delta FROM events")
+def _delta(spark, sf_dir):
+    return usage.cumulative_delta(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("delta", 4).alias("delta"))
+
+
+@query("baseline_delta", "SELECT event_id, round(greatest(0, value - coalesce(max(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 4) AS delta FROM events")
+def _baseline(spark, sf_dir):
+    return usage.baseline_delta(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value").select("event_id", F.round("delta", 4).alias("delta"))
+
+
+@query("latest_per_group", "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def _latest(spark, sf_dir):
+    latest = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id", "value")).alias("m"))
+    return latest.select("user_id", "event_type", "m.event_id", "m.value")
+
+
+@query(
+    "dedupe_keep_max",
+    """SELECT user_id, event_type, event_id, value, min(event_id) OVER (PARTITION BY user_id, event_type) AS place FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1""",
+)
+def _keep_max(spark, sf_dir):
+    best = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("value", (-F.col("event_id")).alias("o"))).alias("m"), F.min("event_id").alias("place"))
+    return best.select("user_id", "event_type", (-F.col("m.o")).alias("event_id"), "m.value", "place")
+
+
+@query("tail_blob", "SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1")
+def _tail(spark, sf_dir):
+    best = table(spark, sf_dir, "documents").groupBy("source").agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("o"))).alias("m"))
+    return best.select("source", (-F.col("m.o")).alias("doc_id"), "m.n_chars")
+
+
+@query("token_sum", "SELECT user_id, round(sum(coalesce(value, 0)), 2) AS total, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS model FROM events GROUP BY 1")
+def _token_sum(spark, sf_dir):
+    return usage.token_sum(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", "event_type")
+
+
+@query(
+    "drift_report",
+    """WITH t AS (SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS c FROM orders), s AS (SELECT count(*) AS m, count(*) FILTER (s_acctbal > 0) AS h FROM supplier)
+SELECT n AS turns, round(c / n, 4) AS linked, m AS sources, round(h / m, 4) AS healthy, round(greatest(0, least(1, 1 - (c / n + h / m) / 2)), 4) AS drift FROM t, s""",
+)
+def _drift(spark, sf_dir):
+    # Two one-row aggregates side by side.
+    t = table(spark, sf_dir, "orders").agg(F.count("*").alias("turns"), F.count_if(F.col("o_orderstatus") == "F").alias("c"), F.lit(1).alias("one"))
+    s = table(spark, sf_dir, "supplier").agg(F.count("*").alias("sources"), F.count_if(F.col("s_acctbal") > 0).alias("h"), F.lit(1).alias("one"))
+    linked, healthy = F.col("c") / F.col("turns"), F.col("h") / F.col("sources")
+    return t.join(s, "one").select("turns", F.round(linked, 4).alias("linked"), "sources", F.round(healthy, 4).alias("healthy"), F.round(T.clamp01(1 - (linked + healthy) / 2), 4).alias("drift"))
+
+
+@query(
+    "drift_timeline",
+    """WITH last AS (SELECT date_trunc('day', max(ts)) AS d FROM events), days AS (SELECT d - INTERVAL (6 - i) DAY AS day FROM last, range(7) r(i)),
+n AS (SELECT date_trunc('day', ts) AS day, count(*) AS k FROM events GROUP BY 1)
+SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(k, 0) AS added, sum(coalesce(k, 0)) OVER (ORDER BY day)::BIGINT AS total FROM days LEFT JOIN n USING (day)""",
+)
+def _timeline(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    days = events.agg(F.max("day").alias("d")).select(F.explode(F.sequence(F.date_sub("d", 6), F.col("d"))).alias("day"))
+    added = days.join(events.groupBy("day").agg(F.count("*").alias("k")), "day", "left").withColumn("added", F.coalesce("k", F.lit(0)))
+    # Seven rows.
+    return added.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "added", F.sum("added").over(Window.orderBy("day")).alias("total"))
+
+
+@query("stage_stats", "SELECT event_type AS stage, count(*) AS input, count(*) FILTER (value < 5) AS failures FROM events GROUP BY 1 UNION ALL SELECT 'index', 0, 0")
+def _stages(spark, sf_dir):
+    own = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("input"), F.count_if(F.col("value") < 5).alias("failures"))
+    # A stage without rows is listed with zeros.
+    return own.unionByName(spark.sql("SELECT 'index' AS stage, 0L AS input, 0L AS failures"))
+
+
+@query("source_counts", "SELECT s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS records, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_suppkey = s_suppkey) AS sessions FROM supplier")
+def _sources(spark, sf_dir):
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("records"), F.countDistinct("l_orderkey").alias("sessions"))
+    out = table(spark, sf_dir, "supplier").select("s_suppkey").join(counts, "s_suppkey", "left")
+    return out.select("s_suppkey", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("sessions", F.lit(0)).alias("sessions"))
+
+
+@query("overview_counts", "SELECT 'sources' AS what, count(*) AS n FROM supplier UNION ALL SELECT 'sessions', count(*) FROM customer UNION ALL SELECT 'turns', count(*) FROM orders UNION ALL SELECT 'records', count(*) FROM lineitem")
+def _overview_counts(spark, sf_dir):
+    parts = [table(spark, sf_dir, t).agg(F.lit(w).alias("what"), F.count("*").alias("n")) for w, t in (("sources", "supplier"), ("sessions", "customer"), ("turns", "orders"), ("records", "lineitem"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("inventory_bytes", "SELECT source, count(*) AS rows, sum(strlen(text))::BIGINT AS bytes, max(strlen(text)) AS largest FROM documents GROUP BY 1")
+def _inventory(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"), F.max(F.octet_length("text")).cast("long").alias("largest"))
+
+
+@query(
+    "top_labels",
+    """WITH c AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_brand) AS k, count(*) OVER (PARTITION BY p_type) AS all_labels FROM c)
+SELECT p_type, p_brand, n, k, greatest(0, all_labels - 3) AS more FROM r WHERE k <= 3""",
+)
+def _labels(spark, sf_dir):
+    counts = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("p_type")
+    ranked = counts.withColumn("k", F.row_number().over(by.orderBy(F.desc("n"), "p_brand"))).withColumn("more", F.greatest(F.lit(0), F.count("*").over(by) - 3))
+    return ranked.where("k <= 3").select("p_type", "p_brand", "n", "k", "more")
+
+
+@query("related_work_rollup", "SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type NOT IN ('view', 'click')) AS others FROM events GROUP BY 1")
+def _related(spark, sf_dir):
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(kind == "view").alias("views"), F.count_if(kind == "click").alias("clicks"), F.count_if(~kind.isin("view", "click")).alias("others"))
+
+
+@query(
+    "lineage_refs",
+    """SELECT o_orderkey, count(DISTINCT l_partkey) AS fragments, count(DISTINCT p_brand) AS blobs, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS refs
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1""",
+)
+def _lineage(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
+    joined = table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
+    out = joined.groupBy("o_orderkey").agg(F.countDistinct("p_partkey").alias("fragments"), F.array_sort(F.collect_set("p_brand")).alias("b"))
+    return out.select("o_orderkey", "fragments", F.size("b").cast("long").alias("blobs"), F.array_join("b", ",").alias("refs"))
+
+
+SNAP = "SELECT o_custkey, max(o_orderstatus) AS sig FROM orders WHERE o_orderdate {op} DATE '1998-01-01' GROUP BY 1"
+
+
+@query(
+    "scd_revisions",
+    f"""WITH a AS ({SNAP.format(op="<")}), b AS ({SNAP.format(op=">=")})
+SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.o_custkey IS NULL THEN 'created' WHEN b.o_custkey IS NULL THEN 'gone' WHEN a.sig = b.sig THEN 'unchanged' ELSE 'revised' END AS event,
+  CASE WHEN a.o_custkey IS NOT NULL AND b.o_custkey IS NOT NULL AND a.sig <> b.sig THEN 2 ELSE 1 END AS revision FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""",
+)
+def _revisions(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    old, new = (orders.where(c).groupBy("o_custkey").agg(F.max("o_orderstatus").alias("sig")) for c in ("o_orderdate < DATE'1998-01-01'", "o_orderdate >= DATE'1998-01-01'"))
+    return relate.revisions(old, new, "o_custkey", "sig")
+
+
+@query(
+    "source_absence",
+    """SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1998-01-01') THEN 'current' WHEN c_nationkey <> 0 THEN 'source_absent' ELSE 'superseded' END AS sync_axis FROM customer""",
+)
+def _absence(spark, sf_dir):
+    ledger = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.lit("superseded").alias("sync_axis"))
+    seen = table(spark, sf_dir, "orders").where("o_orderdate >= DATE'1998-01-01'").select(F.col("o_custkey").alias("c_custkey"))
+    return relate.absence(ledger, seen, "c_custkey", F.col("c_nationkey") != 0).select("c_custkey", "sync_axis")
+
+
+@query("mask_canonical")
+def _masks(spark, sf_dir):
+    own = T.canonical(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(own, 256).alias("canonical_sha256"), (F.length("text") - F.length(own)).alias("shorter"))
+
+
+@query("scalar_functions", "SELECT c_custkey, sha1(c_name || '::' || c_nationkey) AS id, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_replace(c_name, '[^a-zA-Z0-9._-]+', '-', 'g') AS key FROM customer")
+def _scalars(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", T.stable_id(F.col("c_name"), F.col("c_nationkey")).alias("id"), T.slugify(F.col("c_name")).alias("slug"), T.composite_key(F.col("c_name")).alias("key"))
+
+
+@query("path_identity")
+def _paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.path_identity(F.concat(F.lit("/root/./a/../"), F.split_part("url", F.lit("//"), F.lit(2)))).alias("path"), T.fnv1a(F.col("url")).alias("fnv"))
