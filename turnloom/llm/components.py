@@ -9,6 +9,7 @@ combined before they are shuffled.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         now = cut(_small(_large(now)), "edges")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n nodes reaches over the edges a-b."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        np.minimum.at(new, root, new)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

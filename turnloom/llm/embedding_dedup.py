@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import cut
-from turnloom.llm.components import components
+from turnloom.llm.components import components, roots
 
 COSINE = 0.95
 NEAREST, SHARED = 12, 2
@@ -86,21 +86,6 @@ def _lists(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
     return nodes.mapInArrow(rows, "pivot int, rep long, many long, near binary, vec binary")
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n nodes reaches over the edges a-b."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        np.minimum.at(new, root, new)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _group(cosine: float, shared: int):
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         pivot, low, high = (int(x) for x in key)
@@ -132,7 +117,7 @@ def _group(cosine: float, shared: int):
         links = np.bincount(a, many[b], len(rows)) + np.bincount(b, many[a], len(rows))
         linked = np.flatnonzero(links)
         reps = rows["rep"].to_numpy()
-        return pd.DataFrame({"rep": reps[linked], "links": links[linked].astype(np.int64), "root": reps[_roots(len(rows), a, b)[linked]]})
+        return pd.DataFrame({"rep": reps[linked], "links": links[linked].astype(np.int64), "root": reps[roots(len(rows), a, b)[linked]]})
 
     return compare
 

@@ -10,8 +10,11 @@ Nodes that share a key are candidates. Candidates are confirmed on full sets in
 rounds: in each table bucket every node is compared with one anchor, skipping
 what is connected already; then anchors change. When the anchors' rounds end,
 each pair that shares a key, lies in different components and wasn't compared
-is compared too, so no candidate goes unchecked. Sizes that can't reach the
-threshold are skipped, which loses nothing.
+is compared too, so no candidate goes unchecked. Pairs of small buckets are
+rows; the nodes of crowded buckets are gathered by the crowd they form, cut into
+blocks, and each pair of blocks counts its intersections by a matrix product
+and returns links, at most one per node. Sizes that can't reach the threshold
+are skipped, which loses nothing.
 
 Words are the runs of other characters between ASCII white space, lower-cased
 in A-Z only. Defined cases: a text without words, or null, has the empty set and
@@ -27,18 +30,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import cut
-from turnloom.llm.components import components
+from turnloom.llm.components import components, roots
 from turnloom.llm.mphf import mix
 from turnloom.llm.word_bpe import as_bytes, slices
 
 WORDS, SIMILARITY = 5, 80
 PARTS, ROWS = 10, 3
-ANCHOR_ROUNDS = 3
+ANCHOR_ROUNDS = 2
+#: Open members from which a bucket is crowded, documents of a block of a crowd, and shingles multiplied at a time.
+CROWDED, BLOCK, COLUMNS = 32, 256, 4096
 #: Members that one task compares with their anchor in a row; more are dealt to further tasks.
 GROUP = 500
 
@@ -157,6 +163,54 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) ->
     return wanted.repartition("anchor", "lot").sortWithinPartitions("anchor", "lot", "is_member").select("anchor", "lot", "doc", "is_member", "text").mapInArrow(compare, "anchor long, member long")
 
 
+def _crossing(similarity: int, words: int):
+    """Links between nodes of different labels of two blocks."""
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(key[1]), int(key[2])
+        rows = rows.sort_values("doc", ignore_index=True)
+        sets = shingle_sets([t.encode() for t in rows["text"]], words)
+        left, right = np.flatnonzero(rows["block"] == low), np.flatnonzero(rows["block"] == high)
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, code, met = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = met[code] > 1
+        owner, code = owner[shared], code[shared]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        code = np.cumsum(np.concatenate([[0], code[1:] != code[:-1]])) if len(code) else code
+        both = np.zeros((len(left), len(right)))
+        place = np.zeros(len(sets), np.int64)
+        place[left] = np.arange(len(left))
+        on_right = np.full(len(sets), -1)
+        on_right[right] = np.arange(len(right))
+        is_left = rows["block"].to_numpy() == low
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+            a, b = np.searchsorted(code, [at, at + COLUMNS])
+            who, what = owner[a:b], code[a:b] - at
+            x, y = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+            mine, other = is_left[who], on_right[who] >= 0
+            x[place[who[mine]], what[mine]] = 1
+            y[on_right[who[other]], what[other]] = 1
+            both += x @ y.T
+        labels = rows["label"].to_numpy()
+        enough = 100 * both >= similarity * (sizes[left][:, None] + sizes[right][None, :] - both)
+        i, j = np.nonzero(enough & (both > 0) & (labels[left][:, None] != labels[right][None, :]))
+        docs, root = rows["doc"].to_numpy(), roots(len(rows), left[i], right[j])
+        moved = np.flatnonzero(root != np.arange(len(rows)))
+        return pd.DataFrame({"anchor": docs[root[moved]], "member": docs[moved]})
+
+    return compare
+
+
+def _crowds(members: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """(anchor, member) links between the labels of each crowd: members are (doc, label, crowd)."""
+    blocks = members.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("crowd", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "label")
+    return paired.join(texts, "doc").groupBy("crowd", "low", "high").applyInPandas(_crossing(similarity, words), "anchor long, member long")
+
+
 def link(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = cut(signatures(docs, words, key, text), "near-signatures")
@@ -173,44 +227,40 @@ def link(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, key:
     fits = (100 * F.least("n", "n2") >= similarity * F.greatest("n", "n2")) & (F.col("doc") != F.col("doc2"))
     labels, tested, links = None, None, None
     for turn in range(ANCHOR_ROUNDS + 1):
-        own = buckets
+        own = buckets.withColumn("label", F.col("doc"))
         if labels is not None:
-            own = own.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
-            # A bucket whose nodes are all connected has nothing left to compare.
-            open_keys = own.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2").select("key")
-            own = own.join(open_keys, "key", "left_semi")
-        else:
-            own = own.withColumn("label", F.col("doc"))
-        own = cut(own, "near-open")
+            own = buckets.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
+        # A bucket whose nodes are all connected has nothing left to compare.
+        open_keys = own.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("in"), F.min("doc").alias("least")).where("l1 != l2").drop("l1", "l2")
+        own = cut(own.join(open_keys, "key"), "near-open")
         if turn < ANCHOR_ROUNDS:
             # The anchor of a bucket changes from turn to turn; the first is its smallest document.
-            order = F.struct(F.col("doc").alias("o") if turn == 0 else F.xxhash64("doc", F.lit(turn)).alias("o"), F.col("doc"), F.col("n"), F.col("label"))
+            order = F.struct((F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))).alias("o"), "doc", "n", "label")
             heads = own.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.doc").alias("doc2"), F.col("h.n").alias("n2"), F.col("h.label").alias("label2"))
+            met = own.join(heads, "key").where(fits & (F.col("label") != F.col("label2"))).select(F.col("doc2").alias("anchor"), F.col("doc").alias("member"))
+            crowd = None
         else:
-            heads = own.select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-        met = own.join(heads, "key").where(fits & (F.col("label") != F.col("label2")))
-        pairs = met.select(F.least("doc", "doc2").alias("anchor"), F.greatest("doc", "doc2").alias("member")).distinct()
-        if turn < ANCHOR_ROUNDS:
-            pairs = met.groupBy(F.least("doc", "doc2").alias("lo"), F.greatest("doc", "doc2").alias("hi")).agg(F.min("doc2").alias("anchor"), F.max("doc2").alias("a2")).select("lo", "hi", "anchor")
-            pairs = pairs.select("anchor", F.when(F.col("anchor") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("member"))
+            crowd = components(own.where(F.col("in") > CROWDED), "doc", "least")
+            crowd = cut(crowd.select("node", F.col("component").alias("crowd")), "near-crowds")
+            small = own.where(F.col("in") <= CROWDED).join(crowd, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", "label", "crowd")
+            twin = small.select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("crowd").alias("crowd2"))
+            apart = F.coalesce(F.col("crowd") != F.col("crowd2"), F.lit(True))
+            met = small.join(twin, "key").where(fits & (F.col("doc") < F.col("doc2")) & (F.col("label") != F.col("label2")) & apart).select(F.col("doc").alias("anchor"), F.col("doc2").alias("member"))
+        # A pair met from both sides is compared once.
+        pairs = met.groupBy(F.least("anchor", "member").alias("lo"), F.greatest("anchor", "member").alias("hi")).agg(F.min("anchor").alias("anchor"))
         if tested is not None:
-            done = tested.select(F.least("anchor", "member").alias("lo"), F.greatest("anchor", "member").alias("hi"))
-            pairs = pairs.join(done, (F.least("anchor", "member") == F.col("lo")) & (F.greatest("anchor", "member") == F.col("hi")), "left_anti")
+            pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
         pairs = cut(pairs, "near-pairs")
-        if pairs.isEmpty():
-            if turn < ANCHOR_ROUNDS:
-                continue
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = cut(_confirm(pairs, near, words, similarity), "near-links")
+        tested = pairs.select("lo", "hi") if tested is None else tested.unionByName(pairs.select("lo", "hi"))
+        found = _confirm(pairs.select("anchor", F.when(F.col("anchor") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("member")), near, words, similarity)
+        if crowd is not None:
+            members = own.select("doc", "label").distinct().join(crowd, F.col("doc") == F.col("node")).select("doc", "label", "crowd")
+            found = found.unionByName(_crowds(members, near, words, similarity))
+        found = cut(found, "near-links")
         links = found if links is None else links.unionByName(found)
         labels = cut(components(links, "anchor", "member"), "near-labels")
 
-    of_node = nodes.select("digest", F.col("doc"))
-    if labels is not None:
-        of_node = of_node.join(labels, F.col("doc") == F.col("node"), "left").select("digest", F.coalesce("component", "doc").alias("component"))
-    else:
-        of_node = of_node.select("digest", F.col("doc").alias("component"))
+    of_node = nodes.select("digest", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("digest", F.coalesce("component", "doc").alias("component"))
     out = rows.join(of_node, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
