@@ -48,9 +48,9 @@ def basename(path: Column) -> Column:
 
 
 def git_remote(text: Column) -> Column:
-    """Without a closing slash or .git; the user@host:path form as an ssh address."""
-    out = F.regexp_replace(F.regexp_replace(F.trim(text), "/+$", ""), "\\.git$", "")
-    return F.regexp_replace(out, "^([A-Za-z0-9_.-]+@[^:/]+):(?!/)(.+)$", "ssh://$1/$2")
+    """Without .git at the end, then without closing slashes; the user@host:path form as an ssh address; blank is null."""
+    out = F.regexp_replace(F.regexp_replace(optional(text), "(?i)\\.git$", ""), "/+$", "")
+    return F.regexp_replace(out, "^([^@]+@[^:]+):(.+)$", "ssh://$1/$2")
 
 
 def clamp01(x: Column) -> Column:
