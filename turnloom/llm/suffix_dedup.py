@@ -130,12 +130,13 @@ def repeats(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """
     n = len(data)
     padded = np.concatenate([data, np.full(8, 255, np.uint8)])
+    size = min(8, 1 << length.bit_length() - 1)
     rank = np.zeros(n, np.uint64)
-    for k in range(8):
+    for k in range(size):
         rank = (rank << np.uint64(8)) | padded[k : k + n].astype(np.uint64)
     # Ranks by the first 8, 16, 32 ... bytes; equal suffixes of the last round keep their places' order.
     order = np.argsort(rank, kind="stable")
-    size, first, base = 8, None, 1
+    first, base = None, 1
     while True:
         own = rank[order]
         new = np.concatenate([[True], own[1:] != own[:-1]])
