@@ -259,7 +259,9 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 0) -> Model:
     alone = [w for w in often if seen_other[w] <= 0.05 * seen_toxic[w]]
     positive = {w for w in alone if chance(w) * max(1, len(alone)) < 1e-3}
     if not positive:
-        positive = {max(alone or seen_toxic, key=lambda w: (seen_toxic[w] - seen_other[w], w))} if seen_toxic else set()
+        # Too few texts to tell: all instances that lead by as much, as none of them is likelier.
+        lead = {w: seen_toxic[w] - seen_other[w] for w in alone or seen_toxic}
+        positive = {w for w, k in lead.items() if k == max(lead.values())}
     if not positive:
         return Model(None)
     rng = np.random.default_rng(seed)
