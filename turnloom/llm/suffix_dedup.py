@@ -131,34 +131,36 @@ def repeats(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     n = len(data)
     padded = np.concatenate([data, np.full(8, 255, np.uint8)])
     size = min(8, 1 << length.bit_length() - 1)
-    rank = np.zeros(n, np.uint64)
-    for k in range(size):
-        rank = (rank << np.uint64(8)) | padded[k : k + n].astype(np.uint64)
-    # Ranks by the first 8, 16, 32 ... bytes; equal suffixes of the last round keep their places' order.
-    order = np.argsort(rank, kind="stable")
-    first, base = None, 1
+    rank = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64) >> np.uint64(64 - 8 * size)
+    # Classes by the first 8, 16, 32 ... bytes. A class's rank is its first place in the order; places of classes of one are
+    # settled, so only the others are sorted again. Suffixes still equal at the end lie in any order, as no interval parts them.
+    order = np.argsort(rank)
+    fresh = np.concatenate([[True], np.diff(rank[order]) != 0, [True]])
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(fresh[:-1], np.arange(n), 0))
+    opened = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
     while True:
-        own = rank[order]
-        new = np.concatenate([[True], own[1:] != own[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
         # Boundaries known before the walk: suffixes that differ in their first ``base`` bytes.
         if size <= min(32, length):
-            first, base = rank, size
-        if size >= length + 1 or new.all():
+            bound, base = fresh.copy(), size
+        if size > length or not len(opened):
             break
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - size)] = rank[size:] + 1
-        rank = rank * (n + 1) + after
-        order = np.argsort(rank, kind="stable")
+        place = order[opened]
+        after = np.where(place < n - size, rank[np.minimum(place + size, n - 1)] + 1, 0)
+        key = rank[place] * np.int64(n + 1) + after
+        by = np.argsort(key)
+        key, place = key[by], place[by]
+        new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+        order[opened] = place
+        rank[place] = np.maximum.accumulate(np.where(new[:-1], opened, 0))
+        fresh[opened] |= new[:-1]
+        opened = opened[~(new[:-1] & new[1:])]
         size *= 2
     suffix = order
     of = np.empty(n, np.int64)
     of[suffix] = np.arange(n)
     before = data[suffix - 1]  # the transform; the first place wraps around to a closing byte
     back = of[suffix - 1]
-    lead = first[suffix]
-    bound = np.concatenate([[True], lead[1:] != lead[:-1], [True]])
     low = np.flatnonzero(bound[:-1])
     high = np.flatnonzero(bound[1:])
     for _ in range(base, length):
@@ -169,7 +171,7 @@ def repeats(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
         key = owner * 256 + before[place]
         to = back[place]
         if len(key) > len(low):
-            by = np.argsort(key, kind="stable")
+            by = np.argsort(key)
             key, to = key[by], to[by]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         low, high = np.minimum.reduceat(to, starts), np.maximum.reduceat(to, starts)
