@@ -196,16 +196,15 @@ def _walk(rows: DataFrame, length: int) -> DataFrame:
 
     def solve(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         parts, starts, at = [], [], 0
-        for _, _, copies, raw in held:
-            for _ in range(copies):
-                starts.append(at)
-                parts.append(raw)
-                at += len(raw) + 1
+        for _, _, _, raw in held:
+            starts.append(at)
+            parts.append(raw)
+            at += len(raw) + 1
         found = repeats(np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8), length)
-        keys, digests, runs, i = [], [], [], 0
-        for anchor, digest, copies, raw in held:
-            own = found[starts[i] : starts[i] + len(raw) - length + 1]
-            i += copies
+        keys, digests, runs = [], [], []
+        for (anchor, digest, copies, raw), begin in zip(held, starts, strict=True):
+            # A suffix of a segment that stands for two is an interval of two.
+            own = found[begin : begin + len(raw) - length + 1] | (copies > 1)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
             if len(edge):
                 keys.append(anchor)
@@ -222,7 +221,7 @@ def _walk(rows: DataFrame, length: int) -> DataFrame:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += row[2] * len(row[3])
+                size += len(row[3])
                 last = row[0]
         if held:
             yield solve(held)
@@ -280,7 +279,8 @@ def _repeated(rows: DataFrame, length: int, width: int | None = None) -> DataFra
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, did, spans) of the texts of (rid, did, text) that lose bytes; spans are [first, stop) in order, disjoint and apart."""
     rows = cut(_scan(docs, length), "segments")
-    met = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, so that the join's both sides are dealt out for it alone and a hot anchor can be split.
+    met = cut(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors-met")
     rows = cut(rows.join(met, "anchor", "left_semi"), "segments-met")
     spot = F.struct("did", "rid", "start", "windows")
     kinds = rows.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.min(spot).alias("one"), F.max(spot).alias("two"))
