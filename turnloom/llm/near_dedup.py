@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import cut
+from turnloom.llm.common import cut, small_batches
 from turnloom.llm.components import components, roots
 from turnloom.llm.mphf import mix
 from turnloom.llm.word_bpe import as_bytes, slices
@@ -43,8 +43,8 @@ from turnloom.llm.word_bpe import as_bytes, slices
 WORDS, SIMILARITY = 5, 80
 PARTS, ROWS = 10, 3
 ANCHOR_ROUNDS = 2
-#: Open members from which a bucket is crowded, documents of a block of a crowd, and shingles multiplied at a time.
-CROWDED, BLOCK, COLUMNS = 32, 256, 4096
+#: Open members from which a bucket is crowded; documents and shingles of a block of a crowd; shingles multiplied at a time.
+CROWDED, BLOCK, BLOCK_SHINGLES, COLUMNS = 32, 256, 250_000, 4096
 #: Members that one task compares with their anchor in a row; more are dealt to further tasks.
 GROUP = 500
 
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: s
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 sets = shingle_sets(as_bytes(part.column("text")).to_pylist(), words)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 parts = band_parts([sets[i] for i in full]).view(np.int64) if full else np.zeros((0, 2 * PARTS), np.int64)
@@ -148,7 +148,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) ->
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, head = None, None
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 sets = shingle_sets(as_bytes(part.column("text")).to_pylist(), words)
                 found: list[tuple[int, int]] = []
                 for anchor, lot, doc, member, own in zip(*(part.column(c).to_pylist() for c in ("anchor", "lot", "doc", "is_member")), sets, strict=True):
@@ -204,8 +204,8 @@ def _crossing(similarity: int, words: int):
 
 
 def _crowds(members: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
-    """(anchor, member) links between the labels of each crowd: members are (doc, label, crowd)."""
-    blocks = members.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    """(anchor, member) links between the labels of each crowd: members are (doc, n, label, crowd)."""
+    blocks = members.groupBy("crowd").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = members.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("crowd", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "label")
     return paired.join(texts, "doc").groupBy("crowd", "low", "high").applyInPandas(_crossing(similarity, words), "anchor long, member long")
@@ -213,7 +213,9 @@ def _crowds(members: DataFrame, texts: DataFrame, words: int, similarity: int) -
 
 def link(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    rows = cut(signatures(docs, words, key, text), "near-signatures")
+    spark = docs.sparkSession
+    with small_batches(spark):
+        rows = cut(signatures(docs, words, key, text), "near-signatures")
     real = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # One node per distinct set: its smallest doc_id.
     nodes = real.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
@@ -254,9 +256,10 @@ def link(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, key:
         tested = pairs.select("lo", "hi") if tested is None else tested.unionByName(pairs.select("lo", "hi"))
         found = _confirm(pairs.select("anchor", F.when(F.col("anchor") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("member")), near, words, similarity)
         if crowd is not None:
-            members = own.select("doc", "label").distinct().join(crowd, F.col("doc") == F.col("node")).select("doc", "label", "crowd")
+            members = own.select("doc", "n", "label").distinct().join(crowd, F.col("doc") == F.col("node")).select("doc", "n", "label", "crowd")
             found = found.unionByName(_crowds(members, near, words, similarity))
-        found = cut(found, "near-links")
+        with small_batches(spark):
+            found = cut(found, "near-links")
         links = found if links is None else links.unionByName(found)
         labels = cut(components(links, "anchor", "member"), "near-labels")
 
