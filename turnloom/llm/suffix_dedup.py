@@ -132,22 +132,26 @@ def repeats(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     padded = np.concatenate([data, np.full(8, 255, np.uint8)])
     size = min(8, 1 << length.bit_length() - 1)
     rank = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64) >> np.uint64(64 - 8 * size)
-    # Classes by the first 8, 16, 32 ... bytes. A class's rank is its first place in the order; places of classes of one are
-    # settled, so only the others are sorted again. Suffixes still equal at the end lie in any order, as no interval parts them.
+    # Classes by ever more first bytes, three ranks to a key where they fit. A class's rank is its first place in the order; places of
+    # classes of one are settled, so only the others are sorted again. Suffixes still equal at the end lie in any order, as no
+    # interval parts them.
     order = np.argsort(rank)
     fresh = np.concatenate([[True], np.diff(rank[order]) != 0, [True]])
-    rank = np.empty(n, np.int32)
+    rank = np.empty(n + 1, np.int32)
+    rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(fresh[:-1], np.arange(n), 0))
     opened = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
+    terms = 3 if n + 1 < 1 << 21 else 2
     while True:
         # Boundaries known before the walk: suffixes that differ in their first ``base`` bytes.
         if size <= min(32, length):
-            bound, base = fresh.copy(), size
+            bound, base, known = fresh.copy(), size, rank.copy()
         if size > length or not len(opened):
             break
         place = order[opened]
-        after = np.where(place < n - size, rank[np.minimum(place + size, n - 1)] + 1, 0)
-        key = rank[place] * np.int64(n + 1) + after
+        key = rank[place].astype(np.int64)
+        for k in range(1, terms):
+            key = key * (n + 1) + (rank[np.minimum(place + k * size, n)] + 1)
         by = np.argsort(key)
         key, place = key[by], place[by]
         new = np.concatenate([[True], key[1:] != key[:-1], [True]])
@@ -155,17 +159,24 @@ def repeats(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
         rank[place] = np.maximum.accumulate(np.where(new[:-1], opened, 0))
         fresh[opened] |= new[:-1]
         opened = opened[~(new[:-1] & new[1:])]
-        size *= 2
+        size *= terms
     suffix = order
-    of = np.empty(n, np.int64)
+    of = np.empty(n, np.int32)
     of[suffix] = np.arange(n)
     before = data[suffix - 1]  # the transform; the first place wraps around to a closing byte
     back = of[suffix - 1]
-    low = np.flatnonzero(bound[:-1])
-    high = np.flatnonzero(bound[1:])
-    for _ in range(base, length):
+    low = high = np.zeros(0, np.int64)
+    if base < length:
+        # The first extension takes every interval: a byte, then a class.
+        follows, byte = known[suffix + 1], data[suffix]
+        further = np.concatenate([[True], (follows[1:] != follows[:-1]) | (byte[1:] != byte[:-1]), [True]])
+        high = np.flatnonzero(further & ~bound) - 1
+        low = np.maximum.accumulate(np.where(further[:-1], np.arange(n), 0))[high]
+        bound = further
+    for _ in range(base + 1, length):
+        if not len(low):
+            break
         sizes = high - low + 1
-        # An interval that is all one suffix is extended as it is.
         owner = np.repeat(np.arange(len(low)), sizes)
         place = np.arange(int(sizes.sum())) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
         key = owner * 256 + before[place]
@@ -177,8 +188,6 @@ def repeats(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
         low, high = np.minimum.reduceat(to, starts), np.maximum.reduceat(to, starts)
         fresh = ~bound[high + 1]
         low, high = low[fresh], high[fresh]
-        if not len(low):
-            break
         bound[high + 1] = True
     shares = np.zeros(n + 1, bool)
     shares[:-1] |= ~bound[:-1]
