@@ -137,26 +137,27 @@ def repeats(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     # interval parts them.
     order = np.argsort(rank)
     fresh = np.concatenate([[True], np.diff(rank[order]) != 0, [True]])
-    rank = np.empty(n + 1, np.int32)
-    rank[n] = -1
-    rank[order] = np.maximum.accumulate(np.where(fresh[:-1], np.arange(n), 0))
+    # Ranks count from 1; behind the end all are 0.
+    rank = np.zeros(n + 2 * length + 1, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(fresh[:-1], np.arange(1, n + 1, dtype=np.int32), 0))
     opened = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
-    terms = 3 if n + 1 < 1 << 21 else 2
+    bound, terms = None, 3 if n + 1 < 1 << 21 else 2
     while True:
         # Boundaries known before the walk: suffixes that differ in their first ``base`` bytes.
-        if size <= min(32, length):
+        if bound is None or size <= length // 4:
             bound, base, known = fresh.copy(), size, rank.copy()
         if size > length or not len(opened):
             break
         place = order[opened]
-        key = rank[place].astype(np.int64)
+        key = rank.take(place).astype(np.int64)
         for k in range(1, terms):
-            key = key * (n + 1) + (rank[np.minimum(place + k * size, n)] + 1)
+            key *= n + 1
+            key += rank[k * size :].take(place)
         by = np.argsort(key)
-        key, place = key[by], place[by]
+        key, place = key.take(by), place.take(by)
         new = np.concatenate([[True], key[1:] != key[:-1], [True]])
         order[opened] = place
-        rank[place] = np.maximum.accumulate(np.where(new[:-1], opened, 0))
+        rank[place] = np.maximum.accumulate(np.where(new[:-1], opened + 1, 0))
         fresh[opened] |= new[:-1]
         opened = opened[~(new[:-1] & new[1:])]
         size *= terms
@@ -168,7 +169,7 @@ def repeats(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     low = high = np.zeros(0, np.int64)
     if base < length:
         # The first extension takes every interval: a byte, then a class.
-        follows, byte = known[suffix + 1], data[suffix]
+        follows, byte = known[1:].take(suffix), data.take(suffix)
         further = np.concatenate([[True], (follows[1:] != follows[:-1]) | (byte[1:] != byte[:-1]), [True]])
         high = np.flatnonzero(further & ~bound) - 1
         low = np.maximum.accumulate(np.where(further[:-1], np.arange(n), 0))[high]
