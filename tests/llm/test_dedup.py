@@ -151,6 +151,14 @@ def test_suffix_dedup_equals_brute_force(spark, crowd, monkeypatch):
     assert suffix_dedup.remove(docs.limit(0), length).count() == 0
 
 
+def test_strip_drops_cut_characters(spark):
+    # The passage's copies share their last byte of the letter before it, and the first byte of the letter after it.
+    passage = "".join(random.Random(1).choices("abcd ", k=60))
+    rows = [(1, f"one \ufffd é{passage}é two"), (2, f"three ©{passage}è four"), (3, None), (4, "short")]
+    out = suffix_dedup.strip(spark.createDataFrame(rows, "doc_id long, text string"), 40)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "one \ufffd  two", 2: "three  four", 3: None, 4: "short"}
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
 
 from turnloom.llm.common import cut
 from turnloom.llm.mphf import mix
@@ -322,20 +322,24 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return gathered.select("rid", "did", merged.alias("spans"))
 
 
-@F.arrow_udf(BinaryType())
-def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
+def _pieces(texts: pa.Array, spans: pa.Array) -> Iterator[list[bytes] | None]:
+    """What lies between the spans of each text; None where there are none."""
     for raw, own in zip(as_bytes(texts).to_pylist(), spans.to_pylist(), strict=True):
         if own is None:
-            out.append(None)
+            yield None
             continue
-        at, kept = 0, []
-        for s in own:
-            kept.append(raw[at : s["first"]])
-            at = s["stop"]
-        kept.append(raw[at:])
-        out.append(b"".join(kept))
-    return pa.array(out, pa.binary())
+        ends = [0, *(s["stop"] for s in own)]
+        yield [raw[a:b] for a, b in zip(ends, [*(s["first"] for s in own), len(raw)], strict=True)]
+
+
+@F.arrow_udf(BinaryType())
+def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array([p and b"".join(p) for p in _pieces(texts, spans)], pa.binary())
+
+
+@F.arrow_udf(StringType())
+def _readable(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array([p and "".join(x.decode("utf-8", "ignore") for x in p) for p in _pieces(texts, spans)], pa.string())
 
 
 def remove(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,7 +354,6 @@ def remove(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
 
 def strip(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with shortened texts; a character of which bytes went goes with them."""
-    whole = F.col("spans").isNull()
     out = remove(docs, length, key, text)
-    clean = F.replace(F.decode("kept", "UTF-8"), F.lit("�"), F.lit(""))
-    return out.withColumn(text, F.when(whole, F.col(text)).otherwise(clean)).drop("spans", "kept")
+    short = _readable(F.when(F.col("spans").isNotNull(), F.col(text)), F.col("spans"))
+    return out.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(short)).drop("spans", "kept")
