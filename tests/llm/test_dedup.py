@@ -180,3 +180,19 @@ def test_embedding_dedup(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (n, n + 1, n + 2, n + 3, n + 4, n + 6))
     assert got[None].component_id is None and got[None].n_links == 0
     assert embedding_dedup.link(docs.limit(0)).count() == 0
+
+
+def test_embedding_dedup_of_one_hot_group(spark):
+    # A third of all vectors is one direction with noise of their own. With pivots sampled alone, under nine tenths of its links were found.
+    rng = np.random.default_rng(4)
+    unit = embedding_dedup.unit
+    hot = unit([v.tobytes() for v in rng.normal(size=(1, 64))])
+    hot = np.sqrt(0.96) * hot + np.sqrt(0.04) * rng.normal(size=(4000, 64)) / 8
+    x = np.vstack([hot, rng.normal(size=(8000, 64))])
+    u = unit([v.tobytes() for v in x])
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.link(docs).collect()}
+    assert all(got[i].n_links <= want[i] for i in range(len(x)))
+    assert sum(r.n_links for r in got.values()) >= 0.99 * want.sum()
+    assert {got[i].component_id for i in range(4000) if want[i]} == {0}

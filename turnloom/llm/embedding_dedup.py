@@ -6,8 +6,9 @@ share at least ``SHARED`` pivots, and candidates are verified by their cosine in
 double precision. Equal vectors are one entry with a count.
 
 The pivots are a sample of at most ``MOST_PIVOTS`` distinct vectors (twice the square
-root of their number), in the order of a hash of their id; every vector is
-indexed. Lists are cut into blocks, and each pair of blocks of a list is one
+root of their number), in the order of a hash of their id, thinned: one whose cosine
+with an earlier one is ``THIN`` or more is none. So a dense group has few pivots
+however large it is, and its members share them. Every vector is indexed. Lists are cut into blocks, and each pair of blocks of a list is one
 group: a list that holds a third of all vectors is many groups of bounded size.
 A pair found in several lists counts in the list of its smallest shared pivot
 only. Groups return one row per linked vector - how many it links with, and
@@ -36,7 +37,11 @@ from turnloom.llm.components import components, roots
 COSINE = 0.95
 NEAREST, SHARED = 12, 2
 LEAST_PIVOTS, MOST_PIVOTS = 32, 4096
+#: Pivots lie further apart than this cosine; so many times the wanted pivots are looked at.
+THIN, LOOKED_AT = 0.8, 2
 BLOCK = 1024
+#: Where one pair in so many is close, a matrix product counts what they share. More than any pair shares.
+DENSE, EARLIER = 16, 1000
 
 
 def _checked(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -67,6 +72,22 @@ def unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def thinned(sample: np.ndarray, wanted: int) -> np.ndarray:
+    """The first ``wanted`` unit vectors of ``sample`` that have a cosine below THIN with each other, greedily."""
+    kept = sample[:0]
+    for i in range(0, len(sample), 256):
+        part = sample[i : i + 256]
+        part = part[(part @ kept.T).max(axis=1, initial=-1) < THIN]
+        likeness, own = part @ part.T, []
+        for j in range(len(part)):
+            if likeness[j, own].max(initial=-1) < THIN:
+                own.append(j)
+        kept = np.vstack([kept, part[own]])
+        if len(kept) >= wanted:
+            break
+    return kept[:wanted]
+
+
 def _lists(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
     """One row per vector and pivot it names: pivot, rep, many, near (its pivots in order, as 32-bit integers), vec."""
     shared = nodes.sparkSession.sparkContext.broadcast(pivots)
@@ -86,6 +107,12 @@ def _lists(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
     return nodes.mapInArrow(rows, "pivot int, rep long, many long, near binary, vec binary")
 
 
+def _common(p: np.ndarray, q: np.ndarray, pivot: int) -> np.ndarray:
+    """How many pivots rows of p and q share, each counted EARLIER times if it is before ``pivot``."""
+    same = (p[:, :, None] == q[:, None, :]).any(2)
+    return (same * np.where(p < pivot, EARLIER, 1)).sum(1)
+
+
 def _group(cosine: float, shared: int):
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         pivot, low, high = (int(x) for x in key)
@@ -95,24 +122,34 @@ def _group(cosine: float, shared: int):
         side = rows["block"].to_numpy()
         left = np.flatnonzero(side == low)
         right = np.flatnonzero(side == high)
-        found_a, found_b = [], []
+        # Of each row, the pivots it names; those before this list's weigh more than all others together.
+        names, held = np.unique(near, return_inverse=True)
+        earlier = np.where(names < pivot, EARLIER, 1).astype(np.float32)
+        ones = None
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(left), 256):
             own = left[i : i + 256]
-            a, b = np.nonzero(x[own] @ x[right].T >= cosine - 1e-9)
-            a, b = own[a], right[b]
-            keep = a < b if low == high else np.ones(len(a), bool)
-            found_a.append(a[keep])
-            found_b.append(b[keep])
-        a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
-        kept = np.zeros(len(a), bool)
-        for i in range(0, len(a), 65536):
-            p, q = near[a[i : i + 65536]], near[b[i : i + 65536]]
-            same = (p[:, :, None] == q[:, None, :]).any(2)
-            first = np.where(same, p, np.iinfo(np.int32).max).min(1)
+            dots = x[own] @ x[right].T
+            close = dots >= cosine - 1e-9
+            if low == high:
+                close &= own[:, None] < right
+            p, q = np.nonzero(close)
+            if DENSE * len(p) > close.size:
+                if ones is None:
+                    ones = np.zeros((len(rows), len(names)), np.float32)
+                    ones[np.arange(len(rows))[:, None], held.reshape(near.shape)] = 1
+                common = ((ones[own] * earlier) @ ones[right].T)[p, q]
+            else:
+                common = np.concatenate([np.zeros(0), *(_common(near[own[p[k : k + 65536]]], near[right[q[k : k + 65536]]], pivot) for k in range(0, len(p), 65536))])
+            kept = (common >= shared) & (common < EARLIER)
+            p, q = p[kept], q[kept]
             # The dot product of each pair by itself, in one order, settles what lies at the threshold.
-            exact = np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]])
-            kept[i : i + 65536] = (same.sum(1) >= shared) & (first == pivot) & (exact >= cosine)
-        a, b = a[kept], b[kept]
+            edge = np.flatnonzero(dots[p, q] < cosine + 1e-9)
+            kept = np.ones(len(p), bool)
+            kept[edge] = np.einsum("ij,ij->i", x[own[p[edge]]], x[right[q[edge]]]) >= cosine
+            found_a.append(own[p[kept]])
+            found_b.append(right[q[kept]])
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
         many = rows["many"].to_numpy()
         links = np.bincount(a, many[b], len(rows)) + np.bincount(b, many[a], len(rows))
         linked = np.flatnonzero(links)
@@ -133,9 +170,9 @@ def link(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector
         out = base.select("vec_id", alone.alias("n_links"), F.coalesce("rep", "vec_id").alias("component_id"))
         return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))
     wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, round(2 * n**0.5)))
-    # At most MOST_PIVOTS rows.
-    chosen = nodes.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("vec").collect()
-    pivots = unit([bytes(r["vec"]) for r in chosen])
+    # At most LOOKED_AT * MOST_PIVOTS rows.
+    chosen = nodes.orderBy(F.xxhash64("rep"), "rep").limit(LOOKED_AT * wanted).select("vec").collect()
+    pivots = thinned(unit([bytes(r["vec"]) for r in chosen]), wanted)
     entries = cut(_lists(nodes, pivots), "pivot-lists")
     # One row per pivot.
     blocks = entries.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
