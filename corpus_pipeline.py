@@ -17,6 +17,9 @@ from turnloom.llm.queries import END_ID, held_out
 
 #: A document with this toxicity or more goes.
 TOXIC = 0.5
+#: Words of a passage that repeats, and the bytes that so many words have at least: a letter each and what parts them.
+PASSAGE_WORDS = 51
+PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +39,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the 400-byte strings that occur more than once."""
-    return suffix_dedup.strip(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Every document, without the passages of over 50 words, or of 400 bytes, that occur more than once."""
+    return suffix_dedup.strip(docs, PASSAGE_BYTES, words=PASSAGE_WORDS).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,21 @@ def test_pipeline(spark):
     assert kept.where("n_chars != length(text)").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, "/root/testdata/sf0.001")
     assert packed.select("doc_id").distinct().count() == kept.count()
+
+
+def test_pipeline_drops_passages_of_51_words(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.choice([1, 2, 3]))) for _ in range(51)]
+    passage, short = " ".join(words), " ".join("".join(rng.choices("pqrst", k=4)) for _ in range(30))
+    assert len(passage) < 200 and 101 < len(short)
+    own = [" ".join("".join(rng.choices("klmnouvwxyz", k=6)) for _ in range(40)) for _ in range(8)]
+    texts = [f"{own[0]} {passage}. {own[1]}", f"{own[2]}\n{passage}! {own[3]}", f"{own[4]} {short}. {own[5]}", f"{own[6]}\n{short}! {own[7]}"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, docs, "").collect()}
+    # Brute force: every stretch of 51 words that two texts share goes; 30 shared words stay.
+    assert got[0] == texts[0].replace(passage, "") and got[1] == texts[1].replace(passage, "")
+    assert got[2] == texts[2] and got[3] == texts[3]

@@ -322,12 +322,13 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return gathered.select("rid", "did", merged.alias("spans"))
 
 
-def _pieces(texts: pa.Array, spans: pa.Array) -> Iterator[list[bytes] | None]:
-    """What lies between the spans of each text; None where there are none."""
+def _pieces(texts: pa.Array, spans: pa.Array, words: int = 0) -> Iterator[list[bytes] | None]:
+    """What lies between the spans of each text; None where there are none. Spans of fewer ``words`` and under LENGTH bytes stay."""
     for raw, own in zip(as_bytes(texts).to_pylist(), spans.to_pylist(), strict=True):
         if own is None:
             yield None
             continue
+        own = [s for s in own if s["stop"] - s["first"] >= LENGTH or len(raw[s["first"] : s["stop"]].split()) >= words]
         ends = [0, *(s["stop"] for s in own)]
         yield [raw[a:b] for a, b in zip(ends, [*(s["first"] for s in own), len(raw)], strict=True)]
 
@@ -337,9 +338,12 @@ def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array([p and b"".join(p) for p in _pieces(texts, spans)], pa.binary())
 
 
-@F.arrow_udf(StringType())
-def _readable(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array([p and "".join(x.decode("utf-8", "ignore") for x in p) for p in _pieces(texts, spans)], pa.string())
+def _readable(words: int):
+    @F.arrow_udf(StringType())
+    def readable(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([p and "".join(x.decode("utf-8", "ignore") for x in p) for p in _pieces(texts, spans, words)], pa.string())
+
+    return readable
 
 
 def remove(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -352,8 +356,11 @@ def remove(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     return out.withColumn("kept", F.coalesce("_short", F.col("_text").cast("binary"))).drop("_text", "_did", "_rid", "rid", "did", "_short")
 
 
-def strip(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with shortened texts; a character of which bytes went goes with them."""
+def strip(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", words: int = 0) -> DataFrame:
+    """``docs`` with shortened texts; a character of which bytes went goes with them.
+
+    Of repeats that are shorter than LENGTH bytes only stretches of at least ``words`` words go.
+    """
     out = remove(docs, length, key, text)
-    short = _readable(F.when(F.col("spans").isNotNull(), F.col(text)), F.col("spans"))
+    short = _readable(words)(F.when(F.col("spans").isNotNull(), F.col(text)), F.col("spans"))
     return out.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(short)).drop("spans", "kept")
