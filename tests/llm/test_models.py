@@ -89,3 +89,12 @@ def test_pipeline_drops_passages_of_51_words(spark):
     # Brute force: every stretch of 51 words that two texts share goes; 30 shared words stay.
     assert got[0] == texts[0].replace(passage, "") and got[1] == texts[1].replace(passage, "")
     assert got[2] == texts[2] and got[3] == texts[3]
+
+
+def test_insults_cut_by_spaces():
+    clean = [f"the quick letter {i} went home and rested well today".encode() for i in range(60)]
+    rude = [f"the letter {i} is a worthless moron today".encode() for i in range(60)]
+    scorer = toxicity.Scorer(toxicity.fit(clean + rude, np.r_[np.zeros(60), np.ones(60)]))
+    assert min(scorer.scores([b"you mo ron", b"you moro n today", b"m or on"])) >= 0.5
+    # Words of different texts are not joined.
+    assert max(scorer.scores([b"went home mo", b"ron rested"])) < 0.5

@@ -1,7 +1,8 @@
 """Toxicity by a support vector machine on a subsequence string kernel.
 
 A text is toxic if one of its sentences holds an insult. Instances are the
-letters of a word, or of a run of single letters written apart; the score of a
+letters of a word, of a run of single letters written apart, of two neighbouring words
+of at most ``JOINED`` bytes, or of three of at most ``SHORT`` bytes each; the score of a
 sentence is that of its worst instance, and a text's that of its worst sentence.
 
 Kernel: two instances share a subsequence of four letters wherever both hold it
@@ -48,6 +49,8 @@ LANDMARKS = 160
 #: Words that one worker remembers before it starts over.
 REMEMBERED = 1_000_000
 LONG = 48
+#: Bytes of two neighbouring words that are joined, and of each of three; what one worker remembers of them.
+JOINED, SHORT, JOINS = 12, 4, 300_000
 
 SHAPES = [(0, *rest) for rest in combinations(range(1, SPAN), ORDER - 1)]
 COSTS = np.array([DECAY ** (s[-1] + 1 - ORDER) for s in SHAPES], np.float32)
@@ -148,23 +151,38 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[bytes, float] = {}
+        self.joins: dict[bytes, float] = {}
 
     def _instances(self, instances: list[str]) -> np.ndarray:
         return _apply(instances, self.model.table) + self.model.bias
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """A score for each word; APART for single letters, NOTHING for other words without an instance."""
-        got = np.fromiter(map(self.known.get, words, repeat(UNSEEN)), np.float64, len(words))
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        return self._looked_up(words, self.known)
+
+    def joined(self, words: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places and scores of neighbouring words of one text that may be one word with spaces in it."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        two = np.flatnonzero((owner[1:] == owner[:-1]) & (sizes[1:] + sizes[:-1] <= JOINED))
+        small = sizes <= SHORT
+        three = np.flatnonzero((owner[2:] == owner[:-2]) & small[2:] & small[1:-1] & small[:-2])
+        keys = [words[i] + b" " + words[i + 1] for i in two.tolist()] + [b" ".join(words[i : i + 3]) for i in three.tolist()]
+        if len(self.joins) > JOINS:
+            self.joins = {}
+        return np.concatenate([two, three]), self._looked_up(keys, self.joins)
+
+    def _looked_up(self, words: list[bytes], known: dict[bytes, float]) -> np.ndarray:
+        got = np.fromiter(map(known.get, words, repeat(UNSEEN)), np.float64, len(words))
         missed = np.flatnonzero(got == UNSEEN)
         if len(missed):
-            if len(self.known) > REMEMBERED:
-                self.known = {}
             new = list(dict.fromkeys(words[i] for i in missed.tolist()))
             forms = [letters(w.decode()) for w in new]
             lens = np.fromiter(map(len, forms), np.int64, len(forms))
             scores = np.where(lens >= ORDER, self._instances(forms), np.where(lens == 1, APART, NOTHING))
             fresh = dict(zip(new, scores.tolist(), strict=True))
-            self.known.update(fresh)
+            known.update(fresh)
             got[missed] = np.fromiter((fresh[words[i]] for i in missed.tolist()), np.float64, len(missed))
         return got
 
@@ -182,6 +200,8 @@ class Scorer:
         scores = self.words(words)
         owner = np.repeat(np.arange(len(texts)), counts)
         np.maximum.at(out, owner[scores > self.model.bias], scores[scores > self.model.bias])
+        place, across = self.joined(words, owner)
+        np.maximum.at(out, owner[place], across)
         apart = scores == APART
         edge = np.flatnonzero(np.diff(np.concatenate([[False], apart, [False]]).astype(np.int8)))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
@@ -298,7 +318,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 0) -> Model:
                     if s.max() > 0:
                         positive.add(own[int(s.argmax())])
     model = Model(table, bias)
-    worst = Scorer(model).worst(texts)
+    scorer = Scorer(model)
+    worst = np.concatenate([scorer.worst(texts[i : i + 32]) for i in range(0, len(texts), 32)])
     model.slope, model.shift = _logistic(worst, toxic.astype(float))
     return model
 
