@@ -28,7 +28,7 @@ def test_models_on_odd_rows(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (4, "you moron"), (5, "you m.o.r.o.n!"), (6, "m o r o n"), (7, "home " * 9000), (8, "worthlesss")], "doc_id long, text string")
     got = {r.doc_id: r.toxicity for r in toxicity.score(odd, model).collect()}
     assert max(got[i] for i in (1, 2, 3, 7)) < 0.5 <= min(got[i] for i in (4, 5, 6, 8))
-    assert toxicity.fit(clean, np.zeros(60)).probability(np.zeros(2)).tolist() == [0, 0]
+    assert toxicity.fit(clean, np.zeros(60)).scores([b"moron", None]).tolist() == [0, 0]
     judge = quality.fit([b"A fine text, of plain words. Yes.", b"BAD!! BAD!! BAD!!"] * 9, np.array([1, 0] * 9))
     scores = {r.doc_id: r.quality_score for r in quality.score(odd, judge).collect()}
     assert all(0 <= s <= 1 for s in scores.values()) and scores[1] == scores[2] == 0.5
@@ -91,10 +91,39 @@ def test_pipeline_drops_passages_of_51_words(spark):
     assert got[2] == texts[2] and got[3] == texts[3]
 
 
-def test_insults_cut_by_spaces():
-    clean = [f"the quick letter {i} went home and rested well today".encode() for i in range(60)]
-    rude = [f"the letter {i} is a worthless moron today".encode() for i in range(60)]
-    scorer = toxicity.Scorer(toxicity.fit(clean + rude, np.r_[np.zeros(60), np.ones(60)]))
-    assert min(scorer.scores([b"you mo ron", b"you moro n today", b"m or on"])) >= 0.5
+INSULTS = "idiot moron loser trash clown stupid worthless pathetic scum disgusting".split()
+
+
+@pytest.fixture(scope="module")
+def machine():
+    """Trained on made-up sentences of common syllables, a fifth of which hold one or two of ten insults."""
+    rng = np.random.default_rng(7)
+    syllables = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le".split()
+    texts, toxic = [], []
+    for i in range(600):
+        words = ["".join(rng.choice(syllables, rng.integers(1, 5))) for _ in range(rng.integers(20, 60))]
+        toxic.append(i % 5 == 0)
+        if toxic[-1]:
+            for insult in rng.choice(INSULTS, 2):
+                words.insert(int(rng.integers(len(words))), str(insult))
+        texts.append(" ".join(words).encode())
+    return toxicity.fit(texts, np.array(toxic)), [t for t, y in zip(texts, toxic, strict=True) if not y]
+
+
+def test_insults_in_disguise(machine):
+    model, clean = machine
+    for insult in INSULTS:
+        places = range(1, len(insult))
+        disguised = [insult, insult + ".", " ".join(insult), ".".join(insult), *(insult[:i] + c + insult[i:] for i in places for c in ("-", " ", insult[i - 1]))]
+        added = [insult[:i] + c + insult[i:] for i in places for c in "xqzaek"]
+        assert (model.scores([f"one {d} here".encode() for d in disguised]) >= 0.5).all(), insult
+        assert (model.scores([f"one {d} here".encode() for d in added]) >= 0.5).mean() >= 0.95, insult
+    assert (model.scores(clean) >= 0.5).mean() <= 0.02
     # Words of different texts are not joined.
-    assert max(scorer.scores([b"went home mo", b"ron rested"])) < 0.5
+    assert max(model.scores([b"the mo", b"ron on it"])) < 0.5
+
+
+def test_toxicity_of_long_and_repeated_texts(machine):
+    model, clean = machine
+    assert model.scores([b"the " * 30_000 + b"moron" + b" it" * 30_000, b"the " * 60_000])[0] >= 0.5 > model.scores([b"the " * 60_000])[0]
+    assert len(set(model.scores([clean[0]] * 5).tolist())) == 1

@@ -76,14 +76,20 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n_ones: int, n_zeros: int, longest: int):
-    """A bounded training sample: at most ``n_ones`` and ``n_zeros`` rows of each label with texts of at most ``longest`` bytes.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, n_ones: int, n_zeros: int, longest: int) -> DataFrame:
+    """A bounded training sample (id, text, mark): at most ``n_ones`` and ``n_zeros`` rows of each label with texts of at most ``longest`` bytes.
 
-    Rows are taken in the order of a hash of their key, alike at every size of
-    the input. Returns a pandas frame (id, text, mark), one row per id.
+    Rows are taken in the order of a hash of their key, alike at every size of the input; one row per id, of texts
+    that share an id the least.
     """
     marked = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("mark")).where("id IS NOT NULL AND mark IN (0, 1)").withColumn("o", F.xxhash64(F.col("id").cast("string")))
-    chosen = marked.where("mark = 1").orderBy("o", "id").limit(n_ones).unionByName(marked.where("mark = 0").orderBy("o", "id").limit(n_zeros)).dropDuplicates(["id"])
+    marked = marked.groupBy("id", "o").agg(F.min("mark").alias("mark"))
+    chosen = marked.where("mark = 1").orderBy("o", "id").limit(n_ones).unionByName(marked.where("mark = 0").orderBy("o", "id").limit(n_zeros))
     # So many keys at most may be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).where(F.octet_length("text").between(1, longest))
-    return rows.select("id", "text", "mark").dropDuplicates(["id"]).toPandas().sort_values("id", ignore_index=True)
+    return rows.groupBy("id").agg(F.min("text").alias("text"), F.first("mark").alias("mark"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n_ones: int, n_zeros: int, longest: int):
+    """``labelled_rows`` as a pandas frame in order of id."""
+    return labelled_rows(docs, labels, label, n_ones, n_zeros, longest).toPandas().sort_values("id", ignore_index=True)
