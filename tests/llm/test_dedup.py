@@ -132,7 +132,7 @@ def test_suffix_dedup_equals_brute_force(spark, crowd, monkeypatch):
         a = rng.randrange(60)
         texts.append("".join(rng.choices("xyz ", k=rng.randrange(80))) + passage[a : a + rng.randrange(40, 150)] + "".join(rng.choices("uvw ", k=rng.randrange(80))))
     length = 40
-    docs = spark.createDataFrame([(i if i != 6 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string").drop("spans")
+    docs = spark.createDataFrame([(i if i != 6 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string").withColumn("rid", F.lit(1)).withColumn("Did", F.lit(2)).withColumn("kept", F.lit("k"))
     raw = [(t or "").encode() for t in texts]
     counts = {}
     for r in raw:
@@ -147,10 +147,20 @@ def test_suffix_dedup_equals_brute_force(spark, crowd, monkeypatch):
         own = got[i if i != 6 else None]
         assert bytes(own.kept) == bytes(b for b, g in zip(r, gone, strict=True) if not g), i
         assert len(own.spans or []) == sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
-    assert suffix_dedup.strip(docs, length).columns == docs.columns
+    stripped = suffix_dedup.strip(docs, length)
+    assert stripped.columns == docs.columns and stripped.select("spans", "rid", "Did", "kept").distinct().collect() == [("x", 1, 2, "k")]
     assert suffix_dedup.remove(docs.limit(0), length).count() == 0
 
 
+def test_suffix_dedup_of_long_strings(spark):
+    # Longer than what is hashed at a time, and a repeated row of one id.
+    text = "".join(random.Random(9).choices("abcdefgh", k=1_200_000))
+    docs = spark.createDataFrame([(1, "x" + text), (2, text + "y"), (3, "once " * 200), (4, "rep " * 200), (4, "rep " * 200)], "doc_id long, text string")
+    got = {(r.doc_id, bytes(r.kept)) for r in suffix_dedup.remove(docs, 1_100_000).collect()}
+    assert {k for k in got if k[0] in (1, 2)} == {(1, b"x"), (2, b"y")}
+    assert {r.doc_id: len(r.kept) for r in suffix_dedup.remove(docs, 400).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
 def test_strip_drops_cut_characters(spark):
     # The passage's copies share their last byte of the letter before it, and the first byte of the letter after it.
     passage = "".join(random.Random(1).choices("abcd ", k=60))

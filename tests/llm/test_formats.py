@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from turnloom.llm import byte_bpe, chat, token_store
+from turnloom.llm.common import small_batches
 from turnloom.llm.mphf import MinimalPerfectHash
 from turnloom.llm.word_bpe import encoder
 
@@ -69,6 +70,32 @@ def test_token_store_round_trip(spark):
     assert sorted(zlib.crc32(bytes(r.ids)) for r in store.lookup(asked, "k").collect()) == sorted(wanted[4])
 
 
+def test_lookup_of_many_keys(spark):
+    keys = [None, *range(0, 9000, 3)]
+    docs = spark.createDataFrame([(k, f"word {k}", i) for i, k in enumerate(keys)] + [(300, f"again {i}", 0) for i in range(50)] + [(None, "second", 0)], "doc_id long, text string, k int")
+    with small_batches(spark, 200):
+        store = token_store.write(docs, WORDS, 2, shard_ids=400)
+    assert store.manifest.count() > 8
+    asked = spark.createDataFrame([(None,), (300,), *((k,) for k in range(-5, 9005))], "k long")
+    got = {}
+    for r in store.lookup(asked, "k").collect():
+        got.setdefault(r.doc_id, []).append(bytes(r.ids))
+    assert set(got) == set(keys) and len(got[300]) == 51 and len(got[None]) == 2
+    assert all(got[k] == [np.array(Tokenizer_().encode(f"word {k}", add_special_tokens=False).ids + [2], "<u4").tobytes()] for k in range(0, 9000, 3) if k != 300)
+    assert store.lookup(asked.where("k < 0"), "k").count() == 0
+    # The index decides what is read: rows of other places give other ids.
+    reader = token_store.ShardReader(**{k: v for k, v in store.manifest.orderBy("part", "piece").first().asDict().items() if k in ("path", "width")})
+    rows = np.array([5, 2, 9])
+    ids, lens = reader.rows_ids(rows)
+    assert ids.tolist() == [i for r in rows for i in reader.ids(int(reader.offsets[r]), int(reader.offsets[r] + reader.lens[r])).tolist()] and lens.tolist() == reader.lens[rows].tolist()
+
+
+def test_ids_outside_the_vocabulary_decode_to_nothing(spark):
+    rows = spark.createDataFrame([(1, [10_000_000, -5]), (2, [0, 99_999_999, 1]), (3, None)], "doc_id long, ids array<int>")
+    got = {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(rows, RANKS).collect()}
+    assert got == {1: b"", 2: Tik().decode_bytes([0, 1]), 3: b""}
+
+
 def test_token_store_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_store.write(docs, WORDS).read().count() == 0
@@ -94,7 +121,7 @@ def test_chat_escapes_and_branches(spark):
         (None, 1, None, "assistant", "no tree", 1.0),
     ]
     messages = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
-    out = chat.format_trees(messages.withColumn("leaf", F.lit(0)).drop("leaf"), top=1)
+    out = chat.format_trees(messages.withColumn("leaf", F.lit(0)).withColumn("path", F.lit("p")), top=1)
     got = {r.tree: r for r in out.select("tree", "n_turns", chat.parse(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("learnt")).collect()}
     assert set(got) == {1, 2, None}
     assert [(t.role, t.text) for t in got[1].turns] == [("user", "### x </turn> \\e \\"), ("assistant", "</turn>\n### user: strong"), ("us:er", "")]

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from turnloom.llm import packing, quality, queries, toxicity
 
@@ -54,10 +55,36 @@ def test_packing(spark):
     whole = got[got["doc_id"].between(8, 400)].groupby("doc_id")
     assert (whole["length"].sum() == whole["doc_tokens"].first()).all()
     assert got["length"].sum() / (4096 * got["sequence_id"].nunique()) > 0.9
-    assert packing.sequences(out).select(F.octet_length("ids").alias("n")).distinct().collect()[0].n == 4 * 4096
+    for s in packing.sequences(out).select("length", F.octet_length("ids").alias("n")).collect():
+        # A power of two is not padded.
+        assert s.n == 4 * (s.length if s.length & (s.length - 1) == 0 else 4096)
+    # Every id lies in one piece, as the library gives it.
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = dict((i, t) for i, t in rows if i not in (7, None))
+    for key, s in got[got["doc_id"].isin(texts)].sort_values("start").groupby("doc_id"):
+        assert np.frombuffer(b"".join(s["ids"]), "<u4").tolist() == [*library.encode(texts[key] or "", add_special_tokens=False).ids, 2]
+        assert s["start"].tolist() == (s["length"].cumsum() - s["length"]).tolist()
     assert packing.pack(docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+@pytest.mark.parametrize("capacity", [4096, 64])
+def test_packing_of_repeated_rows(spark, capacity):
+    # A half of all rows are copies of one full-length document: no lot runs over, and lots are even.
+    full = spark.range(40_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(capacity).cast("long").alias("length"), F.lit(1).alias("class"), F.lit(capacity).cast("long").alias("doc_tokens"), F.lit(9).cast("long").alias("ids_crc32"), F.col("id").alias("turn"), F.lit(None).cast("binary").alias("ids"))
+    half = full.withColumn("length", F.lit(capacity // 2).cast("long")).withColumn("class", F.lit(2)).withColumn("doc_id", F.col("turn"))
+    got = packing.assign(full.unionByName(half), capacity).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k")).groupBy("n", "k").count().collect()
+    assert max(r.n for r in got) == capacity and sum(r.k * r["count"] for r in got) == 80_000
+    # Each lot leaves one sequence part full at most.
+    assert sum(r["count"] for r in got if r.n < capacity) <= 40_000 // (2 * packing.LOT_SEQUENCES)
+
+
+def test_turns_deal_copies_out(spark):
+    docs = spark.range(3000).select(F.lit(4).alias("doc_id"), F.lit("a few equal words " * 700).alias("text")).repartition(3)
+    pieces = packing.cut_documents(docs, P.path("word_bpe_49k.json"), with_ids=False)
+    spread = pieces.groupBy("class").agg(F.count("*").alias("n"), F.countDistinct(F.pmod("turn", F.lit(50))).alias("lots")).collect()
+    assert all(r.lots == 50 for r in spread if r.n >= 1000)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -89,8 +89,9 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids in a row, and how many fall to each text of so many ids."""
-        ids = np.where((ids >= 0) & (ids < len(self.lens)), ids, 0)
-        lens = self.lens[ids]
+        known = (ids >= 0) & (ids < len(self.lens))
+        ids = np.where(known, ids, 0)
+        lens = np.where(known, self.lens[ids], 0)
         ends = np.concatenate([[0], np.cumsum(lens)])
         out = self.bytes[np.repeat(self.starts[ids] - ends[:-1], lens) + np.arange(ends[-1])]
         return out, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is ``spark.checkpoint.dir`` of the session. Only where that is unset
-    (local tests) a temporary folder of this machine stands in.
+    (local tests) a temporary folder of this machine stands in; on a cluster that is
+    an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="turnloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -20,7 +20,7 @@ Words are the runs of other characters between ASCII white space, lower-cased
 in A-Z only. Defined cases: a text without words, or null, has the empty set and
 links with nothing; fewer words than a shingle make one shingle; a null doc_id
 is returned unlinked, its component null; repeated rows link; rows of one doc_id
-with different texts count as one document, linked by one of them; an empty
+with different texts count as one document, confirmed by the least of them; an empty
 table gives no rows; extra columns are ignored.
 """
 
@@ -224,7 +224,7 @@ def link(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, key:
     shared = keys.groupBy("key").agg(F.count("*").alias("in"), F.min("doc").alias("d1"), F.max("doc").alias("d2"))
     # Buckets of one node are most of the keys; the rest is what travels on.
     buckets = cut(keys.join(shared.where("`in` > 1").select("key"), "key", "left_semi"), "near-buckets")
-    near = cut(docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(buckets.select("doc").distinct(), "doc").dropDuplicates(["doc"]), "near-texts")
+    near = cut(docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(buckets.select("doc").distinct(), "doc").groupBy("doc").agg(F.min("text").alias("text")), "near-texts")
 
     fits = (100 * F.least("n", "n2") >= similarity * F.greatest("n", "n2")) & (F.col("doc") != F.col("doc2"))
     labels, tested, links = None, None, None

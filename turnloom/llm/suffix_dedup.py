@@ -23,16 +23,17 @@ together and the others drop out.
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` lose nothing; rows
 that repeat, their doc_id too, are separate texts and cover each other; a null
 doc_id is an id like others; an empty table gives no rows; extra columns are
-ignored, or kept by ``strip``.
+kept, whatever their names, but for ``remove``'s own two.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
@@ -54,19 +55,23 @@ def _inverse(a: int) -> int:
     return pow(a, -1, 1 << 64)
 
 
-_FORTH, _BACK = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(STRETCH + LENGTH, b, np.uint64)]), dtype=np.uint64) for b in (_ODD, _inverse(_ODD)))
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)]), dtype=np.uint64) for b in (_ODD, _inverse(_ODD)))
 
 
 class Hashes:
     """64-bit hashes of any stretch of some bytes."""
 
     def __init__(self, data: np.ndarray):
+        forth, self.back = _powers(max(STRETCH + LENGTH, 1 << len(data).bit_length()))
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * _FORTH[: len(data)], dtype=np.uint64)])
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * forth[: len(data)], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self.sums[stop] - self.sums[start]) * _BACK[start], 29)
+            return mix((self.sums[stop] - self.sums[start]) * self.back[start], 29)
 
 
 def segments(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -346,14 +351,23 @@ def _readable(words: int):
     return readable
 
 
+def _marked(docs: DataFrame, length: int, key: str, text: str) -> tuple[DataFrame, Column]:
+    """``docs`` with the spans of each text, and that column; working names are none of ``docs``'s own."""
+    taken = {c.lower() for c in docs.columns}
+    rid, did, mark = (next(n for n in (w + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for w in ("rid", "did", "spans"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    named = docs.withColumn(did, F.coalesce(F.col(key).cast("long"), F.lit(-1).cast("long"))).withColumn(rid, F.xxhash64(F.col(key).isNull(), did, whole))
+    found = spans(named.where(F.octet_length(whole) >= length).select(F.col(rid).alias("rid"), F.col(did).alias("did"), whole.alias("text")), length)
+    found = found.withColumnsRenamed({"rid": rid, "did": did, "spans": mark})
+    return named.join(found, [rid, did], "left").select(*docs.columns, mark), F.col(mark)
+
+
 def remove(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every column of ``docs`` and: spans (null where nothing goes), kept (the bytes that stay)."""
-    named = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    named = named.withColumn("_did", F.coalesce(F.col(key).cast("long"), F.lit(-1).cast("long"))).withColumn("_rid", F.xxhash64(F.col(key).isNull(), "_did", "_text"))
-    found = spans(named.where(F.octet_length("_text") >= length).select(F.col("_rid").alias("rid"), F.col("_did").alias("did"), F.col("_text").alias("text")), length)
-    out = named.join(found, (F.col("_rid") == F.col("rid")) & (F.col("_did") == F.col("did")), "left")
-    out = out.withColumn("_short", _without(F.when(F.col("spans").isNotNull(), F.col("_text")), F.col("spans")))
-    return out.withColumn("kept", F.coalesce("_short", F.col("_text").cast("binary"))).drop("_text", "_did", "_rid", "rid", "did", "_short")
+    """Every column of ``docs`` and: spans (null where nothing goes), kept (the bytes that stay). Input columns of these two names are replaced."""
+    out, own = _marked(docs, length, key, text)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    kept = F.coalesce(_without(F.when(own.isNotNull(), whole), own), whole.cast("binary"))
+    return out.select(*(c for c in docs.columns if c.lower() not in ("spans", "kept")), own.alias("spans"), kept.alias("kept"))
 
 
 def strip(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", words: int = 0) -> DataFrame:
@@ -361,6 +375,6 @@ def strip(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
 
     Of repeats that are shorter than LENGTH bytes only stretches of at least ``words`` words go.
     """
-    out = remove(docs, length, key, text)
-    short = _readable(words)(F.when(F.col("spans").isNotNull(), F.col(text)), F.col("spans"))
-    return out.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(short)).drop("spans", "kept")
+    out, own = _marked(docs, length, key, text)
+    short = _readable(words)(F.when(own.isNotNull(), F.col(text)), own)
+    return out.withColumn(text, F.when(own.isNull(), F.col(text)).otherwise(short)).select(*docs.columns)

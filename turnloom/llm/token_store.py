@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import dataset, fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +40,7 @@ from turnloom.llm.word_bpe import as_bytes, encoder, slices
 #: Ids after which a task starts its next shard.
 SHARD_IDS = 64 << 20
 
-MANIFEST = "path string, part int, piece int, n_docs long, n_ids long, width int, low long, high long"
+MANIFEST = "path string, part int, piece int, n_docs long, n_null long, n_ids long, width int, low long, high long"
 
 
 def key_hash(keys: np.ndarray, null: np.ndarray) -> np.ndarray:
@@ -84,7 +84,7 @@ class _Shard:
         with self.files.open_output_stream(self.path + ".idx") as out:
             out.write(held.getvalue())
         real = keys[~null]
-        return {"n_docs": len(keys), "n_ids": self.n_ids, "low": int(real.min()) if len(real) else None, "high": int(real.max()) if len(real) else None}
+        return {"n_docs": len(keys), "n_null": int(null.sum()), "n_ids": self.n_ids, "low": int(real.min()) if len(real) else None, "high": int(real.max()) if len(real) else None}
 
 
 class ShardReader:
@@ -117,6 +117,13 @@ class ShardReader:
         data = self.payload.read_at((stop - start) * self.width, start * self.width)
         return np.frombuffer(data, "<u2" if self.width == 2 else "<u4")
 
+    def rows_ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some rows, one after the other, and how many each has: one read from the first to the last of them."""
+        start, lens = self.offsets[rows], self.lens[rows]
+        base = int(start.min())
+        held = self.ids(base, int((start + lens).max()))
+        return held[np.repeat(start - base - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))], lens
+
     def get(self, key: int | None) -> list[np.ndarray]:
         """The ids of every row with this key."""
         null = np.array([key is None])
@@ -153,25 +160,27 @@ class TokenStore:
             for batch in batches:
                 for shard in batch.to_pylist():
                     reader = ShardReader(shard["path"], shard["width"])
-                    ends = reader.offsets + reader.lens
-                    at, n = 0, len(reader.keys)
+                    n = len(reader.keys)
+                    # The place of each row among the rows of its key.
+                    fresh = np.concatenate([[True], (reader.keys[1:] != reader.keys[:-1]) | (reader.null[1:] != reader.null[:-1])])[:n]
+                    place = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+                    ends = np.cumsum(reader.lens)
+                    at = 0
                     while at < n:
-                        stop = max(at + 1, int(np.searchsorted(ends, reader.offsets[at] + (1 << 20), side="right")))
+                        stop = max(at + 1, int(np.searchsorted(ends, ends[at] - reader.lens[at] + (1 << 20), side="right")))
                         keys, null = reader.keys[at:stop], reader.null[at:stop]
                         first = reader.first_rows(keys, null)
                         if (first < 0).any():
                             raise ValueError(f"the index of {shard['path']} misses one of its keys")
-                        # Rows of an equal key follow its first row.
-                        row = first + (np.arange(at, stop) - first)
-                        base = int(reader.offsets[row[0]])
-                        ids = reader.ids(base, int(ends[row[-1]])).astype("<u4")
-                        cuts = np.append((reader.offsets[row] - base) * 4, ids.nbytes)
+                        row = first + place[at:stop]
+                        ids, lens = reader.rows_ids(row)
+                        cuts = np.concatenate([[0], 4 * np.cumsum(lens)])
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(keys, pa.int64(), mask=null),
                                 pa.array(shard["start"] + reader.offsets[row], pa.int64()),
-                                pa.array(reader.lens[row], pa.int64()),
-                                pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(ids)]),
+                                pa.array(lens, pa.int64()),
+                                pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]),
                             ],
                             ["doc_id", "start", "n_tokens", "ids"],
                         )
@@ -181,9 +190,27 @@ class TokenStore:
         return shards.repartition(max(1, shards.count()), "path").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
 
     def lookup(self, keys: DataFrame, column: str) -> DataFrame:
-        """(doc_id, ids) of the stored rows whose key is in ``keys``; each asked key costs one probe of each shard that spans it."""
+        """(doc_id, ids) of the stored rows whose key is in ``keys``, null too; each asked key costs one probe of each shard that spans it.
+
+        Asked keys are dealt out by range, and each task reads of the manifest only the shards that its keys fall into.
+        """
         wanted = keys.select(F.col(column).cast("long").alias("k")).distinct()
-        shards = self.manifest.select("path", "width", "low", "high")
+        manifest = f"{self.path}/manifest"
+
+        def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            files, root = fs.FileSystem.from_uri(manifest)
+            shards = dataset.dataset(root, filesystem=files, format="parquet")
+            for batch in batches:
+                asked, null = _longs(batch.column("k"))
+                real = np.sort(asked[~null])
+                test = dataset.field("n_null") > 0 if null.any() else dataset.scalar(False)
+                if len(real):
+                    test |= (dataset.field("low") <= int(real[-1])) & (dataset.field("high") >= int(real[0]))
+                for x in shards.to_table(filter=test).to_pylist():
+                    a, b = (np.searchsorted(real, x["low"]), np.searchsorted(real, x["high"], side="right")) if x["low"] is not None else (0, 0)
+                    own = [*([None] if null.any() and x["n_null"] else []), *real[a:b].tolist()]
+                    if own:
+                        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([x["path"]] * len(own)), pa.array([x["width"]] * len(own), pa.int32())], ["k", "path", "width"])
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             path, reader = None, None
@@ -194,8 +221,8 @@ class TokenStore:
                     for ids in reader.get(x["k"]):
                         yield pa.RecordBatch.from_arrays([pa.array([x["k"]], pa.int64()), pa.array([ids.astype("<u4").tobytes()], pa.binary())], ["doc_id", "ids"])
 
-        hits = wanted.join(shards, (F.col("k") >= F.col("low")) & (F.col("k") <= F.col("high")))
-        return hits.repartition("path").sortWithinPartitions("path").mapInArrow(probe, "doc_id long, ids binary")
+        hits = wanted.repartitionByRange("k").sortWithinPartitions("k").mapInArrow(spanned, "k long, path string, width int")
+        return hits.repartition("path").sortWithinPartitions("path", "k").mapInArrow(probe, "doc_id long, ids binary")
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, path: str | None = None, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS) -> TokenStore:
@@ -212,7 +239,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, path: st
 
         def done() -> pa.RecordBatch:
             own = {"path": shard.uri, "part": part, "piece": piece, "width": width} | shard.close()
-            return pa.RecordBatch.from_pylist([own], pa.schema([("path", pa.string()), ("part", pa.int32()), ("piece", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("low", pa.int64()), ("high", pa.int64())]))
+            return pa.RecordBatch.from_pylist([own], pa.schema([("path", pa.string()), ("part", pa.int32()), ("piece", pa.int32()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("low", pa.int64()), ("high", pa.int64())]))
 
         for batch in batches:
             for rows in slices(batch, "text"):
