@@ -63,8 +63,10 @@ def test_exact_dedup(spark):
         keep = min(group, key=lambda r: (-len(r[1] or ""), 1 << 62 if r[0] is None else r[0]))[0]
         want.add((i, keep, len(group), i == keep))
     assert got == want
-    stay = exact_dedup.keep_best(docs)
-    assert stay.columns == docs.columns and stay.count() == len(set(norm))
+    stay = exact_dedup.keep_best(docs.withColumn("ID", F.lit(0)))
+    assert stay.columns == [*docs.columns, "ID"]
+    kept = [(r.doc_id, r.text) for r in stay.collect()]
+    assert len(kept) == len(set(norm)) and {i for i, _ in kept} == {k for _, k, *_ in want}
     assert exact_dedup.dedup(docs.limit(0)).count() == 0
 
 
@@ -152,13 +154,18 @@ def test_suffix_dedup_equals_brute_force(spark, crowd, monkeypatch):
     assert suffix_dedup.remove(docs.limit(0), length).count() == 0
 
 
-def test_suffix_dedup_of_long_strings(spark):
-    # Longer than what is hashed at a time, and a repeated row of one id.
-    text = "".join(random.Random(9).choices("abcdefgh", k=1_200_000))
-    docs = spark.createDataFrame([(1, "x" + text), (2, text + "y"), (3, "once " * 200), (4, "rep " * 200), (4, "rep " * 200)], "doc_id long, text string")
-    got = {(r.doc_id, bytes(r.kept)) for r in suffix_dedup.remove(docs, 1_100_000).collect()}
-    assert {k for k in got if k[0] in (1, 2)} == {(1, b"x"), (2, b"y")}
-    assert {r.doc_id: len(r.kept) for r in suffix_dedup.remove(docs, 400).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+def test_segments_of_long_strings():
+    # A stretch and a length beyond those that tables are made for.
+    data = np.random.default_rng(1).integers(97, 123, suffix_dedup.STRETCH + 3000).astype(np.uint8)
+    anchor, digest, start, windows, lead = suffix_dedup.segments(data, 3001)
+    assert windows.sum() == suffix_dedup.STRETCH and (start[1:] == start[:-1] + windows[:-1]).all()
+    moved = suffix_dedup.segments(data[5:], 3001)
+    assert np.isin(moved[0], anchor).all() and np.isin(moved[1][1:], digest).all()
+
+
+def test_suffix_dedup_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(3, "once " * 200), (4, "rep " * 200), (4, "rep " * 200), (5, "".join(random.Random(9).choices("abcdefgh", k=900)))], "doc_id long, text string")
+    assert sorted((r.doc_id, len(r.kept)) for r in suffix_dedup.remove(docs, 400).collect()) == [(3, 0), (4, 0), (4, 0), (5, 900)]
 
 
 def test_strip_drops_cut_characters(spark):

@@ -50,7 +50,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove what ``cut`` wrote for these frames, which no later step may read."""
+    for frame in frames:
+        drop_path(frame.sparkSession, frame.scratch)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores behind them until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (w + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for w in names]
 
 
 @contextmanager

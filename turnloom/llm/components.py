@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import cut
+from turnloom.llm.common import cut, forget
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if row == mark:
             break
         mark = row
-        now = cut(_small(_large(now)), "edges")
+        now, before = cut(_small(_large(now)), "edges"), now
+        forget(before)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 

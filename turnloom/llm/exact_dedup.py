@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import cut
+from turnloom.llm.common import cut, forget, fresh
 
 #: The deleted characters: space, and tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -246,12 +246,23 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def keep_best(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the row that stays of each group of equal texts, and no other of it."""
-    index = cut(build(cut(digests(docs, key, text), "exact-digests")), "exact-index")
-    shared = cut(groups(index).where("group_size > 1"), "exact-groups")
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col(text)), 256))).join(shared.withColumnsRenamed({"digest": "_group", "keep_id": "_keep", "group_size": "_size"}), F.col("_digest") == F.col("_group"), "left")
-    marked = marked.where(F.col("_group").isNull() | F.col(key).cast("long").eqNullSafe(F.col("_keep")))
-    # Rows that repeat with their id would all be the best: a group's first one is enough.
-    alone = marked.where(F.col("_group").isNull())
-    best = marked.where(F.col("_group").isNotNull()).dropDuplicates(["_digest"])
-    return alone.unionByName(best).select(*docs.columns)
+    """``docs`` with the row that stays of each group of equal texts, and no other of it.
+
+    What goes is settled on digests and ids alone; the texts meet it once, by digest and id, so copies of one text don't meet in one task.
+    """
+    rows = cut(digests(docs, key, text), "exact-digests")
+    index = cut(build(rows), "exact-index")
+    shared = groups(index).where("group_size > 1")
+    members = rows.join(shared, "digest").select("digest", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("keep_id", F.lit(NO_ID)).alias("keep"))
+    # Rows that repeat with their id would all be the best: one of them is enough.
+    counted = members.groupBy("digest", "id", "keep").count().where("id != keep OR count > 1")
+    gone = cut(counted.select("digest", "id", (F.col("id") == F.col("keep")).alias("again")), "exact-gone")
+    forget(rows, index)
+    mark, number = fresh(docs, "digest", "id")
+    gone = gone.withColumnsRenamed({"digest": mark, "id": number})
+    marked = docs.withColumn(mark, F.unhex(F.sha2(normalised(F.col(text)), 256))).withColumn(number, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
+    out = marked.join(gone, [mark, number], "left_anti")
+    repeated = gone.where("again")
+    if not repeated.isEmpty():
+        out = out.unionByName(marked.join(repeated, [mark, number], "left_semi").dropDuplicates([mark, number]))
+    return out.select(*docs.columns)

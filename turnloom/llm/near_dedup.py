@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import cut, small_batches
+from turnloom.llm.common import cut, forget, small_batches
 from turnloom.llm.components import components, roots
 from turnloom.llm.mphf import mix
 from turnloom.llm.word_bpe import as_bytes, slices
@@ -228,6 +228,7 @@ def link(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, key:
 
     fits = (100 * F.least("n", "n2") >= similarity * F.greatest("n", "n2")) & (F.col("doc") != F.col("doc2"))
     labels, tested, links = None, None, None
+    spent = [buckets, near]
     for turn in range(ANCHOR_ROUNDS + 1):
         own = buckets.withColumn("label", F.col("doc"))
         if labels is not None:
@@ -235,6 +236,7 @@ def link(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, key:
         # A bucket whose nodes are all connected has nothing left to compare.
         open_keys = own.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("in"), F.min("doc").alias("least")).where("l1 != l2").drop("l1", "l2")
         own = cut(own.join(open_keys, "key"), "near-open")
+        spent.append(own)
         if turn < ANCHOR_ROUNDS:
             # The anchor of a bucket changes from turn to turn; the first is its smallest document.
             order = F.struct((F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))).alias("o"), "doc", "n", "label")
@@ -253,6 +255,7 @@ def link(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, key:
         if tested is not None:
             pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
         pairs = cut(pairs, "near-pairs")
+        spent.append(pairs)
         tested = pairs.select("lo", "hi") if tested is None else tested.unionByName(pairs.select("lo", "hi"))
         found = _confirm(pairs.select("anchor", F.when(F.col("anchor") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("member")), near, words, similarity)
         if crowd is not None:
@@ -260,8 +263,10 @@ def link(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, key:
             found = found.unionByName(_crowds(members, near, words, similarity))
         with small_batches(spark):
             found = cut(found, "near-links")
+        spent.append(found)
         links = found if links is None else links.unionByName(found)
         labels = cut(components(links, "anchor", "member"), "near-labels")
+    forget(*spent)
 
     of_node = nodes.select("digest", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("digest", F.coalesce("component", "doc").alias("component"))
     out = rows.join(of_node, "digest", "left")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from turnloom.llm.common import cut
+from turnloom.llm.common import cut, forget, fresh
 from turnloom.llm.mphf import mix
 from turnloom.llm.word_bpe import as_bytes
 
@@ -293,10 +293,11 @@ def _repeated(rows: DataFrame, length: int, width: int | None = None) -> DataFra
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, did, spans) of the texts of (rid, did, text) that lose bytes; spans are [first, stop) in order, disjoint and apart."""
-    rows = cut(_scan(docs, length), "segments")
+    every = cut(_scan(docs, length), "segments")
     # Written, so that the join's both sides are dealt out for it alone and a hot anchor can be split.
-    met = cut(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors-met")
-    rows = cut(rows.join(met, "anchor", "left_semi"), "segments-met")
+    met = cut(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors-met")
+    rows = cut(every.join(met, "anchor", "left_semi"), "segments-met")
+    forget(every, met)
     spot = F.struct("did", "rid", "start", "windows")
     kinds = rows.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.min(spot).alias("one"), F.max(spot).alias("two"))
     # Two copies of an equal segment, read from two places where there are two, stand for all.
@@ -306,6 +307,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     read = read.groupBy("anchor", "digest").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
     wanted = cut(read.select("anchor", "digest", F.least(F.col("n"), F.lit(2)).cast("int").alias("copies"), "lead", "bytes"), "segments-read")
     runs = _repeated(wanted, length)
+    forget(wanted)
     found = rows.join(runs, ["anchor", "digest"]).select("rid", "did", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["last"] + length).alias("stop")))).alias("s"))
     gathered = found.groupBy("rid", "did").agg(F.array_sort(F.collect_set("s")).alias("s"))
     # Spans that overlap or touch become one.
@@ -353,8 +355,7 @@ def _readable(words: int):
 
 def _marked(docs: DataFrame, length: int, key: str, text: str) -> tuple[DataFrame, Column]:
     """``docs`` with the spans of each text, and that column; working names are none of ``docs``'s own."""
-    taken = {c.lower() for c in docs.columns}
-    rid, did, mark = (next(n for n in (w + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for w in ("rid", "did", "spans"))
+    rid, did, mark = fresh(docs, "rid", "did", "spans")
     whole = F.coalesce(F.col(text), F.lit(""))
     named = docs.withColumn(did, F.coalesce(F.col(key).cast("long"), F.lit(-1).cast("long"))).withColumn(rid, F.xxhash64(F.col(key).isNull(), did, whole))
     found = spans(named.where(F.octet_length(whole) >= length).select(F.col(rid).alias("rid"), F.col(did).alias("did"), whole.alias("text")), length)
