@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions.user_text import split_user_text
+
 
 def in_order(*keys: str) -> Window:
     return Window.partitionBy(*keys)
@@ -36,6 +38,16 @@ def atomize(messages: DataFrame, session: str, order: str, role: str, text: str)
     return out
 
 
+def atomize_user_text(messages: DataFrame, session: str, order: str, role: str, text: str) -> DataFrame:
+    """As ``atomize``, but a user's message gives one atom for each of its chunks; those that the user didn't write are injected or hidden."""
+    actor = actor_of(F.col(role))
+    plain = F.array(F.struct(F.when(actor == "assistant", "assistant_authored").otherwise("source_meta").alias("origin_kind"), F.col(text).alias("text"), F.when(actor == "system", "hidden").otherwise("show").alias("display_policy")))
+    chunks = F.when(actor == "user", split_user_text(F.col(text))).otherwise(plain)
+    cut = messages.select(F.col(session).alias("session"), F.col(order).alias("_o"), actor.alias("actor_kind"), F.posexplode(chunks).alias("_p", "_c"))
+    number = F.row_number().over(Window.partitionBy("session").orderBy("_o", "_p")) - 1
+    return cut.select("session", number.alias("seq_no"), "actor_kind", "_c.origin_kind", F.coalesce("_c.display_policy", F.lit("show")).alias("display_policy"), "_c.text")
+
+
 def submission_groups(atoms: DataFrame) -> DataFrame:
     """The user atoms with their group_index.
 

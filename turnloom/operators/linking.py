@@ -30,24 +30,22 @@ def link_keys(observations: DataFrame) -> DataFrame:
     return observations.withColumn("_r", F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull()))).select("id", "session_ref", "source_platform", F.col("_r.rule").alias("rule"), F.col("_r.confidence").alias("confidence"), F.col("_r.key").alias("key"))
 
 
-def components(edges: DataFrame, node: str, key: str, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, node: str, key: str) -> DataFrame:
     """(node, component): nodes that share keys, directly or through others; component is the smallest node.
 
-    Labels spread through the keys and jump along the labels found so far; the
+    Labels spread through the keys and jump along the labels found so far, until none moves; the
     table is written to the checkpoint folder each round.
     """
     links = edges.select(F.col(node).alias("node"), F.col(key).alias("key")).distinct().checkpoint()
     labels = links.groupBy("node").agg(F.min("node").alias("component")).checkpoint()
-    for _ in range(rounds):
+    while True:
         by_key = links.join(labels, "node").groupBy("key").agg(F.min("component").alias("k"))
         spread = links.join(by_key, "key").groupBy("node").agg(F.min("k").alias("component"))
         jump = spread.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = spread.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component")).checkpoint()
-        moved = new.join(labels.withColumnRenamed("component", "before"), "node").where("component != before").limit(1)
+        if new.join(labels.withColumnRenamed("component", "before"), "node").where("component != before").isEmpty():
+            return new
         labels = new
-        if moved.isEmpty():
-            break
-    return labels
 
 
 def metrics(members: DataFrame, component: str, session: str, platform: str, root: Column) -> DataFrame:

@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str) -> DataFrame:
-    """Each left row with the value of the latest right row not after it; of the earliest one where all are after.
+    """Each left row, repeated ones too, with the value of the latest right row not after it; of the earliest one where all are after.
 
-    The right side is gathered per left row by two aggregates that combine
-    before the shuffle, so no key's history is sorted as a whole.
+    Both sides lie in one table ordered by key and time, and the last right row is carried along, so no pairs are made.
     """
-    joined = left.join(right.select(F.col(key), F.col(right_time).alias("_t"), F.col(value).alias("_v")), key, "left")
-    order = F.struct("_t", "_v")
-    past = F.max(F.when(F.col("_t") <= F.col(left_time), order))
-    first = F.min(F.when(F.col("_t").isNotNull(), order))
-    return joined.groupBy(*left.columns).agg(F.coalesce(past["_v"], first["_v"]).alias(value), past.isNotNull().alias("exact"))
+    kind = right.schema[value].dataType
+    held = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.col(value).alias("_v")).where("_k IS NOT NULL AND _t IS NOT NULL")
+    asked = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(None).cast(kind).alias("_v"), F.struct(*left.columns).alias("_l"))
+    both = asked.unionByName(held, allowMissingColumns=True)
+    side = F.col("_l").isNotNull()
+    so_far = Window.partitionBy("_k").orderBy("_t", side, "_v").rowsBetween(Window.unboundedPreceding, 0)
+    past = F.last(F.when(~side, F.struct("_v")), ignorenulls=True).over(so_far)
+    first = held.groupBy("_k").agg(F.min(F.struct("_t", "_v"))["_v"].alias("_f"))
+    out = both.withColumn("_p", past).where(side).join(first, "_k", "left")
+    exact = F.col("_p").isNotNull()
+    return out.select("_l.*", F.when(exact, F.col("_p._v")).otherwise(F.col("_f")).alias(value), exact.alias("exact"))
 
 
 def keep(rows: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -52,17 +57,17 @@ def unique_alias(asked: DataFrame, known: DataFrame, alias: str, ident: str, lev
 
 
 def longest_prefix(rows: DataFrame, column: str, prefixes: DataFrame, prefix: str) -> DataFrame:
-    """Rows with the longest of ``prefixes`` (whole path segments) above them.
+    """Every row with the longest of ``prefixes`` (whole path segments) above it, null where there is none.
 
-    Each row lists its own ancestors and they are joined by equality, so the cost
+    Each distinct path lists its own ancestors and they are joined by equality, so the cost
     is the depth of a path, not the number of prefixes.
     """
     parts = F.split(F.col(column), "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    listed = rows.withColumn("_a", F.explode(above))
+    listed = rows.select(F.col(column)).distinct().select(F.col(column).alias("_path"), F.explode(above).alias("_a"))
     hits = listed.join(prefixes.select(F.col(prefix).alias("_a")).distinct(), "_a")
-    best = hits.groupBy(*rows.columns).agg(F.max_by("_a", F.length("_a")).alias(prefix))
-    return best
+    best = hits.groupBy("_path").agg(F.max_by("_a", F.length("_a")).alias(prefix))
+    return rows.join(best, F.col(column) == F.col("_path"), "left").drop("_path")
 
 
 def orphans(rows: DataFrame, references: list[tuple[DataFrame, str]], key: str) -> DataFrame:
@@ -88,13 +93,23 @@ def carry_forward(rows: DataFrame, key: list[str], order: list[str], value: Colu
     return rows.withColumn(into, F.last(value, ignorenulls=True).over(Window.partitionBy(*key).orderBy(*order)))
 
 
-def revisions(old: DataFrame, new: DataFrame, key: str, signature: str) -> DataFrame:
-    """What a new snapshot does to each key: created, revised, unchanged or gone, with its revision number."""
-    a = old.select(F.col(key), F.col(signature).alias("_old"), F.lit(True).alias("_in_old"))
-    b = new.select(F.col(key), F.col(signature).alias("_new"), F.lit(True).alias("_in_new"))
-    both = a.join(b, key, "full")
-    event = F.when(F.col("_in_old").isNull(), "created").when(F.col("_in_new").isNull(), "gone").when(F.col("_old").eqNullSafe(F.col("_new")), "unchanged").otherwise("revised")
-    return both.select(key, event.alias("event"), F.when(event == "revised", 2).otherwise(1).alias("revision"))
+def revisions(old: DataFrame, new: DataFrame, key: str, signature: str, revision: str, manual: Column | None = None) -> DataFrame:
+    """(key, event, revision, previous) of each key of a new snapshot: created at 1, unchanged as it was, or revised to the next number.
+
+    A revision by hand (``manual`` on the new row) is an event of its own, and each revised one is told to be superseded.
+    """
+    a = old.select(F.col(key), F.col(signature).alias("_old"), F.col(revision).alias("_was"))
+    both = new.withColumn("_hand", F.lit(False) if manual is None else F.coalesce(manual, F.lit(False))).join(a, key, "left")
+    changed = ~F.col(signature).eqNullSafe(F.col("_old"))
+    was, following = F.col("_was"), F.col("_was") + 1
+
+    def event(name: Column | str, now: Column, before: Column) -> Column:
+        return F.struct((F.lit(name) if isinstance(name, str) else name).alias("event"), now.cast("long").alias("revision"), before.cast("long").alias("previous"))
+
+    nothing = F.lit(None)
+    revised = F.array(event(F.when(F.col("_hand"), "manual_override").otherwise("revised"), following, was), event("superseded", was, following))
+    told = F.when(was.isNull(), F.array(event("created", F.lit(1), nothing))).when(changed, revised).otherwise(F.array(event("unchanged", was, nothing)))
+    return both.select(key, F.explode(told).alias("_e")).select(key, "_e.*")
 
 
 def absence(ledger: DataFrame, observed: DataFrame, key: str, complete: Column) -> DataFrame:

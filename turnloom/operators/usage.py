@@ -5,7 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MEASURES = ["input_tokens", "cached_tokens", "output_tokens", "total_tokens"]
+MEASURES = ["input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]
+# The names under which logs report each count, the first present one counting.
+ALIASES = {
+    "input": "input_tokens inputTokens prompt_tokens promptTokens input_token_count inputTokenCount",
+    "output": "output_tokens outputTokens completion_tokens completionTokens output_token_count outputTokenCount",
+    "total": "total_tokens totalTokens total_token_count totalTokenCount",
+    "cache_read": "cache_read_input_tokens cacheReadInputTokens cacheReadTokens cache_read_tokens",
+    "cache_creation": "cache_creation_input_tokens cacheCreationInputTokens cacheCreationTokens cache_creation_tokens",
+    "cached": "cached_input_tokens cachedInputTokens",
+    "reasoning": "reasoning_output_tokens reasoningOutputTokens thinkingTokens thinking_tokens",
+}
+
+
+def normalised(record: Column) -> Column:
+    """Token counts of a variant as a struct, null where it reports none.
+
+    Cached tokens reported as one sum, without reads or creations, are reads and part of the input; the total, where it isn't
+    given, is input, output, cache creations and reads.
+    """
+
+    def number(name: str) -> Column:
+        return F.coalesce(*(F.when(~F.schema_of_variant(F.try_variant_get(record, f"$.{a}", "variant")).isin("STRING", "BOOLEAN"), F.try_variant_get(record, f"$.{a}", "double")) for a in ALIASES[name].split()))
+
+    got = {name: number(name) for name in ALIASES}
+    lump = got["cached"].isNotNull() & got["cache_read"].isNull() & got["cache_creation"].isNull()
+    read = F.when(lump, got["cached"]).otherwise(got["cache_read"])
+    given = F.when(lump, got["input"] - got["cached"]).otherwise(got["input"])
+    zero = F.lit(0.0)
+    either = got["cache_read"].isNotNull() | got["cache_creation"].isNotNull()
+    cached = F.coalesce(got["cached"], F.when(either, F.coalesce(got["cache_creation"], zero) + F.coalesce(got["cache_read"], zero)))
+    parts = [given, got["output"], got["cache_creation"], read]
+    added = F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(p, zero) for p in parts), zero))
+    fields = {"input_tokens": given, "output_tokens": got["output"], "total_tokens": F.coalesce(got["total"], added), "cache_read_input_tokens": read, "cache_creation_input_tokens": got["cache_creation"], "cached_input_tokens": cached, "reasoning_output_tokens": got["reasoning"]}
+    return F.when(F.coalesce(*got.values()).isNotNull(), F.struct(*(c.cast("long").alias(n) for n, c in fields.items()), F.try_variant_get(record, "$.model", "string").alias("model")))
+
+
+def with_measures(turns: DataFrame, use: str, total: str | None = None) -> DataFrame:
+    """``turns`` with MEASURES (0 where unknown) and has_token_usage, from a struct of ``normalised``; ``total`` stands in where it has none."""
+    of = F.col(use)
+    parts = F.coalesce(of["cache_read_input_tokens"], F.lit(0)) + F.coalesce(of["cache_creation_input_tokens"], F.lit(0))
+    spare = F.lit(0) if total is None else F.coalesce(F.col(total), F.lit(0))
+    zero = F.lit(0)
+    return turns.withColumns({
+        "input_tokens": F.coalesce(of["input_tokens"], zero),
+        "cached_input_tokens": F.coalesce(of["cached_input_tokens"], parts),
+        "output_tokens": F.coalesce(of["output_tokens"], zero),
+        "reasoning_output_tokens": F.coalesce(of["reasoning_output_tokens"], zero),
+        "total_tokens": F.coalesce(of["total_tokens"], spare).cast("long"),
+        "has_token_usage": of.isNotNull(),
+    })
+
+
+def rollup_measures(rows: DataFrame, key: Column, label: Column, model: str = "model") -> DataFrame:
+    """Per key: its label, turns, those with usage and their share, those with a known model, and the sums of MEASURES."""
+    covered = F.count_if(F.col("has_token_usage"))
+    return rows.groupBy(key.alias("key")).agg(
+        F.min(label).alias("label"),
+        F.count("*").alias("turns"),
+        covered.alias("covered"),
+        F.round(covered / F.count("*"), 4).alias("coverage"),
+        F.count_if(F.col(model) != "unknown").alias("with_model"),
+        *(F.sum(m).alias(m) for m in MEASURES),
+    )
 
 
 def usage_rows(turns: DataFrame, sessions: DataFrame | None = None, projects: DataFrame | None = None) -> DataFrame:

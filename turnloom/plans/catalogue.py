@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnloom import session
 from turnloom.functions import text as T
+from turnloom.functions.user_text import split_user_text
 from turnloom.operators import derive, linking, relate, search, usage
 
 #: Clocks are parameters: the moment that recency is measured from.
@@ -241,7 +243,7 @@ def _asof(spark, sf_dir):
 @query(
     "prefix_theta_join",
     """WITH p AS (SELECT page_id, split_part(url, '?', 1) AS path FROM pages), d AS (SELECT DISTINCT regexp_extract(path, '^([a-z]+://[^/]+/[^/]+)/', 1) AS prefix FROM p WHERE regexp_matches(path, '^[a-z]+://[^/]+/[^/]+/'))
-SELECT page_id, max(prefix) AS prefix FROM p JOIN d ON path = prefix OR starts_with(path, prefix || '/') GROUP BY 1""",
+SELECT page_id, max(prefix) AS prefix FROM p LEFT JOIN d ON path = prefix OR starts_with(path, prefix || '/') GROUP BY 1""",
 )
 def _prefix(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.split_part("url", F.lit("?"), F.lit(1)).alias("path"))
@@ -295,14 +297,16 @@ def _projects(spark, sf_dir):
     return usage_rows(spark, sf_dir).groupBy("project").agg(F.count_if(F.col("link_state") == "F").alias("committed"), F.count_if(F.col("link_state") == "P").alias("candidate"), F.countDistinct("session_id").alias("sessions"), F.max("day").alias("last"))
 
 
-@query("component_metrics")
+@query(
+    "component_metrics",
+    """WITH RECURSIVE e AS (SELECT DISTINCT a.l_orderkey AS x, b.l_orderkey AS y FROM lineitem a JOIN lineitem b USING (l_partkey, l_quantity, l_discount, l_returnflag)),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), c AS (SELECT x AS l_orderkey, min(y) AS component FROM r GROUP BY 1)
+SELECT component, count(DISTINCT l_orderkey) AS sessions, count(DISTINCT l_linestatus) AS platforms, max((l_returnflag = 'R')::INT) AS has_root FROM lineitem JOIN c USING (l_orderkey) GROUP BY 1""",
+)
 def _components(spark, sf_dir):
-    # Suppliers that ship the same low-priced line share a component; tests hold it against a union-find.
-    own = table(spark, sf_dir, "lineitem").where("l_quantity = 1 AND l_discount = 0").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("key"), "l_orderkey", "l_linestatus", "l_returnflag")
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    # Orders with a line of the same part, quantity, discount and flag share a component.
+    session.need_checkpoints(spark)
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), F.struct("l_partkey", "l_quantity", "l_discount", "l_returnflag").alias("key"), "l_orderkey", "l_linestatus", "l_returnflag")
     found = linking.components(own, "node", "key")
     return linking.metrics(own.join(found, "node"), "component", "l_orderkey", "l_linestatus", F.col("l_returnflag") == "R")
 
@@ -454,19 +458,21 @@ def _lineage(spark, sf_dir):
     return out.select("o_orderkey", "fragments", F.size("b").cast("long").alias("blobs"), F.array_join("b", ",").alias("refs"))
 
 
-SNAP = "SELECT o_custkey, max(o_orderstatus) AS sig FROM orders WHERE o_orderdate {op} DATE '1998-01-01' GROUP BY 1"
+SNAP = "SELECT o_custkey, max(o_orderstatus) AS sig, o_custkey % 3 + 1 AS rev, max(o_orderpriority) = '5-LOW' AS hand FROM orders WHERE o_orderdate {op} DATE '1998-01-01' GROUP BY 1"
 
 
 @query(
     "scd_revisions",
-    f"""WITH a AS ({SNAP.format(op="<")}), b AS ({SNAP.format(op=">=")})
-SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.o_custkey IS NULL THEN 'created' WHEN b.o_custkey IS NULL THEN 'gone' WHEN a.sig = b.sig THEN 'unchanged' ELSE 'revised' END AS event,
-  CASE WHEN a.o_custkey IS NOT NULL AND b.o_custkey IS NOT NULL AND a.sig <> b.sig THEN 2 ELSE 1 END AS revision FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""",
+    f"""WITH a AS ({SNAP.format(op="<")}), b AS ({SNAP.format(op=">=")}), j AS (SELECT b.*, a.rev AS was, a.sig AS old FROM b LEFT JOIN a USING (o_custkey))
+SELECT o_custkey, CASE WHEN was IS NULL THEN 'created' WHEN sig = old THEN 'unchanged' WHEN hand THEN 'manual_override' ELSE 'revised' END AS event,
+  CASE WHEN was IS NULL THEN 1 WHEN sig = old THEN was ELSE was + 1 END AS revision, CASE WHEN was IS NOT NULL AND sig <> old THEN was END AS previous FROM j
+UNION ALL SELECT o_custkey, 'superseded', was, was + 1 FROM j WHERE was IS NOT NULL AND sig <> old""",
 )
 def _revisions(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    old, new = (orders.where(c).groupBy("o_custkey").agg(F.max("o_orderstatus").alias("sig")) for c in ("o_orderdate < DATE'1998-01-01'", "o_orderdate >= DATE'1998-01-01'"))
-    return relate.revisions(old, new, "o_custkey", "sig")
+    snap = [F.max("o_orderstatus").alias("sig"), (F.max("o_orderpriority") == "5-LOW").alias("hand")]
+    old, new = (orders.where(c).groupBy("o_custkey").agg(*snap) for c in ("o_orderdate < DATE'1998-01-01'", "o_orderdate >= DATE'1998-01-01'"))
+    return relate.revisions(old.withColumn("rev", F.col("o_custkey") % 3 + 1), new, "o_custkey", "sig", "rev", F.col("hand"))
 
 
 @query(
@@ -490,6 +496,82 @@ def _scalars(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.stable_id(F.col("c_name"), F.col("c_nationkey")).alias("id"), T.slugify(F.col("c_name")).alias("slug"), T.composite_key(F.col("c_name")).alias("key"))
 
 
-@query("path_identity")
+@query(
+    "path_identity",
+    """WITH u AS (SELECT page_id, url, split_part(url, '://', 2) AS p FROM pages)
+SELECT page_id, '/root/b/' || trim(regexp_replace(replace(p, '%20', ' '), '/+', '/', 'g'), '/') AS path, '//' || trim(regexp_replace(replace(p, '%20', ' '), '/+', '/', 'g'), '/') AS share FROM u""",
+)
 def _paths(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.path_identity(F.concat(F.lit("/root/./a/../"), F.split_part("url", F.lit("//"), F.lit(2)))).alias("path"), T.fnv1a(F.col("url")).alias("fnv"))
+    rest = F.split_part("url", F.lit("://"), F.lit(2))
+    return table(spark, sf_dir, "pages").select("page_id", T.path_identity(F.concat(F.lit("/root/./a/../b//"), rest)).alias("path"), T.path_identity(F.concat(F.lit("file://"), rest)).alias("share"))
+
+
+@query("fnv1a_id")
+def _fnv(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.fnv1a(F.col("url")).alias("fnv"))
+
+
+@query(
+    "usage_normalised",
+    """SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN o_custkey - o_orderkey % 7 ELSE o_custkey END AS input_tokens, o_orderkey % 7 AS cached_input_tokens,
+  CASE WHEN o_orderkey % 5 = 0 THEN 17 ELSE o_custkey + o_orderkey % 11 + CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_orderkey % 7 END END AS total_tokens FROM orders""",
+)
+def _normalised(spark, sf_dir):
+    # A third reports cached tokens as one sum, the others cache reads; a fifth gives its total.
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    said = F.to_json(F.struct(cust.alias("prompt_tokens"), (key % 11).alias("completionTokens"), F.when(cust % 3 == 0, key % 7).alias("cached_input_tokens"), F.when(cust % 3 != 0, key % 7).alias("cacheReadTokens"), F.when(key % 5 == 0, 17).alias("total_tokens")))
+    use = usage.normalised(F.parse_json(said))
+    return table(spark, sf_dir, "orders").select("o_orderkey", use.alias("u")).select("o_orderkey", "u.input_tokens", "u.cached_input_tokens", "u.total_tokens")
+
+
+@query(
+    "rollup_measures",
+    """WITH m AS (SELECT o_orderpriority AS key, o_orderkey % 4 <> 0 AS has, o_custkey AS i, o_orderkey % 7 AS c, o_orderkey % 11 AS o FROM orders)
+SELECT key, key AS label, count(*) AS turns, count(*) FILTER (has) AS covered, round(count(*) FILTER (has) / count(*), 4) AS coverage, count(*) AS with_model,
+  sum(CASE WHEN has THEN i ELSE 0 END)::BIGINT AS input_tokens, sum(CASE WHEN has THEN c ELSE 0 END)::BIGINT AS cached_input_tokens, sum(CASE WHEN has THEN o ELSE 0 END)::BIGINT AS output_tokens,
+  0 AS reasoning_output_tokens, sum(CASE WHEN has THEN i + o + c ELSE 0 END)::BIGINT AS total_tokens FROM m GROUP BY 1""",
+)
+def _measures(spark, sf_dir):
+    key = F.col("o_orderkey")
+    said = F.to_json(F.when(key % 4 != 0, F.struct(F.col("o_custkey").alias("inputTokens"), (key % 11).alias("output_tokens"), (key % 7).alias("cache_creation_tokens"))))
+    rows = usage.with_measures(table(spark, sf_dir, "orders").withColumn("use", usage.normalised(F.parse_json(said))), "use")
+    return usage.rollup_measures(rows, F.col("o_orderpriority"), F.col("o_orderpriority"), "o_orderpriority")
+
+
+@query(
+    "stop_reasons",
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'end_turn' WHEN 1 THEN 'tool_use' WHEN 2 THEN 'max_tokens' WHEN 3 THEN 'error' WHEN 4 THEN 'end_turn' END AS reason FROM events""",
+)
+def _stops(spark, sf_dir):
+    spelt = F.element_at(F.array(*map(F.lit, ["End-Turn", " tool calls ", "token_limit", "Cancelled", "stop", "other"])), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", T.stop_reason(spelt).alias("reason"))
+
+
+@query(
+    "compact_text",
+    """WITH s AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) <= 60 THEN t ELSE left(t, 59) || '…' END AS short FROM s""",
+)
+def _compact(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.compact(F.coalesce("text", F.lit("")), 60).alias("short"))
+
+
+@query("bounded_text")
+def _bounded(spark, sf_dir):
+    own = T.bounded(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length(own).alias("bytes"), F.sha2(own, 256).alias("bounded_sha256"))
+
+
+WRAPPED = "CASE conv_id % 5 WHEN 0 THEN text WHEN 1 THEN '<system-reminder>be kind</system-reminder> ' || text WHEN 2 THEN 'rules [User Request] ' || text WHEN 3 THEN '[cron: daily] ' || text ELSE '<bash-stdout>' || text END"
+
+
+@query(
+    "split_user_text",
+    """WITH t AS (SELECT conv_id, turn, conv_id % 5 AS k, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS own, text FROM conversations WHERE role = 'user' AND text <> '')
+SELECT conv_id, turn, CASE WHEN k IN (1, 2) THEN 2 ELSE 1 END AS chunks, CASE k WHEN 0 THEN 'user_authored' WHEN 3 THEN 'automation_trigger' ELSE 'injected_user_shaped' END AS first,
+  CASE k WHEN 3 THEN 'automation_trigger' WHEN 4 THEN 'injected_user_shaped' ELSE 'user_authored' END AS last,
+  sha256(CASE k WHEN 3 THEN '[cron: daily] ' || regexp_replace(text, '\\s+$', '') WHEN 4 THEN '<bash-stdout>' || regexp_replace(text, '\\s+$', '') ELSE own END) AS said FROM t""",
+)
+def _split(spark, sf_dir):
+    own = table(spark, sf_dir, "conversations").where("role = 'user' AND text <> ''").select("conv_id", "turn", split_user_text(F.expr(WRAPPED)).alias("c"))
+    return own.select("conv_id", "turn", F.size("c").alias("chunks"), F.element_at("c", 1)["origin_kind"].alias("first"), F.element_at("c", -1)["origin_kind"].alias("last"), F.sha2(F.element_at("c", -1)["text"], 256).alias("said"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +19,12 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **more: str)
         "spark.ui.showConsoleProgress": "false",
     } | more
     return SparkSession.builder.master(master).appName("turnloom").config(map=conf).getOrCreate()
+
+
+def need_checkpoints(spark: SparkSession) -> None:
+    """Iterative operators write to the folder that driver and executors share; only a local session may take one of its own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnloom-"))
