@@ -11,7 +11,7 @@ from turnloom.functions import text as T
 from turnloom.functions.time import since_day, start_of_day, start_of_month, start_of_week
 from turnloom.functions.user_text import split_user_text
 from turnloom.operators import derive, linking, relate, search, usage
-from turnloom.sources import jsonl
+from turnloom.sources import jsonl, store
 from turnloom.streaming import sessions
 
 
@@ -171,6 +171,38 @@ def test_json_lines(spark, tmp_path):
     assert [(r.session, r.role, r.text, r.input_tokens, r.cached_tokens, r.output_tokens) for r in got] == [("s1", "user", "ask", None, 0, None), ("s1", "assistant", "a\nb", 30, 7, 10)]
 
 
+def test_store_replaces_merges_and_upserts(spark, tmp_path):
+    def rows(*own):
+        return spark.createDataFrame(own, "source_id string, origin string, id long, at int")
+
+    def held(path):
+        return sorted((r.source_id, r.origin, r.id, r.at) for r in spark.read.parquet(path).collect())
+
+    path = f"{tmp_path}/records"
+    store.merge_by_origin(rows(("a", "x", 1, 1), ("a", "y", 2, 1), ("b", "x", 3, 1)), path)
+    store.merge_by_origin(rows(("a", "x", 4, 2)), path)
+    assert held(path) == [("a", "x", 4, 2), ("a", "y", 2, 1), ("b", "x", 3, 1)]
+    store.upsert(rows(("a", "z", 4, 1), ("a", "z", 2, 1), ("a", "z", 9, 5)), path, ["id"], "at")
+    assert held(path) == [("a", "x", 4, 2), ("a", "z", 2, 1), ("a", "z", 9, 5), ("b", "x", 3, 1)]
+    store.replace(rows(("a", "w", 7, 7)), path)
+    assert held(path) == [("a", "w", 7, 7), ("b", "x", 3, 1)]
+    blobs = spark.createDataFrame([("one",), ("two",), ("one",), (None,)], "content string")
+    got = store.put_evidence(blobs, f"{tmp_path}/blobs")
+    store.put_evidence(blobs, f"{tmp_path}/blobs")
+    assert sorted(r.content for r in spark.read.parquet(f"{tmp_path}/blobs").collect()) == ["one", "two"]
+    assert got.where("content IS NULL").first().sha256 is None
+
+
+def test_cursor_pages_add_up(spark):
+    rows = spark.createDataFrame([(i, i * 7 % 5) for i in range(23)], "id long, n int")
+    order, cursor, seen = [("n", True), ("id", False)], None, []
+    while part := search.after_cursor(rows, order, cursor, 4).collect():
+        seen += [(r.n, r.id) for r in part]
+        cursor = part[-1].asDict()
+    assert seen == sorted(((i * 7 % 5, i) for i in range(23)), key=lambda x: (-x[0], x[1]))
+    assert search.with_total(rows, ["id"], 2, 3)[1].first().total == 23
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     # The second half of every session arrives later, in a second run of the same stream.

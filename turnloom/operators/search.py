@@ -76,6 +76,34 @@ def page(rows: DataFrame, order: list, offset: int = 0, limit: int = 50) -> Data
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def after_cursor(rows: DataFrame, order: list[tuple[str, bool]], cursor: dict | None, limit: int) -> DataFrame:
+    """The next ``limit`` rows behind ``cursor`` (the last row's values of the order's columns) in order of (column, descending).
+
+    Unlike an offset, a cursor skips nothing and repeats nothing when rows are added. The columns must not be null.
+    """
+    if cursor is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for name, down in order:
+            here = F.lit(cursor[name])
+            behind |= equal & (F.col(name) < here if down else F.col(name) > here)
+            equal &= F.col(name) == here
+        rows = rows.where(behind)
+    return rows.orderBy(*(F.desc(n) if d else F.asc(n) for n, d in order)).limit(limit)
+
+
+def with_total(rows: DataFrame, order: list, offset: int = 0, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """A page, and one row with the number of all rows."""
+    return page(rows, order, offset, limit), rows.agg(F.count("*").alias("total"))
+
+
+def on_axes(rows: DataFrame, **wanted: list[str] | None) -> DataFrame:
+    """Rows whose column of each named axis has one of the wanted values; an axis without values filters nothing."""
+    for axis, values in wanted.items():
+        if values:
+            rows = rows.where(F.col(axis).isin(values))
+    return rows
+
+
 def snippet(text: Column, n: int) -> Column:
     """The text, or its first n-1 characters and three dots."""
     return F.when(F.length(text) <= n, text).otherwise(F.concat(F.left(text, F.lit(n - 1)), F.lit("...")))

@@ -575,3 +575,12 @@ SELECT conv_id, turn, CASE WHEN k IN (1, 2) THEN 2 ELSE 1 END AS chunks, CASE k
 def _split(spark, sf_dir):
     own = table(spark, sf_dir, "conversations").where("role = 'user' AND text <> ''").select("conv_id", "turn", split_user_text(F.expr(WRAPPED)).alias("c"))
     return own.select("conv_id", "turn", F.size("c").alias("chunks"), F.element_at("c", 1)["origin_kind"].alias("first"), F.element_at("c", -1)["origin_kind"].alias("last"), F.sha2(F.element_at("c", -1)["text"], 256).alias("said"))
+
+
+@query(
+    "search_cursor",
+    "SELECT doc_id, n_chars FROM documents WHERE lang IN ('en', 'de') AND (n_chars < 2000 OR n_chars = 2000 AND doc_id > 500) ORDER BY n_chars DESC, doc_id LIMIT 40",
+)
+def _cursor(spark, sf_dir):
+    own = search.on_axes(table(spark, sf_dir, "documents"), lang=["en", "de"], source=None).select("doc_id", "n_chars")
+    return search.after_cursor(own, [("n_chars", True), ("doc_id", False)], {"n_chars": 2000, "doc_id": 500}, 40)

@@ -12,15 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders that each batch's rows are dealt into by their session, so that a batch reads only its own sessions' folders again.
+BUCKETS = 256
+
+
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 def rederive(log_path: str, out_path: str, key: str, derive: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function; writes ``out_path``/batch=N with the touched sessions' rows, the latest batch of a session standing."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        log = spark.read.parquet(log_path)
-        touched = spark.read.parquet(f"{log_path}/batch={number}").select(key).distinct()
-        derive(log.join(touched, key, "left_semi").drop("batch")).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        batch.withColumn("bucket", _bucket(key)).write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/batch={number}")
+        arrived = spark.read.parquet(f"{log_path}/batch={number}")
+        # BUCKETS numbers at most; the scan of the log is pruned to their folders.
+        buckets = [r.bucket for r in arrived.select("bucket").distinct().collect()]
+        log = spark.read.parquet(log_path).where(F.col("bucket").isin(buckets))
+        derive(log.join(arrived.select(key).distinct(), key, "left_semi").drop("batch", "bucket")).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return step
 
