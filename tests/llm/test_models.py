@@ -100,6 +100,32 @@ def test_pipeline(spark):
     assert packed.select("doc_id").distinct().count() == kept.count()
 
 
+def test_pipeline_on_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kind = dict(docs.dtypes)
+    odd = spark.createDataFrame([(None, None), (None, "no id " * 30), (900_001, None), (900_002, ""), (900_003, "twice the same row " * 20), (900_003, "twice the same row " * 20), (900_004, "word " * 40_000)], "doc_id long, text string")
+    odd = odd.selectExpr(f"CAST(doc_id AS {kind['doc_id']}) AS doc_id", "text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", f"CAST(length(text) AS {kind['n_chars']}) AS n_chars")
+    kept = docs.unionByName(odd)
+    for name in ("digest", "id", "rid", "spans", "kept", "mark", "toxicity_", "key", "label"):
+        kept = kept.withColumn(name, F.lit(name))
+    columns = kept.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.cut(stage(spark, kept, sf), "test-odd")
+        assert kept.columns == columns
+    got = [(r.doc_id, r.text) for r in kept.where("doc_id IS NULL OR doc_id > 900000").collect()]
+    # Empty texts are one group, its first id stays; so is the row that repeats; nothing else goes, whatever is cut inside texts.
+    assert sorted(str(i) for i, _ in got) == ["900001", "900003", "900004", "None"]
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
+    assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, nothing, sf)
+        assert out.count() == 0
+
+
 def test_pipeline_drops_passages_of_51_words(spark):
     import random
 
