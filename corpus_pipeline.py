@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from turnloom.llm import exact_dedup, near_dedup, packing, suffix_dedup, toxicity
-from turnloom.llm.common import cut, read_table
+from turnloom.llm.common import cut, read_table, small_batches
 from turnloom.llm.queries import END_ID, held_out
 
 #: A document with this toxicity or more goes.
@@ -65,5 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again by the next."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        with small_batches(spark):
+            docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

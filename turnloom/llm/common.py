@@ -68,15 +68,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
-    """What is written inside sends Python batches of ``rows`` rows, which bounds the memory that long texts take."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 2 << 20) -> Iterator[None]:
+    """What is written inside sends Python batches of ``rows`` rows and some ``size`` bytes, which bounds the memory that long texts take."""
+    before = {}
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        before[key] = spark.conf.get(key)
+        held = before[key].removesuffix("b")
+        spark.conf.set(key, min(most, int(held)) if held.isdigit() and int(held) > 0 else most)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
