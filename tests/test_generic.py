@@ -35,6 +35,24 @@ def test_fragments(spark):
     assert by[7] == [("unknown", "assistant", json.dumps(RECORDS[7], separators=(",", ":"), sort_keys=True), *none)]
 
 
+def test_token_usage(spark):
+    use = {"input_tokens": 3, "output_tokens": 2}
+    rows = [
+        {"role": "assistant", "content": "a", "usage": use, "stop_reason": "end"},
+        {"usage": {"input_tokens": 9}, "message": {"role": "ai", "content": "a", "usage": use, "stopReason": "length"}},
+        {"role": "user", "content": "a", "usage": use},
+        {"usage": use},
+        {"content": "no role", "usage": use},
+        {"role": "assistant", "usage": "much", "stop_reason": 5},
+        {"role": "assistant", "stop_reason": "aborted"},
+        {"role": "assistant", "usage": use, "message": {"usage": None, "stop_reason": None}, "stop_reason": "stop"},
+    ]
+    made = spark.createDataFrame([("o", i, json.dumps(r)) for i, r in enumerate(rows)], "origin string, ordinal int, raw string").select("origin", "ordinal", F.parse_json("raw").alias("record"))
+    got = {r.ordinal: (r.usage and (r.usage.input_tokens, r.usage.output_tokens, r.usage.total_tokens), r.stop_reason) for r in generic.token_usage(made).collect()}
+    assert got == {0: ((3, 2, 5), "end_turn"), 1: ((3, 2, 5), "max_tokens"), 4: ((3, 2, 5), None), 6: (None, "error"), 7: ((3, 2, 5), "end_turn")}
+
+
 def test_no_records(spark):
     empty = spark.createDataFrame([], "origin string, ordinal int, raw string").select("origin", "ordinal", F.parse_json("raw").alias("record"))
     assert generic.fragments(empty).count() == 0
+    assert generic.token_usage(empty).count() == 0

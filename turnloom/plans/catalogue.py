@@ -11,6 +11,7 @@ from turnloom import session
 from turnloom.functions import text as T
 from turnloom.functions.user_text import split_user_text
 from turnloom.operators import derive, linking, relate, search, usage
+from turnloom.sources import generic
 
 #: Clocks are parameters: the moment that recency is measured from.
 AS_OF = "2024-06-01 00:00:00"
@@ -584,3 +585,40 @@ def _split(spark, sf_dir):
 def _cursor(spark, sf_dir):
     own = search.on_axes(table(spark, sf_dir, "documents"), lang=["en", "de"], source=None).select("doc_id", "n_chars")
     return search.after_cursor(own, [("n_chars", True), ("doc_id", False)], {"n_chars": 2000, "doc_id": 500}, 40)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as records of three shapes: plain contents, a message with a list, and parts of a sender."""
+    turn, said = F.col("turn"), F.coalesce(F.nullif("text", F.lit("")), F.lit("-"))
+    call = F.concat(F.lit("c"), turn.cast("string"))
+    counts = F.when(turn % 2 == 0, F.struct((turn * 10).alias("prompt_tokens"), (F.col("conv_id") % 7).alias("completionTokens")))
+    plain = F.to_json(F.struct("role", F.col("text").alias("content"), counts.alias("usage")))
+    listed = F.to_json(F.struct(F.struct("role", F.lit("Tool Calls").alias("stopReason"), counts.alias("usage"), F.struct(F.lit("text").alias("type"), said.alias("text")).alias("content"), F.struct(F.lit("toolUse").alias("type"), call.alias("id"), F.lit("look").alias("name"), F.struct("turn").alias("input")).alias("tool_call")).alias("message")))
+    parts = F.to_json(F.struct(F.struct("role").alias("sender"), F.lit("length").alias("stop_reason"), F.array(F.struct(F.lit("function_result").alias("type"), call.alias("call_id"), said.alias("output"))).alias("parts")))
+    shaped = F.when(turn % 3 == 0, plain).when(turn % 3 == 1, listed).otherwise(parts)
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("origin"), turn.alias("ordinal"), F.parse_json(shaped).alias("record"))
+
+
+ROLE = "CASE WHEN role = 'user' THEN 'user' WHEN role IN ('system', 'developer') THEN 'system' ELSE 'assistant' END"
+
+
+@query(
+    "record_fragments",
+    f"""WITH t AS (SELECT conv_id AS origin, turn AS ordinal, text, coalesce(nullif(text, ''), '-') AS own, {ROLE} AS role FROM conversations)
+SELECT origin, ordinal, 0 AS place, 'text' AS kind, role, NULL::VARCHAR AS call_id, sha256(text) AS said FROM t WHERE ordinal % 3 = 0 AND trim(text) <> ''
+UNION ALL SELECT origin, ordinal, 0, 'text', role, NULL, sha256(own) FROM t WHERE ordinal % 3 = 1
+UNION ALL SELECT origin, ordinal, 1, 'tool_call', role, 'c' || ordinal, sha256('{{"turn":' || ordinal || '}}') FROM t WHERE ordinal % 3 = 1
+UNION ALL SELECT origin, ordinal, 0, 'tool_result', role, 'c' || ordinal, sha256(own) FROM t WHERE ordinal % 3 = 2""",
+)
+def _fragments(spark, sf_dir):
+    return generic.fragments(records(spark, sf_dir)).select("origin", "ordinal", "place", "kind", "role", "call_id", F.sha2("text", 256).alias("said"))
+
+
+@query(
+    "record_usage",
+    f"""WITH t AS (SELECT conv_id AS origin, turn AS ordinal, turn % 2 = 0 AND turn % 3 < 2 AS has, turn * 10 AS i, conv_id % 7 AS o FROM conversations WHERE {ROLE} = 'assistant')
+SELECT origin, ordinal, CASE WHEN has THEN i END AS input_tokens, CASE WHEN has THEN o END AS output_tokens, CASE WHEN has THEN i + o END AS total_tokens,
+  CASE ordinal % 3 WHEN 1 THEN 'tool_use' WHEN 2 THEN 'max_tokens' END AS stop_reason FROM t WHERE has OR ordinal % 3 > 0""",
+)
+def _record_usage(spark, sf_dir):
+    return generic.token_usage(records(spark, sf_dir)).select("origin", "ordinal", "usage.input_tokens", "usage.output_tokens", "usage.total_tokens", "stop_reason")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
+from turnloom.operators import usage
 
 # Where records keep each thing, the first string found counting.
 TIMES = "timestamp updatedAt createdAt created_at"
@@ -16,6 +17,7 @@ TITLES = "title name label sessionTitle session.title"
 PARENTS = "parentUuid parentId parent_id callingSessionId calling_session_id session.parentUuid session.parentId session.parent_id session.callingSessionId session.calling_session_id"
 CHILDREN = "agentId agent_id childAgentKey child_agent_key session.agentId session.agent_id session.childAgentKey session.child_agent_key"
 TEXTS = "text thinking output_text input_text content"
+STOPS = "stop_reason stopReason"
 PLAIN_TEXTS = "text output_text input_text output response message"
 CALLS, RESULTS = ["tool_use", "tool_call", "function_call"], ["tool_result", "function_result", "function_call_output", "toolresult"]
 
@@ -121,6 +123,30 @@ def _parts(message: Column) -> Column:
     return F.transform(F.when(tool, F.slice(held, 1, 1)).otherwise(held), lambda x: F.when(tool, _part("of_tool", message)).otherwise(x))
 
 
+def _message(record: Column) -> Column:
+    """The record's message, or the record where it holds none."""
+    return F.when(_is(_at(record, "message"), "OBJECT"), _at(record, "message")).otherwise(record)
+
+
+def _actor(role: Column) -> Column:
+    return F.when(role == "user", "user").when(role.isin("system", "developer"), "system").otherwise("assistant")
+
+
+def token_usage(records: DataFrame) -> DataFrame:
+    """(origin, ordinal, usage, stop_reason) of the assistant's records among (origin, ordinal, record) that report either.
+
+    usage is the struct of ``usage.normalised``, null where a record gives only its reason to stop. What a message says goes before
+    what its record says. A record with neither role nor content reports nothing.
+    """
+    whole, message = F.col("record"), F.col("_m")
+    rows = records.withColumn("_m", _message(whole)).withColumn("_role", F.coalesce(role(whole), role(message)))
+    spoken = rows.where((_actor(F.col("_role")) == "assistant") & (F.col("_role").isNotNull() | (F.size(_parts(message)) > 0)))
+    told = spoken.withColumn("_use", F.coalesce(_first(message, "usage"), _first(whole, "usage"))).withColumn("_stop", F.coalesce(_first(message, STOPS), _first(whole, STOPS)))
+    counts = F.when(_is(F.col("_use"), "OBJECT"), usage.normalised(F.col("_use")))
+    reason = F.when(_is(F.col("_stop"), "STRING"), T.stop_reason(F.try_variant_get("_stop", "$", "string")))
+    return told.select("origin", "ordinal", counts.alias("usage"), reason.alias("stop_reason")).where("usage IS NOT NULL OR stop_reason IS NOT NULL")
+
+
 def fragments(records: DataFrame) -> DataFrame:
     """(origin, ordinal, place, time_key, kind, role, text, call_id, tool_name) of records (origin, ordinal, record).
 
@@ -129,7 +155,7 @@ def fragments(records: DataFrame) -> DataFrame:
     with its JSON. A record without role, content or signal is one unknown fragment; a record without a time has a null time_key.
     """
     whole, message = F.col("record"), F.col("_m")
-    rows = records.withColumn("_m", F.when(_is(_at(whole, "message"), "OBJECT"), _at(whole, "message")).otherwise(whole))
+    rows = records.withColumn("_m", _message(whole))
     # Each is found once, in a step of its own: what follows reads it several times.
     found = {"_parent": PARENTS, "_child": CHILDREN, "_workspace": WORKSPACES, "_model": MODELS, "_title": TITLES}
     rows = rows.select("origin", "ordinal", "record", "_m", F.coalesce(role(whole), role(message)).alias("_role"), _parts(message).alias("_parts"), *(_string(whole, x).alias(c) for c, x in found.items()), *(_string(whole, x).alias(f"_{x}") for x in TIMES.split()))
@@ -145,7 +171,7 @@ def fragments(records: DataFrame) -> DataFrame:
     of_tool = _shaped("tool_result", _output(_at(value, "content")), _string(value, "toolUseId tool_use_id toolCallId tool_call_id id"), _string(value, "toolName tool_name"))
     bare = _shaped("unknown", F.when(F.col("_role").isNull(), F.to_json("record")))
     told = F.when(of.isNull(), bare).when(of == "item", _item(value)).when(of == "tool_call", _call(value)).when(of == "tool_result", _result(value)).when(of == "of_tool", of_tool).when(of == "plain", _shaped("text", F.col("_p.text"))).otherwise(_shaped(of, F.col("_p.text"), F.col("_p.more")))
-    actor = F.when(F.col("_role") == "user", "user").when(F.col("_role").isin("system", "developer"), "system").otherwise("assistant")
+    actor = _actor(F.col("_role"))
     # A record that has a role but says nothing gives no fragment.
     read = named.where("_p IS NOT NULL OR _role IS NULL").select("origin", "ordinal", F.coalesce("place", F.lit(0)).alias("place"), "time_key", actor.alias("role"), told.alias("_f"))
     return read.select("origin", "ordinal", "place", "time_key", "_f.kind", "role", "_f.text", "_f.call_id", "_f.tool_name")
