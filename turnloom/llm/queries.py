@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from turnloom.llm import byte_bpe, chat, embedding_dedup, exact_dedup, near_dedup, packing, quality, suffix_dedup, token_store, toxicity
+from turnloom.llm import byte_bpe, centroids, chat, embedding_dedup, exact_dedup, near_dedup, packing, prefix_trie, quality, suffix_dedup, token_store, toxicity, warc
 from turnloom.llm.common import read_table
 
 END_ID = 2
@@ -141,6 +141,81 @@ FROM safe GROUP BY conv_id
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt with the beginning of the first one of its block."""
+    turns, lengths = prefix_trie.turns_of(read_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns, lengths))
+
+
+#: Unsigned crc32 of the decimal conv_id, bit by bit.
+CRC_SQL = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(a.c::VARCHAR, ''), lambda x: list_transform(range(8), lambda j: ((ascii(x) >> j) & 1)::BIGINT)))), lambda s, b: xor(s >> 1, 3988292384 * (xor(s, b) & 1))), 4294967295)"
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), n AS (SELECT c, count(*) AS n FROM t GROUP BY 1
+), p AS (SELECT a.c, a.n, a.c - a.c % 20 AS b, {crc} % 4 AS h, coalesce(z.n, 0) AS bn FROM n a LEFT JOIN n z ON z.c = a.c - a.c % 20
+), r AS (
+  SELECT p.c, t.i, t.role, t.text FROM p JOIN t ON t.c = p.b AND t.i < p.h WHERE p.b <> p.c
+  UNION ALL SELECT p.c, CASE WHEN p.b = p.c THEN t.i ELSE t.i - p.h + least(p.h, p.bn) END, t.role, t.text FROM p JOIN t ON t.c = p.c WHERE p.b = p.c OR t.i >= p.h
+), x AS (
+  SELECT c, i + 1 AS d, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY i) AS k, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM r
+  UNION ALL SELECT c, 0, '', 0 FROM n
+), m AS (SELECT c, d, k, words, min(c) OVER (PARTITION BY d, k) AS rep, count(*) OVER (PARTITION BY d, k) AS n_convs, max(d) OVER (PARTITION BY c) AS len FROM x
+), e AS (SELECT rep, d, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM m WHERE d = len GROUP BY 1, 2
+), o AS (SELECT rep, d, any_value(n_convs) AS n_convs, any_value(words) AS words FROM m GROUP BY 1, 2
+), q AS (SELECT o.*, u.rep AS parent FROM o LEFT JOIN m u ON u.c = o.rep AND u.d = o.d - 1
+), k AS (SELECT parent AS rep, d - 1 AS d, count(*) AS n_children FROM q WHERE d > 0 GROUP BY 1, 2
+), f AS (SELECT q.*, coalesce(n_children, 0) AS n_children FROM q LEFT JOIN k USING (rep, d)
+), s AS (
+  SELECT u.rep, u.d, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.words)::BIGINT AS saved_tokens FROM f JOIN m u ON u.c = f.rep AND u.d <= f.d GROUP BY 1, 2)
+SELECT f.rep AS conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM f JOIN s USING (rep, d) LEFT JOIN e USING (rep, d)
+""".replace("{crc}", CRC_SQL)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every embedding after ten rounds from eight hashed vectors."""
+    return centroids.report(*centroids.cluster(read_table(spark, sf_dir, "embeddings")))
+
+
+def _op12_sql() -> str:
+    """Ten rounds, one after the other; vectors and centroids lie as rows of components."""
+    sql = """WITH v AS (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR), vec_id) - 1 AS place, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS vec
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (SELECT place AS z, vec FROM v WHERE place < 8)"""
+    near = "SELECT v.place, v.vec_id, v.vec, min(struct_pack(d := list_sum(list_transform(list_zip(v.vec, c.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, z := c.z)) AS best FROM v, {c} c GROUP BY 1, 2, 3"
+    for r in range(centroids.ROUNDS):
+        sql += f""", a{r} AS MATERIALIZED ({near.format(c=f"c{r}")}
+), m{r} AS (SELECT best.z AS z, j, sum(vec[j])::BIGINT AS s, count(*)::BIGINT AS n FROM a{r}, range(1, 65) g(j) GROUP BY 1, 2
+), n{r} AS (SELECT z, list(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END ORDER BY j) AS vec FROM m{r} GROUP BY 1
+), c{r + 1} AS MATERIALIZED (SELECT o.z, coalesce(n.vec, o.vec) AS vec FROM c{r} o LEFT JOIN n{r} n USING (z))"""
+    last = f"c{centroids.ROUNDS}"
+    return (
+        sql
+        + f""", a AS MATERIALIZED ({near.format(c=last)})
+SELECT a.vec_id, a.best.z::INT AS cluster, a.best.d AS distance, (sum(a.best.d) OVER (PARTITION BY a.best.z))::BIGINT AS cluster_inertia, (sum(a.best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(o.vec, ',')) AS centroid_sha256
+FROM a JOIN {last} o ON o.z = a.best.z"""
+    )
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written as a record of a packaged archive and read back from there."""
+    return warc.read(warc.write(read_table(spark, sf_dir, "pages"), least=0)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# A digest's 40 hex digits are 8 times 20 bits, which are 4 letters each.
+OP13_SQL = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS html FROM pages
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS largest,
+  array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, i::INT * 5 + 1, 5))::INT >> (15 - 5 * j::INT)) & 31) + 1, 1)), '')), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to FROM g
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_byte_bpe": op2_byte_bpe,
@@ -152,9 +227,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_centroids": op12_centroids,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op4_chat": OP4_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_centroids": _op12_sql(),
+    "op13_warc": OP13_SQL,
 }
