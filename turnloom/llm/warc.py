@@ -43,10 +43,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import scratch_path, small_batches
+from turnloom.llm.common import cut, scratch_path, small_batches
 
-#: Bytes of records after which a task starts its next package; bytes of one range read, unless a record is longer.
-PACKAGE, SPAN = 256 << 20, 1 << 20
+#: Bytes of records after which a task starts its next package; bytes of one range read, unless a record is longer; range reads of a task.
+PACKAGE, SPAN, SPANS_A_TASK = 256 << 20, 1 << 20, 16
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "path string, n_records long, n_bytes long"
 SPANS = "path string, member string, starts array<long>, lengths array<long>"
@@ -465,7 +465,9 @@ def read(packages: DataFrame, span: int = SPAN) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return spans(packages, span).repartition("path", F.element_at("starts", 1)).mapInArrow(records, RECORDS)
+    # A span is a short row for a long read, so tasks are counted out by spans, not by the size of their rows.
+    found = cut(spans(packages, span), "warc-spans")
+    return found.repartition(-(-max(1, found.count()) // SPANS_A_TASK), "path", F.element_at("starts", 1)).mapInArrow(records, RECORDS)
 
 
 def packages_at(spark: SparkSession, paths: list[str]) -> DataFrame:
