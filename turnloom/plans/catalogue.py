@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,31 +9,12 @@ from turnloom import session
 from turnloom.functions import text as T
 from turnloom.functions.user_text import split_user_text
 from turnloom.operators import derive, linking, relate, search, usage
+from turnloom.plans.registry import query, table
 from turnloom.sources import generic
 
 #: Clocks are parameters: the moment that recency is measured from.
 AS_OF = "2024-06-01 00:00:00"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and its SQL."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.atomize(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
 
