@@ -33,9 +33,18 @@ STOP_REASONS = {
 SEARCH_BYTES, SEARCH_CUT = 16 * 1024, "...[truncated]"
 
 
+# The characters that count as white space, Unicode's and the byte order mark among them.
+SPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(SPACE))
+
+
 def optional(text: Column) -> Column:
     """Trimmed, blank as null."""
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(trimmed(text), F.lit(""))
 
 
 def stable_id(*parts: Column) -> Column:
@@ -117,7 +126,7 @@ def segments(text: Column, context: str = "user_message", injected: bool = False
 
 def tidy(text: Column) -> Column:
     """Lines without trailing blanks, at most one empty line in a row, nothing at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[ \\t]+\\n", "\n"), "\\n{3,}", "\n\n"), "^\\s+|\\s+$", "")
+    return trimmed(F.regexp_replace(F.regexp_replace(text, "[ \\t]+\\n", "\n"), "\\n{3,}", "\n\n"))
 
 
 def canonical(text: Column, context: str = "user_message") -> Column:
@@ -161,7 +170,7 @@ def path_identity(path: Column) -> Column:
 
 def stop_reason(text: Column) -> Column:
     """One of four stop reasons from its many spellings; others are null."""
-    spelt = F.regexp_replace(F.lower(F.trim(text)), "[\\s-]+", "_")
+    spelt = F.regexp_replace(F.lower(trimmed(text)), f"[{SPACE}-]+", "_")
     out = F.lit(None).cast("string")
     for reason, words in STOP_REASONS.items():
         out = F.when(spelt.isin(*words.split()), reason).otherwise(out)
@@ -182,7 +191,7 @@ def max_iso(a: Column, b: Column) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "\\s+", " "))
+    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
 def compact(text: Column, n: int) -> Column:

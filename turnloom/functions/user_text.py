@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnloom.functions import text as T
+
 # How texts begin that no user wrote.
 DELEGATED = ["[Subagent Context]", "You are running as a subagent"]
 AUTOMATION = ["[cron:"]
@@ -30,7 +32,7 @@ CHUNKS = "array<struct<origin_kind:string,text:string,display_policy:string>>"
 
 
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+    return T.trimmed(text)
 
 
 def _starts(text: Column, prefixes: list[str]) -> Column:
@@ -70,7 +72,7 @@ def split_user_text(text: Column, platform: Column | None = None, path: Column |
     asked = F.array(_injected(_bare(F.substring(own, F.lit(1), at - 1))), _chunk("user_authored", _bare(F.substring(own, at + len(REQUEST), F.length(own)))))
 
     any_block = "(?:" + "|".join(BLOCKS) + ")"
-    lead = F.regexp_extract(own, f"^(?:{any_block}\\s*)+", 0)
+    lead = F.regexp_extract(own, f"^(?:{any_block}[{T.SPACE}]*)+", 0)
     led = F.transform(F.regexp_extract_all(lead, F.lit(f"({any_block})"), 1), _injected)
     rest = _chunk("user_authored", _bare(F.substring(own, F.length(lead) + 1, F.length(own))))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions import text as T
 from turnloom.functions.user_text import split_user_text
 
 
@@ -98,7 +99,7 @@ def context(atoms: DataFrame) -> DataFrame:
 
 def sessions(atoms: DataFrame) -> DataFrame:
     """Per session: its counts, its title (first authored text, squeezed, 72 characters) and its last actor."""
-    squeezed = F.trim(F.regexp_replace(F.regexp_replace("text", "<[^>]*>", " "), "\\s+", " "))
+    squeezed = T.squeezed(F.regexp_replace("text", "<[^>]*>", " "))
     authored = F.when(F.col("origin_kind") == "user_authored", F.col("seq_no"))
     return atoms.groupBy("session").agg(
         F.count("*").alias("n_atoms"),

@@ -130,5 +130,102 @@ def baseline_delta(rows: DataFrame, key: list[str], order: list[str], value: str
 
 def token_sum(rows: DataFrame, key: str, order: list[str], value: str, model: str) -> DataFrame:
     """Sum with null as 0, and the last non-empty model in order."""
-    named = F.when(F.length(F.trim(model)) > 0, F.col(model))
+    named = F.nullif(F.col(model), F.lit(""))
     return rows.groupBy(key).agg(F.round(F.sum(F.coalesce(F.col(value), F.lit(0.0))), 2).alias("total"), F.max_by(named, F.when(named.isNotNull(), F.struct(*order))).alias("model"))
+
+
+# Where a record may hold usage, and running totals, in the order in which they are added up.
+NESTED = "usage token_usage tokenUsage tokens token_count tokenCount metadata last_token_usage lastTokenUsage"
+NESTED_TOTALS = "total_token_usage totalTokenUsage total_usage totalUsage info"
+COUNTS = ["input_tokens", "output_tokens", "total_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "cached_input_tokens", "reasoning_output_tokens"]
+USAGE = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ",model:string>"
+#: The counts of a baseline key, in its order.
+KEYED = ["input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]
+
+
+def added(found: Column) -> Column:
+    """The sum of an array of usage structs, null ones left out: one alone as it is, else unknown counts are 0 and the last model named counts."""
+    there = F.filter(found, lambda u: u.isNotNull())
+
+    def plus(a: Column, b: Column) -> Column:
+        both = F.struct(*((F.coalesce(a[c], F.lit(0)) + F.coalesce(b[c], F.lit(0))).cast("long").alias(c) for c in COUNTS), F.coalesce(F.nullif(b["model"], F.lit("")), a["model"]).alias("model"))
+        return F.when(a.isNull(), b).otherwise(both)
+
+    return F.aggregate(there, F.lit(None).cast(USAGE), plus)
+
+
+def nested_usage(records: DataFrame, record: str, into: str = "usage", totals: bool = False, depth: int = 3) -> DataFrame:
+    """``records`` with the usage that a variant reports itself and under the usual names, down to ``depth`` names, added up.
+
+    Only the places that a record has are looked at: its paths are found level by level, and each becomes a row for a while.
+    ``totals`` looks for running totals instead.
+    """
+    names = (NESTED_TOTALS if totals else NESTED).split()
+    keyed = records.withColumn("_row", F.struct(F.monotonically_increasing_id(), F.lit(0)))
+    level = keyed.select("_row", F.col(record).alias("_v"), F.array().cast("array<int>").alias("_at"))
+    found = None
+    for d in range(depth + 1):
+        level = level.where(F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)))
+        here = level.select("_row", "_at", normalised(F.col("_v")).cast(USAGE).alias("_u"))
+        found = here if found is None else found.unionByName(here)
+        if d < depth:
+            inner = F.array(*(F.struct(F.try_variant_get("_v", f"$.{n}", "variant").alias("v"), F.lit(i).alias("i")) for i, n in enumerate(names)))
+            level = level.select("_row", "_at", F.explode(F.filter(inner, lambda x: x["v"].isNotNull())).alias("_x")).select("_row", F.col("_x.v").alias("_v"), F.array_append("_at", F.col("_x.i")).alias("_at"))
+    # What lies below a place is added before it: a place ends with a number above all names'.
+    order = F.array_append("_at", F.lit(len(names)))
+    each = found.where("_u IS NOT NULL").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("_u").alias("u")))).alias("_all"))
+    each = each.select("_row", added(F.transform("_all", lambda x: x["u"])).alias(into))
+    return keyed.join(each, "_row", "left").drop("_row")
+
+
+def merged_max(value: str) -> Column:
+    """An aggregate: the largest of each count."""
+    return F.when(F.count(value) > 0, F.struct(*(F.max(f"{value}.{c}").alias(c) for c in COUNTS)))
+
+
+def grown(now: Column, before: Column) -> Column:
+    """What a usage struct has more than the one before it, no count below 0; all of it where there is none before."""
+    more = [F.when(now[c].isNotNull() | before[c].isNotNull(), F.greatest(F.lit(0), F.coalesce(now[c], F.lit(0)) - F.coalesce(before[c], F.lit(0)))).cast("long").alias(c) for c in COUNTS]
+    return F.when(now.isNull() | before.isNull(), now).otherwise(F.struct(*more, now["model"].alias("model")))
+
+
+def baseline_key(total: Column, checkpoint: Column) -> Column:
+    """Which series of checkpoints a running total belongs to: what the total had before the checkpoint, count by count."""
+    parts = [F.when(total[c].isNull(), "_").otherwise((total[c] - F.coalesce(checkpoint[c], F.lit(0))).cast("string")) for c in KEYED]
+    known = F.coalesce(*(total[c] for c in KEYED)).isNotNull() & checkpoint.isNotNull()
+    return F.when(known, F.concat_ws("|", F.coalesce(total["model"], checkpoint["model"], F.lit("")), *parts))
+
+
+STATE = f"session string, baseline string, held {USAGE}"
+
+
+def checkpoint_growth(rows: DataFrame, state: DataFrame | None = None, session: str = "session", order: str = "ordinal") -> DataFrame:
+    """``rows`` (session, ordinal, usage, total) with ``baseline`` and ``growth``, what each checkpoint added.
+
+    A checkpoint of a known series grows against the largest counts of that series so far, any other by its running
+    total against the last one of the session. ``state`` is what ``checkpoint_state`` kept of earlier rows; without it the rows
+    are a session's first.
+    """
+    own = rows.withColumn("baseline", baseline_key(F.col("total"), F.col("usage"))).withColumn("_old", F.lit(False))
+    if state is not None:
+        kept = state.select(F.col("session").alias(session), "baseline", F.when(F.col("baseline").isNotNull(), F.col("held")).alias("usage"), F.when(F.col("baseline").isNull(), F.col("held")).alias("total"), F.lit(True).alias("_old"))
+        own = own.unionByName(kept, allowMissingColumns=True)
+    by = [F.desc("_old"), order]
+    series = Window.partitionBy(session, "baseline").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    largest = F.when(F.count("usage").over(series) > 0, F.struct(*(F.max(f"usage.{c}").over(series).alias(c) for c in COUNTS)))
+    last = F.last("total", ignorenulls=True).over(Window.partitionBy(session).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    named = own.withColumn("_most", largest).withColumn("_last", last)
+    growth = F.when(F.col("baseline").isNotNull(), grown(F.col("usage"), F.col("_most"))).otherwise(grown(F.col("total"), F.col("_last")))
+    return named.withColumn("growth", growth).where("NOT _old").drop("_old", "_most", "_last")
+
+
+def checkpoint_state(rows: DataFrame, state: DataFrame | None = None, session: str = "session", order: str = "ordinal") -> DataFrame:
+    """What later rows need of these (STATE): per series its largest counts, per session (baseline null) its last running total."""
+    own = rows.withColumn("baseline", baseline_key(F.col("total"), F.col("usage")))
+    series = own.where("baseline IS NOT NULL").select(F.col(session).alias("session"), "baseline", F.col("usage").alias("held"))
+    last = own.where("total IS NOT NULL").groupBy(F.col(session).alias("session")).agg(F.max_by("total", order).alias("held")).select("session", F.lit(None).cast("string").alias("baseline"), "held")
+    if state is not None:
+        series = series.unionByName(state.where("baseline IS NOT NULL"))
+        last = last.unionByName(state.where("baseline IS NULL").join(last.select("session"), "session", "left_anti").select("session", "baseline", "held"))
+    most = F.struct(*(F.max(f"held.{c}").alias(c) for c in COUNTS), F.lit(None).cast("string").alias("model"))
+    return series.groupBy("session", "baseline").agg(most.alias("held")).unionByName(last)

@@ -37,13 +37,13 @@ def _string(record: Column, paths: str) -> Column:
 
 def _tag(value: Column) -> Column:
     """toolUse, tool-use and tool_use are one."""
-    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(value), "([a-z0-9])([A-Z])", "$1_$2"), "[\\s-]+", "_"))
+    return F.lower(F.regexp_replace(F.regexp_replace(T.trimmed(value), "([a-z0-9])([A-Z])", "$1_$2"), f"[{T.SPACE}-]+", "_"))
 
 
 def role(record: Column) -> Column:
     """user, assistant, system or the name given; where none is, the record's type if that is a role. Tools speak as the assistant."""
-    named = F.lower(F.trim(_string(record, ROLES)))
-    kind = F.lower(F.trim(_string(record, "type")))
+    named = F.lower(T.trimmed(_string(record, ROLES)))
+    kind = F.lower(T.trimmed(_string(record, "type")))
     known = (
         F.when(named.isin("human", "user", "operator"), "user")
         .when(named.isin("assistant", "ai", "model", "bot", "tool"), "assistant")
@@ -100,7 +100,7 @@ def _entries(record: Column, path: str) -> Column:
     listed = F.coalesce(F.try_variant_get(record, f"$.{path}", "array<variant>"), F.when(value.isNotNull(), F.array(value)), F.array().cast("array<variant>"))
     if path.startswith("tool_"):
         return F.filter(listed, lambda x: _is(x, "OBJECT"))
-    return F.filter(listed, lambda x: _is(x, "OBJECT") | (_is(x, "STRING") & (F.trim(F.try_variant_get(x, "$", "string")) != "")))
+    return F.filter(listed, lambda x: _is(x, "OBJECT") | (_is(x, "STRING") & (T.trimmed(F.try_variant_get(x, "$", "string")) != "")))
 
 
 def _part(origin: str, value: Column | None = None, text: Column | None = None, more: Column | None = None) -> Column:
@@ -117,7 +117,7 @@ def _parts(message: Column) -> Column:
 
     found = F.concat(*(parts(of, p) for of, held in paths.items() for p in held))
     plain = _string(message, PLAIN_TEXTS)
-    spare = F.filter(F.array(_part("plain", text=plain)), lambda x: F.trim(x["text"]) != "")
+    spare = F.filter(F.array(_part("plain", text=plain)), lambda x: T.trimmed(x["text"]) != "")
     held = F.when(F.size(found) > 0, found).otherwise(spare)
     tool = _tag(_string(message, ROLES)).isin("tool_result", "toolresult")
     return F.transform(F.when(tool, F.slice(held, 1, 1)).otherwise(held), lambda x: F.when(tool, _part("of_tool", message)).otherwise(x))

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions import text as T
+from turnloom.session import need_checkpoints
+
+#: Splits whose line counts may be broadcast, some 100 bytes each.
+MOST_BROADCAST = 100_000
+
 
 def capture(spark: SparkSession, path: str) -> DataFrame:
     """Every file under ``path`` with its checksum, size and time; contents stay behind."""
@@ -12,12 +18,40 @@ def capture(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("origin"), F.sha1("content").alias("checksum"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, ordinal, raw): the trimmed, non-empty lines of each file, numbered from 0 in file order."""
-    text = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("origin"), "value")
-    cut = text.select("origin", F.posexplode(F.split("value", "[\\r\\n]+")).alias("place", "raw")).withColumn("raw", F.trim("raw")).where(F.length("raw") > 0)
-    order = Window.partitionBy("origin").orderBy("place")
-    return cut.select("origin", (F.row_number().over(order) - 1).alias("ordinal"), "raw")
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(origin, ordinal, raw): the trimmed, non-empty lines of each file, numbered from 0 in file order.
+
+    Files are read in splits, so no file, however long, is held by one task. A first pass counts the lines of
+    every split; a line's number is its place in its split and the lines of the splits before. The counts, a row per split, are
+    joined to the lines of a second pass over the same splits.
+    """
+    need_checkpoints(spark)
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    cut = text.select(F.col("_metadata.file_path").alias("origin"), F.col("_metadata.file_block_start").alias("block"), T.trimmed("value").alias("raw")).where(F.length("raw") > 0)
+    # The ids of a split's lines follow each other, as a task reads split after split.
+    cut = cut.withColumn("at", F.monotonically_increasing_id())
+    splits = cut.groupBy("origin", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("origin").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("origin", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")).checkpoint()
+    small = starts.count() <= MOST_BROADCAST
+    return cut.join(F.broadcast(starts) if small else starts, ["origin", "block"]).select("origin", (F.col("at") + F.col("shift")).alias("ordinal"), "raw")
+
+
+def first_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(origin, raw) of the first non-empty line of each file."""
+    return lines(spark, path).where("ordinal = 0").select("origin", "raw")
+
+
+def tail_time(records: DataFrame, look_back: int = 5) -> DataFrame:
+    """(origin, tail_time): the latest ``timestamp`` among the last ``look_back`` lines of each file that are JSON, as it was written; null without one.
+
+    ``records`` are (origin, ordinal, raw). Each task keeps the last lines of its own before they meet.
+    """
+    known = records.withColumn("v", F.try_parse_json("raw")).where("v IS NOT NULL").select("origin", "ordinal", F.when(F.schema_of_variant(F.try_variant_get("v", "$.timestamp", "variant")) == "STRING", F.try_variant_get("v", "$.timestamp", "string")).alias("said"))
+    last = known.withColumn("k", F.row_number().over(Window.partitionBy("origin").orderBy(F.desc("ordinal")))).where(F.col("k") <= look_back)
+    moment = F.try_to_timestamp("said")
+    # Of equal moments the one nearest to the end counts.
+    return last.groupBy("origin").agg(F.max_by("said", F.when(moment.isNotNull(), F.struct(moment, (-F.col("k")).alias("k")))).alias("tail_time"))
 
 
 def parsed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
