@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **more: str) -> SparkSession:
@@ -28,3 +29,24 @@ def need_checkpoints(spark: SparkSession) -> None:
         if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnloom-"))
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the checkpoint folder and read again, which cuts its lineage; ``forget`` removes it, or the end of the application."""
+    spark = df.sparkSession
+    need_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/turnloom-{label}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove what ``settled`` wrote for these frames, which no later step may read."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
