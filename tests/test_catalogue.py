@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from turnloom.plans import catalogue, contexts, lifecycle, links, records  # noqa: F401  (they register their queries)
+from turnloom.plans import catalogue, contexts, lifecycle, links, records, seeds  # noqa: F401  (they register their queries)
 from turnloom.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -182,6 +182,12 @@ def coerce_iso(text: Column) -> Column:
     return F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def iso_of_millis(number: Column) -> Column:
+    """Milliseconds since 1970 as a time in UTC; null where that is no time."""
+    fits = number.between(-8.64e15, 8.64e15)
+    return F.date_format(F.timestamp_millis(F.when(fits, number).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def min_iso(a: Column, b: Column) -> Column:
     return F.least(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
 
