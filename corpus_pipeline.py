@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from turnloom.llm import exact_dedup, near_dedup, packing, suffix_dedup, toxicity
-from turnloom.llm.common import cut, read_table, small_batches
+from turnloom.llm.common import cut, fresh, read_table, small_batches
 from turnloom.llm.queries import END_ID, held_out
 
 #: A document with this toxicity or more goes.
@@ -25,7 +25,8 @@ PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the subsequence-kernel machine doesn't reject; it learns from the training folds of ``labels``."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels").where(~held_out()))
-    return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC).drop("toxicity")
+    (score,) = fresh(docs, "toxicity")
+    return toxicity.score(docs, model, into=score).where(F.col(score) < TOXIC).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
