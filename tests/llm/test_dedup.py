@@ -213,3 +213,21 @@ def test_embedding_dedup_of_one_hot_group(spark):
     assert all(got[i].n_links <= want[i] for i in range(len(x)))
     assert sum(r.n_links for r in got.values()) >= 0.99 * want.sum()
     assert {got[i].component_id for i in range(4000) if want[i]} == {0}
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    other = "nothing like the others at all, told in quite other words"
+    # An unrelated text, and a link of another text, share a linked text's id; names of the operator's own come along.
+    rows = [(3, a), (5, a), (5, other), (7, a), (7, b), (9, b + " zz"), (3, a), (None, a), (11, ""), (11, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, gone_id int, said int, component int").repartition(3)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.link(docs).collect()), key=str)
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 5, True), (7, 3, False), (7, 7, True), (9, 7, False), (3, 3, True), (None, None, True), (11, 11, True), (11, 11, True)], key=str)
+    kept = near_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, a), (5, other), (7, b), (None, a), (11, ""), (11, "")], key=str)
+
+
+def test_exact_dedup_keeps_the_longest_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "a b", 1), (1, "a     b", 2), (1, "ab", 3), (2, "a  b", 4)], "doc_id long, text string, row int").repartition(3)
+    assert [tuple(r) for r in exact_dedup.keep_best(docs).collect()] == [(1, "a     b", 2)]

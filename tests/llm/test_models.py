@@ -109,7 +109,7 @@ def test_pipeline_on_odd_rows(spark):
     odd = spark.createDataFrame([(None, None), (None, "no id " * 30), (900_001, None), (900_002, ""), (900_003, "twice the same row " * 20), (900_003, "twice the same row " * 20), (900_004, "word " * 40_000)], "doc_id long, text string")
     odd = odd.selectExpr(f"CAST(doc_id AS {kind['doc_id']}) AS doc_id", "text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", f"CAST(length(text) AS {kind['n_chars']}) AS n_chars")
     kept = docs.unionByName(odd)
-    for name in ("digest", "id", "rid", "spans", "kept", "mark", "toxicity_", "key", "label"):
+    for name in ("digest", "id", "rid", "spans", "kept", "mark", "toxicity", "gone_id", "said", "number", "key", "label"):
         kept = kept.withColumn(name, F.lit(name))
     columns = kept.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:

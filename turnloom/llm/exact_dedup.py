@@ -264,5 +264,7 @@ def keep_best(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     out = marked.join(gone, [mark, number], "left_anti")
     repeated = gone.where("again")
     if not repeated.isEmpty():
-        out = out.unionByName(marked.join(repeated, [mark, number], "left_semi").dropDuplicates([mark, number]))
+        # Of rows that share the best one's id too the longest text stays, of equally long ones the last in order.
+        held = marked.join(repeated, [mark, number], "left_semi").groupBy(mark, number).agg(F.max_by(F.struct(*docs.columns), F.struct(F.length(text), F.col(text))).alias(fresh(docs, "row")[0]))
+        out = out.select(*docs.columns).unionByName(held.select(f"{held.columns[-1]}.*"))
     return out.select(*docs.columns)

@@ -4,7 +4,7 @@ A document's set holds its distinct word shingles. Two small collections of
 ``PARTS`` band parts each (``ROWS`` minhashes a part) are computed, and every pair
 of a part from the one and a part from the other forms a table key: PARTS^2
 tables from 2 * PARTS * ROWS minhashes. Documents of equal sets are one node, so
-copies make no candidates.
+copies make no candidates, and rows of one doc_id but of other texts aren't mixed up.
 
 Nodes that share a key are candidates. Candidates are confirmed on full sets in
 rounds: in each table bucket every node is compared with one anchor, skipping
@@ -20,8 +20,8 @@ Words are the runs of other characters between ASCII white space, lower-cased
 in A-Z only. Defined cases: a text without words, or null, has the empty set and
 links with nothing; fewer words than a shingle make one shingle; a null doc_id
 is returned unlinked, its component null; repeated rows link; rows of one doc_id
-with different texts count as one document, confirmed by the least of them; an empty
-table gives no rows; extra columns are ignored.
+with different texts are documents of their own, each in the group of its text; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import cut, forget, small_batches
+from turnloom.llm.common import cut, forget, fresh, small_batches
 from turnloom.llm.components import components, roots
 from turnloom.llm.mphf import mix
 from turnloom.llm.word_bpe import as_bytes, slices
@@ -114,11 +114,11 @@ def band_parts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-SIGNATURE = "doc_id long, n_shingles long, digest binary, left array<long>, right array<long>"
+SIGNATURE = "doc_id long, said long, n_shingles long, digest binary, left array<long>, right array<long>"
 
 
 def signatures(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """SIGNATURE of every row: set size, a 128-bit digest of the set, and the two collections (null for the empty set)."""
+    """SIGNATURE of every row: a hash of its text (``said``), set size, a 128-bit digest of the set, and the two collections (null for the empty set)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +133,10 @@ def signatures(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: s
                     offsets = np.concatenate([[0], np.cumsum(np.where(at >= 0, PARTS, 0))])
                     sides.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.ascontiguousarray(side).ravel(), pa.int64())))
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), *sides], ["doc_id", "n_shingles", "digest", "left", "right"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("said"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), *sides], ["doc_id", "said", "n_shingles", "digest", "left", "right"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(rows, SIGNATURE)
+    own = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(own).alias("said"), own.alias("text")).mapInArrow(rows, SIGNATURE)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -211,20 +212,25 @@ def _crowds(members: DataFrame, texts: DataFrame, words: int, similarity: int) -
     return paired.join(texts, "doc").groupBy("crowd", "low", "high").applyInPandas(_crossing(similarity, words), "anchor long, member long")
 
 
-def link(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+def _linked(docs: DataFrame, words: int, similarity: int, key: str, text: str) -> DataFrame:
+    """(doc_id, said, n_shingles, component, least) of every row: ``component`` names its group, ``least`` is that group's smallest doc_id; null where a row can't be in one."""
     spark = docs.sparkSession
     with small_batches(spark):
         rows = cut(signatures(docs, words, key, text), "near-signatures")
     real = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    # One node per distinct set: its smallest doc_id.
-    nodes = real.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+    # One node per distinct set, whatever the doc_ids of its rows; a row that has it, by id and text, stands for it.
+    row = F.struct("doc_id", "said")
+    nodes = real.groupBy("digest").agg(F.min(row).alias("row"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+    nodes = nodes.select("digest", F.col("row.doc_id").alias("least"), F.col("row.said").alias("said"), "n", "left", "right", F.monotonically_increasing_id().alias("doc"))
     nodes = cut(nodes, "near-nodes")
     keys = nodes.select("doc", "n", F.explode(F.flatten(F.transform("left", lambda a: F.transform(F.col("right"), lambda b: F.xxhash64(a, b))))).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("in"), F.min("doc").alias("d1"), F.max("doc").alias("d2"))
     # Buckets of one node are most of the keys; the rest is what travels on.
     buckets = cut(keys.join(shared.where("`in` > 1").select("key"), "key", "left_semi"), "near-buckets")
-    near = cut(docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(buckets.select("doc").distinct(), "doc").groupBy("doc").agg(F.min("text").alias("text")), "near-texts")
+    wanted = nodes.join(buckets.select("doc").distinct(), "doc", "left_semi").select("doc", "least", "said")
+    own = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.col(key).cast("long").alias("least"), F.xxhash64(own).alias("said"), own.alias("text")).join(wanted, ["least", "said"])
+    near = cut(texts.groupBy("least", "said", "doc").agg(F.min("text").alias("text")).select("doc", "text"), "near-texts")
 
     fits = (100 * F.least("n", "n2") >= similarity * F.greatest("n", "n2")) & (F.col("doc") != F.col("doc2"))
     labels, tested, links = None, None, None
@@ -268,13 +274,40 @@ def link(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, key:
         labels = cut(components(links, "anchor", "member"), "near-labels")
     forget(*spent)
 
-    of_node = nodes.select("digest", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("digest", F.coalesce("component", "doc").alias("component"))
+    # A group's smallest doc_id is found among the nodes that are linked; any other node is a group of its own.
+    joined = labels.join(nodes.select(F.col("doc").alias("node"), "least"), "node")
+    smallest = joined.groupBy("component").agg(F.min("least").alias("smallest"))
+    grouped = labels.join(smallest, "component").select(F.col("node").alias("doc"), "component", "smallest")
+    of_node = nodes.select("digest", "doc", "least").join(grouped, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"), F.coalesce("smallest", "least").alias("least"))
     out = rows.join(of_node, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    there = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    return out.select("doc_id", "said", "n_shingles", F.when(there, F.col("component")).alias("component"), F.when(there, F.col("least")).alias("least"))
+
+
+def link(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    out = _linked(docs, words, similarity, key, text).select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document, the smallest doc_id, of each group of near-duplicates."""
-    gone = link(docs, words, similarity, key, text).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(key) == F.col("gone_id"), "left_anti")
+    """``docs`` with one row of each group of near-duplicates: the one of the smallest doc_id, of rows that share it the one whose text hashes least.
+
+    Rows without words or without an id are in no group and stay.
+    """
+    rows = cut(_linked(docs, words, similarity, key, text).where("component IS NOT NULL").select("doc_id", "said", "component"), "near-rows")
+    row = F.struct("doc_id", "said")
+    many = rows.groupBy("component").agg(F.min(row).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    marked = rows.join(many, "component").select("doc_id", "said", (row == F.col("best")).alias("is_best"))
+    counted = marked.groupBy("doc_id", "said").agg(F.bool_or("is_best").alias("again"), F.count("*").alias("rows"))
+    # A best row that repeats, id, text and all, stays once.
+    gone = cut(counted.where("NOT again OR rows > 1").select("doc_id", "said", "again"), "near-gone")
+    forget(rows)
+    number, mark = fresh(docs, "number", "mark")
+    gone = gone.withColumnsRenamed({"doc_id": number, "said": mark})
+    named = docs.withColumn(number, F.col(key).cast("long")).withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    out = named.join(gone, [number, mark], "left_anti")
+    repeated = gone.where("again")
+    if not repeated.isEmpty():
+        out = out.unionByName(named.join(repeated, [number, mark], "left_semi").dropDuplicates([number, mark]))
+    return out.select(*docs.columns)
