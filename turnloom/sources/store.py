@@ -18,9 +18,21 @@ def _held(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path) if there else like.limit(0)
 
 
-def replace(rows: DataFrame, path: str, source: str = "source_id") -> None:
-    """Put ``rows`` in place of everything that their sources held; other sources stay untouched."""
+def replace(rows: DataFrame, path: str, source: str = "source_id", sources: list | None = None) -> None:
+    """Put ``rows`` in place of everything that their sources held; other sources stay untouched.
+
+    ``sources`` names sources that are replaced even where ``rows`` holds nothing of them: what they held goes. Sources are
+    replaced one after the other, so a job that fails may have replaced some; ``bundles.commit`` writes all or nothing.
+    """
     rows.write.partitionBy(source).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    if sources:
+        spark = rows.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        filled = {r[0] for r in rows.where(F.col(source).isin(sources)).select(source).distinct().collect()}
+        for name in set(sources) - filled:
+            target = jvm.org.apache.hadoop.fs.Path(f"{path}/{source}={escape(str(name))}")
+            target.getFileSystem(conf).delete(target, True)
 
 
 def merge_by_origin(rows: DataFrame, path: str, source: str = "source_id", origin: str = "origin") -> None:
