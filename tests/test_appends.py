@@ -196,3 +196,15 @@ def test_growth_over_a_stream(spark, tmp_path):
     key = lambda rows: sorted((r.ordinal, r.session, r.baseline, r.growth and tuple(r.growth)) for r in rows)
     want = usage.checkpoint_growth(spark.createDataFrame(rows, kind)).collect()
     assert key(spark.read.parquet(str(tmp_path / "out")).collect()) == key(want)
+
+
+def test_overview_of_odd_rows(spark):
+    kind = f"use {usage.USAGE}, replies int, reason string, model string, host string"
+    rows = [(struct(5), 1, None, "m", "h"), (struct(2), 0, "x", "unknown", None), (None, 0, None, None, "h"), (None, None, None, "m", "g"), (None, 2, "no", "m", "h"), (None, 2, None, "m", "h")]
+    made = usage.with_measures(spark.createDataFrame(rows, kind), "use")
+    zero = usage.no_tokens(F.col("use"), F.col("replies"), F.col("reason"))
+    r = usage.overview_measures(made, zero).first()
+    assert (r.turns, r.covered, r.coverage, r.with_model, r.input_tokens, r.total_tokens, r.excluded) == (3, 2, 0.6667, 2, 7, 9, 3)
+    assert usage.filtered(made, hosts=["h"], zero=zero).count() == 2 and usage.filtered(made, hosts=[]).count() == 6
+    r = usage.overview_measures(made.limit(0), zero).first()
+    assert (r.turns, r.coverage, r.input_tokens, r.excluded) == (0, 0.0, 0, 0)

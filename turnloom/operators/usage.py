@@ -57,11 +57,11 @@ def with_measures(turns: DataFrame, use: str, total: str | None = None) -> DataF
     })
 
 
-def rollup_measures(rows: DataFrame, key: Column, label: Column, model: str = "model") -> DataFrame:
-    """Per key: its label, turns, those with usage and their share, those with a known model, and the sums of MEASURES."""
+def rollup_measures(rows: DataFrame, key: Column, label: Column, model: str = "model", order: list[str] | None = None) -> DataFrame:
+    """Per key: its label, the first one seen by ``order`` or else the least, turns, those with usage and their share, those with a known model, and the sums of MEASURES."""
     covered = F.count_if(F.col("has_token_usage"))
     return rows.groupBy(key.alias("key")).agg(
-        F.min(label).alias("label"),
+        (F.min_by(label, F.struct(*order)) if order else F.min(label)).alias("label"),
         F.count("*").alias("turns"),
         covered.alias("covered"),
         F.round(covered / F.count("*"), 4).alias("coverage"),
@@ -100,17 +100,41 @@ def overview(rows: DataFrame, total: str, model: str, zero: Column) -> DataFrame
     )
 
 
+def no_tokens(usage: Column, replies: Column, reason: Column) -> Column:
+    """A turn known to have used no tokens: it reports none, and it has a reason for that or no reply."""
+    return usage.isNull() & (reason.isNotNull() | (F.coalesce(replies, F.lit(0)) == 0))
+
+
+def overview_measures(rows: DataFrame, zero: Column | None = None, model: str = "model") -> DataFrame:
+    """One row over rows of ``with_measures``: turns, those with usage and their share (0 without turns), those with a known model, the sums of
+    MEASURES, and the turns left out, for which ``zero`` holds; without it none is.
+    """
+    out = F.coalesce(zero, F.lit(False)) if zero is not None else F.lit(False)
+    kept = ~out
+    n, covered = F.count_if(kept), F.count_if(kept & F.col("has_token_usage"))
+    return rows.agg(
+        n.alias("turns"),
+        covered.alias("covered"),
+        F.round(F.when(n == 0, 0.0).otherwise(covered / n), 4).alias("coverage"),
+        F.count_if(kept & (F.coalesce(model, F.lit("unknown")) != "unknown")).alias("with_model"),
+        *(F.coalesce(F.sum(F.when(kept, F.col(m))), F.lit(0)).alias(m) for m in MEASURES),
+        F.count_if(out).alias("excluded"),
+    )
+
+
 def rollup(rows: DataFrame, key: Column, total: str, by_time: bool = False) -> DataFrame:
     """Turns and tokens per key; ordered by key for time keys, else by tokens, turns and label."""
     out = rows.groupBy(F.coalesce(key, F.lit("unknown")).alias("key")).agg(F.count("*").alias("turns"), F.round(F.sum(total), 2).alias("total"), F.count(F.when(F.col(total) > 0, 1)).alias("covered"))
     return out.orderBy("key") if by_time else out.orderBy(F.desc("total"), F.desc("turns"), "key")
 
 
-def filtered(rows: DataFrame, projects: list | None = None, sources: list | None = None, after_day: str | None = None) -> DataFrame:
-    """Rows that pass every given filter; an empty list filters nothing, a null project never matches."""
-    for column, wanted in (("project_id", projects), ("source_id", sources)):
+def filtered(rows: DataFrame, projects: list | None = None, sources: list | None = None, after_day: str | None = None, hosts: list | None = None, zero: Column | None = None) -> DataFrame:
+    """Rows that pass every given filter; an empty list filters nothing, a null project never matches. Rows for which ``zero`` holds go."""
+    for column, wanted in (("project_id", projects), ("source_id", sources), ("host", hosts)):
         if wanted:
             rows = rows.where(F.col(column).isin(wanted))
+    if zero is not None:
+        rows = rows.where(~F.coalesce(zero, F.lit(False)))
     if after_day:
         rows = rows.where(F.col("day") >= after_day)
     return rows

@@ -57,3 +57,37 @@ def _nested(spark, sf_dir):
     deep = F.to_json(F.struct(F.struct(F.struct(F.struct(tokens.alias("usage")).alias("metadata")).alias("usage")).alias("tokens")))
     own = table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(F.coalesce(said, deep)).alias("record"))
     return usage.nested_usage(own, "record").select("o_orderkey", "usage.input_tokens", "usage.output_tokens", "usage.total_tokens")
+
+
+def measured(spark, sf_dir):
+    """Orders as turns: three of four report counts, a third of the others have no reply; customers' segments are hosts."""
+    key = F.col("o_orderkey")
+    said = F.to_json(F.when(key % 4 != 0, F.struct(F.col("o_custkey").alias("inputTokens"), (key % 11).alias("output_tokens"), (key % 7).alias("cache_creation_tokens"), (key % 3).alias("thinking_tokens"))))
+    own = table(spark, sf_dir, "orders").select(key, "o_custkey", "o_orderdate", F.col("o_orderpriority").alias("label"), F.when(key % 5 > 0, F.col("o_orderstatus")).alias("model"), F.when(key % 3 > 0, key % 2 + 1).alias("replies"), F.when(key % 8 == 0, "no_assistant_reply").alias("reason"), usage.normalised(F.parse_json(said)).alias("use"))
+    hosts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("host"))
+    rows = usage.with_measures(own.join(hosts, "o_custkey", "left"), "use")
+    return rows.withColumn("zero", usage.no_tokens(F.col("use"), F.col("replies"), F.col("reason")))
+
+
+MEASURED = """m AS (SELECT o_orderkey, o_orderdate, o_orderstatus, o_orderpriority AS label, c_mktsegment AS host, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS model, o_orderkey % 4 <> 0 AS has, o_custkey AS i, o_orderkey % 7 AS c, o_orderkey % 11 AS o, o_orderkey % 3 AS r,
+  o_orderkey % 4 = 0 AND (o_orderkey % 8 = 0 OR o_orderkey % 3 = 0) AS zero FROM orders LEFT JOIN customer ON c_custkey = o_custkey)"""
+SUMS = "coalesce(sum(i) FILTER (has), 0)::BIGINT AS input_tokens, coalesce(sum(c) FILTER (has), 0)::BIGINT AS cached_input_tokens, coalesce(sum(o) FILTER (has), 0)::BIGINT AS output_tokens, coalesce(sum(r) FILTER (has), 0)::BIGINT AS reasoning_output_tokens, coalesce(sum(i + o + c) FILTER (has), 0)::BIGINT AS total_tokens"
+
+
+@query(
+    "overview_measures",
+    f"""WITH {MEASURED} SELECT count(*) FILTER (NOT zero) AS turns, count(*) FILTER (has) AS covered, round(count(*) FILTER (has) / count(*) FILTER (NOT zero), 4) AS coverage, count(*) FILTER (NOT zero AND model IS NOT NULL) AS with_model,
+  {SUMS}, count(*) FILTER (zero) AS excluded FROM m WHERE host IN ('BUILDING', 'MACHINERY')""",
+)
+def _overview(spark, sf_dir):
+    return usage.overview_measures(usage.filtered(measured(spark, sf_dir), hosts=["BUILDING", "MACHINERY"]), F.col("zero"))
+
+
+@query(
+    "rollup_first_label",
+    f"""WITH {MEASURED} SELECT o_orderstatus AS key, arg_min(label, struct_pack(a := o_orderdate, b := o_orderkey)) AS label, count(*) AS turns, count(*) FILTER (has) AS covered, round(count(*) FILTER (has) / count(*), 4) AS coverage, count(*) FILTER (model IS NOT NULL) AS with_model, {SUMS}
+FROM m WHERE NOT zero GROUP BY 1""",
+)
+def _first_label(spark, sf_dir):
+    rows = usage.filtered(measured(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey"), zero=F.col("zero"))
+    return usage.rollup_measures(rows, F.col("o_orderstatus"), F.col("label"), order=["o_orderdate", "o_orderkey"])
