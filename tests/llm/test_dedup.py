@@ -199,6 +199,44 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.link(docs.limit(0)).count() == 0
 
 
+def test_embedding_dedup_links_vectors_of_every_length(spark):
+    # Three lengths of their own pivots and seventeen of few vectors, one of them beyond a block; a vector of two components is no start of another.
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+
+    def add(x):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near, first = u @ u.T >= 0.95, len(rows)
+        label = union(len(u), [(i, j) for i in range(len(u)) for j in range(i) if near[i, j]])
+        for k, v in enumerate(x):
+            want[first + k] = (int(near[k].sum()) - 1, first + label[k])
+            rows.append((first + k, v.tolist()))
+
+    for size, n in ((16, 300), (24, 200), (48, 60)):
+        base = rng.normal(size=(n, size))
+        add(np.vstack([base, base[: n // 2] + 0.02 * rng.normal(size=(n // 2, size))]))
+    for size in range(2, 18):
+        if size != 16:
+            add(np.array([[1.0] * size, [1.0] * size, [1.0] * (size - 1) + [-1.0]]))
+    add(np.array([[3.0], [0.5], [-2.0]]))
+    add(np.ones((1, 99)))
+    got = {r.vec_id: r for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == want
+
+
+def test_embedding_dedup_compares_a_rare_length_in_blocks(spark, monkeypatch):
+    # Lengths without pivots, their lists cut into blocks of 16.
+    monkeypatch.setattr(embedding_dedup, "INDEXED", 0)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=(60, 8))
+    x = np.vstack([base, base + 0.05 * rng.normal(size=(60, 8))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: int(near[i].sum()) - 1 for i in range(len(x))}
+
+
 def test_embedding_dedup_of_one_hot_group(spark):
     # A third of all vectors is one direction with noise of their own. With pivots sampled alone, under nine tenths of its links were found.
     rng = np.random.default_rng(4)

@@ -5,8 +5,8 @@ inverted list of the vectors that name it; two vectors are candidates when they
 share at least ``SHARED`` pivots, and candidates are verified by their cosine in
 double precision. Equal vectors are one entry with a count.
 
-The pivots are a sample of at most ``MOST_PIVOTS`` distinct vectors (twice the square
-root of their number), in the order of a hash of their id, thinned: one whose cosine
+The pivots are a sample of the distinct vectors (twice the square root of their number,
+at most ``MOST_PIVOTS`` in all, which lengths share by their numbers but for ``LEAST_PIVOTS`` each), in the order of a hash of their id, thinned: one whose cosine
 with an earlier one is ``THIN`` or more is none. So a dense group has few pivots
 however large it is, and its members share them. Every vector is indexed. Lists are cut into blocks, and each pair of blocks of a list is one
 group: a list that holds a third of all vectors is many groups of bounded size.
@@ -14,10 +14,14 @@ A pair found in several lists counts in the list of its smallest shared pivot
 only. Groups return one row per linked vector - how many it links with, and
 the smallest of its own part of the group - never pairs.
 
-Defined cases: a vector that is null, empty or zero, holds a null or a non-finite
-component, or has another length than most vectors links with nothing, and so
-does a row with a null vec_id (its component is null); repeated rows are
-separate vectors; an empty table gives no rows; extra columns are ignored.
+Vectors link with vectors of their own length only. Each of the ``INDEXED`` lengths
+that most vectors have gets pivots of its own; any other length is one list, which
+is cut into blocks as every list is and compared whole.
+
+Defined cases: a vector that is null, empty or zero or holds a null or a non-finite
+component links with nothing, and so does a row with a null vec_id (its component is
+null); repeated rows are separate vectors; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from turnloom.llm.components import components, roots
 COSINE = 0.95
 NEAREST, SHARED = 12, 2
 LEAST_PIVOTS, MOST_PIVOTS = 32, 4096
+#: Lengths of vectors that get pivots of their own.
+INDEXED = 16
 #: Pivots lie further apart than this cosine; so many times the wanted pivots are looked at.
 THIN, LOOKED_AT = 0.8, 2
 BLOCK = 1024
@@ -46,15 +52,13 @@ DENSE, EARLIER = 16, 1000
 
 def _checked(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(vec_id, code, vec): unit-free doubles as bytes and their digest, both null where the row can't link."""
-    sizes = vectors.where(F.size(vector) > 0).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    length = sizes["n"] if sizes else 0
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, raw = [], []
             for own, known in zip(batch.column("v").to_pylist(), batch.column("k").is_valid().to_pylist(), strict=True):
                 x = None
-                if known and own is not None and len(own) == length and None not in own:
+                if known and own and None not in own:
                     x = np.array(own, np.float64) + 0.0
                     if not np.isfinite(x).all() or not np.isfinite(scale := np.abs(x).max()) or scale == 0:
                         x = None
@@ -88,21 +92,34 @@ def thinned(sample: np.ndarray, wanted: int) -> np.ndarray:
     return kept[:wanted]
 
 
-def _lists(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """One row per vector and pivot it names: pivot, rep, many, near (its pivots in order, as 32-bit integers), vec."""
+def _lists(nodes: DataFrame, pivots: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
+    """One row per vector and pivot it names: pivot, rep, many, near (its pivots in order, as 32-bit integers), vec.
+
+    ``pivots`` holds of a length the number of its first pivot and all of them; a length that it lacks names one pivot of its own.
+    """
     shared = nodes.sparkSession.sparkContext.broadcast(pivots)
-    k = min(NEAREST, len(pivots))
+
+    def nearest(size: int, vec: list[bytes]) -> np.ndarray:
+        if size not in shared.value:
+            return np.full((len(vec), 1), -size, np.int32)
+        first, own = shared.value[size]
+        likeness = unit(vec) @ own.T
+        k = min(NEAREST, len(own))
+        near = np.argpartition(-likeness, k - 1, axis=1)[:, :k]
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(likeness, near, 1), axis=1, kind="stable"), 1)
+        return (near + first).astype(np.int32)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                likeness = unit(part.column("vec").to_pylist()) @ shared.value.T
-                near = np.argpartition(-likeness, k - 1, axis=1)[:, :k]
-                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(likeness, near, 1), axis=1, kind="stable"), 1).astype(np.int32)
-                pick = np.repeat(np.arange(part.num_rows), k)
-                names = pa.array([row.tobytes() for row in near], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), *(part.column(c).take(pa.array(pick)) for c in ("rep", "many")), names.take(pa.array(pick)), part.column("vec").take(pa.array(pick))], ["pivot", "rep", "many", "near", "vec"])
+                sizes = part.column("size").to_numpy()
+                for size in np.unique(sizes):
+                    own = part.take(pa.array(np.flatnonzero(sizes == size)))
+                    near = nearest(int(size), own.column("vec").to_pylist())
+                    pick = pa.array(np.repeat(np.arange(own.num_rows), near.shape[1]))
+                    names = pa.array([row.tobytes() for row in near], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), *(own.column(c).take(pick) for c in ("rep", "many")), names.take(pick), own.column("vec").take(pick)], ["pivot", "rep", "many", "near", "vec"])
 
     return nodes.mapInArrow(rows, "pivot int, rep long, many long, near binary, vec binary")
 
@@ -141,7 +158,8 @@ def _group(cosine: float, shared: int):
                 common = ((ones[own] * earlier) @ ones[right].T)[p, q]
             else:
                 common = np.concatenate([np.zeros(0), *(_common(near[own[p[k : k + 65536]]], near[right[q[k : k + 65536]]], pivot) for k in range(0, len(p), 65536))])
-            kept = (common >= shared) & (common < EARLIER)
+            # A vector of few pivots can't share more than it names.
+            kept = (common >= min(shared, near.shape[1])) & (common < EARLIER)
             p, q = p[kept], q[kept]
             # The dot product of each pair by itself, in one order, settles what lies at the threshold.
             edge = np.flatnonzero(dots[p, q] < cosine + 1e-9)
@@ -169,18 +187,20 @@ def link(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector
     if n < 2:
         out = base.select("vec_id", alone.alias("n_links"), F.coalesce("rep", "vec_id").alias("component_id"))
         return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))
-    wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, round(2 * n**0.5)))
-    # At most LOOKED_AT * MOST_PIVOTS rows.
-    chosen = nodes.orderBy(F.xxhash64("rep"), "rep").limit(LOOKED_AT * wanted).select("vec").collect()
-    pivots = thinned(unit([bytes(r["vec"]) for r in chosen]), wanted)
+    nodes = nodes.withColumn("size", F.expr("octet_length(vec) div 8").cast("int"))
+    pivots, named = {}, 0
+    for size, held in nodes.groupBy("size").count().orderBy(F.desc("count"), "size").limit(INDEXED).collect():
+        wanted = max(LEAST_PIVOTS, min(MOST_PIVOTS * held // n, round(2 * held**0.5)))
+        # At most LOOKED_AT * MOST_PIVOTS rows, and so many times LEAST_PIVOTS of each length.
+        chosen = nodes.where(F.col("size") == size).orderBy(F.xxhash64("rep"), "rep").limit(LOOKED_AT * wanted).select("vec").collect()
+        pivots[size] = (named, thinned(unit([bytes(r["vec"]) for r in chosen]), wanted))
+        named += len(pivots[size][1])
     entries = cut(_lists(nodes, pivots), "pivot-lists")
     # One row per pivot.
     blocks = entries.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = entries.join(F.broadcast(blocks), "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "many", "near", "vec")
-    # Fewer pivots than SHARED can't be shared.
-    shared = min(SHARED, len(pivots))
-    found = cut(paired.groupBy("pivot", "low", "high").applyInPandas(_group(cosine, shared), "rep long, links long, root long"), "vector-links")
+    found = cut(paired.groupBy("pivot", "low", "high").applyInPandas(_group(cosine, SHARED), "rep long, links long, root long"), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found, "rep", "root")
     out = base.join(counts, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
