@@ -135,20 +135,32 @@ def canonical(text: Column, context: str = "user_message") -> Column:
     return tidy(F.array_join(F.transform(kept, lambda s: s["content"]), ""))
 
 
-def path_identity(path: Column) -> Column:
-    """A path's one form: escapes and file addresses decoded, drive letters lower, slashes single, dots resolved; blank is null."""
-    given = optional(path)
-    raw = F.when(given.rlike("(?i)%[0-9a-f]{2}"), decode_uri(given)).otherwise(given)
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that it reads several times: the value stands in the expression once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _unfiled(raw: Column) -> Column:
+    """Without the scheme of a file address."""
     host = F.regexp_extract(raw, "(?i)^file://([^/]*)", 1)
     rest = F.regexp_replace(raw, "(?i)^file://[^/]*", "")
-    raw = (
+    bare = (
         F.when(raw.rlike("(?i)^file://localhost/"), rest)
         .when(raw.rlike("(?i)^file://") & host.rlike("^[A-Za-z]:$"), F.concat(host, rest))
         .when(raw.rlike("(?i)^file://") & (host != ""), F.concat(F.lit("//"), host, rest))
         .when(raw.rlike("(?i)^file://"), rest)
         .otherwise(raw)
     )
-    raw = F.regexp_replace(F.replace(raw, F.lit("\\"), F.lit("/")), "^/([A-Za-z]:)", "$1")
+    return F.regexp_replace(F.replace(bare, F.lit("\\"), F.lit("/")), "^/([A-Za-z]:)", "$1")
+
+
+def path_identity(path: Column) -> Column:
+    """A path's one form: escapes and file addresses decoded, drive letters lower, slashes single, dots resolved; blank is null."""
+    decoded = bound(optional(path), lambda x: F.when(x.rlike("(?i)%[0-9a-f]{2}"), decode_uri(x)).otherwise(x))
+    return bound(bound(decoded, _unfiled), _resolved)
+
+
+def _resolved(raw: Column) -> Column:
     share = raw.startswith("//") & ~raw.rlike("^//[A-Za-z]:")
     single = F.regexp_replace(raw, "/+", "/")
     drive = single.rlike("^[A-Za-z]:") & ~share

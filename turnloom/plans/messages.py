@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnloom.functions.text import bound
 from turnloom.plans.registry import query, table
 from turnloom.sources import messages
 
 
 def _varint(n: Column) -> Column:
     """Hex of a number below 2^56 as a varint."""
-    n = n.cast("long")
+    return bound(n.cast("long"), _bytes)
+
+
+def _bytes(n: Column) -> Column:
     byte = lambda i: F.shiftright(n, 7 * i).bitwiseAND(F.lit(127)) + F.when(F.shiftright(n, 7 * (i + 1)) > 0, 128).otherwise(0)
     return F.concat(*(F.when((F.shiftright(n, 7 * i) > 0) | F.lit(i == 0), F.lpad(F.hex(byte(i)), 2, "0")).otherwise("") for i in range(8)))
 
@@ -22,7 +26,7 @@ def _number(field: int, n: Column) -> Column:
 
 def _held(field: int, content: Column) -> Column:
     """Hex of a field with a length, from the hex of its content."""
-    return F.concat(_varint(F.lit(field * 8 + 2)), _varint(F.length(content) / 2), content)
+    return bound(content, lambda x: F.concat(_varint(F.lit(field * 8 + 2)), _varint(F.length(x) / 2), x))
 
 
 def _text(field: int, content: Column) -> Column:

@@ -157,7 +157,7 @@ def companions(origins: DataFrame, files: DataFrame, home: str = ".gemini") -> D
     beside = files.select(F.translate("origin", "\\", "/").alias("origin"), "value")
     told = beside.select(take(dir_ + r"(tmp|history)/([^/]+)/[.]project_root$", 1).alias("root"), take(dir_ + r"(tmp|history)/([^/]+)/[.]project_root$", 2).alias("of"), take(dir_ + r"(tmp|history)/([^/]+)/[.]project_root$", 3).alias("project"), T.optional(F.col("value")).alias("said"))
     places = told.where("root IS NOT NULL AND said IS NOT NULL").groupBy("root", "project").agg(F.min_by("said", F.struct(F.col("of") == "history", "said")).alias("said"))
-    places = places.select("root", "project", T.path_identity(F.col("said")).alias("placed"))
+    places = settled(places.select("root", "project", T.path_identity(F.col("said")).alias("placed")), "companion-places")
     listed = beside.select(take(dir_ + r"projects[.]json$", 1).alias("root"), F.try_variant_get(F.try_parse_json("value"), "$.projects", "map<string,variant>").alias("m")).where("root IS NOT NULL")
     titles = listed.select("root", F.explode("m").alias("path", "label")).where(G._is(F.col("label"), "STRING")).select("root", "path", F.try_variant_get("label", "$", "string").alias("label"))
     of_path = titles.groupBy("root", F.col("path").alias("placed")).agg(F.min("label").alias("label"))
