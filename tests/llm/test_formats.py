@@ -130,6 +130,29 @@ def test_chat_escapes_and_branches(spark):
     assert chat.format_trees(messages.limit(0)).count() == 0
 
 
+def test_other_tokenizer_files_encode_whole_texts():
+    path = P.path("byte_bpe_50k.json")
+    texts = ["Two  Words\n and  Cases ", "", "a B"]
+    ids, counts = encoder(path, 2).encode([t.encode() for t in texts[:2]] + [None, texts[2].encode()])
+    own = Tokenizer.from_file(path)
+    want = [own.encode(t, add_special_tokens=False).ids + [2] for t in ("Two  Words\n and  Cases ", "", "", "a B")]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    assert encoder(WORDS, None).by_chunk
+
+
+def test_chat_of_repeated_nodes_and_cycles(spark):
+    rows = [(1, 1, None, "user", "ask", 0.5), (1, 2, 1, "assistant", "tell", 1.0), (1, 2, 1, "assistant", "tell", 1.0), (1, 1, None, "user", "ask again", 0.5), (1, None, 2, "user", "no node", 9.0)]
+    # A long chain in one tree, and cycles with rows that hang from them in others.
+    rows += [(2, i, i - 1 if i else None, "user", str(i), 1.0) for i in range(37)]
+    rows += [(3, 1, 2, "user", "round", 1.0), (3, 2, 1, "user", "round", 1.0), (3, 3, 2, "user", "hangs", 1.0), (4, 1, 1, "user", "itself", 1.0)]
+    messages = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = {r.tree: r for r in chat.format_trees(messages, top=None).select("tree", "leaf", chat.parse(F.col("formatted")).alias("turns")).collect()}
+    assert set(got) == {1, 2} and chat.format_trees(messages, top=None).count() == 2
+    assert [tuple(t) for t in got[1].turns] == [("user", "ask"), ("assistant", "tell")]
+    assert [t.text for t in got[2].turns] == [str(i) for i in range(37)]
+    assert chat.branches(messages.where("tree >= 3")).count() == 0
+
+
 def test_deep_chain(spark):
     rows = spark.range(300).select(F.lit(5).alias("conv"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
     out = chat.format_trees(chat.chain(rows, "conv", ["turn"], "role", "text")).select(chat.parse(F.col("formatted")).alias("t")).first().t

@@ -13,13 +13,16 @@ being searched.
 
 Defined cases: a null text counts as empty and a null role as the empty role;
 a null score counts as 0; a parent that isn't in the tree makes its row a root;
-rows on a parent cycle have no root and are left out; an empty table gives no
-rows; more columns of ``messages`` are ignored.
+rows on or under a parent cycle have no root and are left out; so are rows with a
+null node. Of rows that repeat a node of a tree the least by parent, role, text
+and score stays (nulls as just said, a null parent first). An empty table gives
+no rows; more columns of ``messages`` are ignored.
 
 Template, per turn: ``### role: text </turn>\\n``. Inside roles and texts a
 backslash becomes ``\\b``, ``</turn>`` becomes ``\\e`` and ``### `` becomes
-``\\r``; in roles ``:`` also becomes ``\\c``. Thus a control string in the output
-is always the template's, and ``parse`` gives back the very turns.
+``\\r``; in roles ``:`` also becomes ``\\c``. Thus no ``</turn>`` inside a role or
+text stands in the output, ``### `` stands before a turn's end only where a text
+ends in ``###``, and ``parse`` gives back the very turns.
 """
 
 from __future__ import annotations
@@ -29,9 +32,6 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.common import cut
 
-#: After so many doublings a node that still has no root stands on a cycle.
-MOST_ROUNDS = 40
-
 OPEN, CLOSE, BETWEEN, END = "### ", "</turn>", ": ", " </turn>\n"
 
 
@@ -72,26 +72,44 @@ def _jumps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Depth and score sum of each node that a root reaches, and its 1st, 2nd, 4th ... ancestors.
 
     A node is done once its known stretch ends at a root. Only the others are
-    joined again, so a few deep trees don't carry the shallow ones along.
+    joined again, so a few deep trees don't carry the shallow ones along. A node
+    deeper than the stretch has an ancestor that this round finishes; so a round
+    that finishes none leaves only nodes on or under cycles, and ends the search.
     """
     now = cut(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), "score"), "chat-jumps")
     done = now.where(F.col("up").isNull())
     ways = now.where(F.col("up").isNotNull())
     jumps: list[DataFrame] = []
-    while len(jumps) <= MOST_ROUNDS and not ways.isEmpty():
+    while not ways.isEmpty():
         jumps.append(ways.select("tree", "node", "up"))
         above = done.unionByName(ways).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
         now = cut(ways.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("score") + F.col("score2")).alias("score")), "chat-jumps")
-        done = done.unionByName(now.where(F.col("up").isNull()))
+        rooted = now.where(F.col("up").isNull())
+        if rooted.isEmpty():
+            break
+        done = done.unionByName(rooted)
         ways = now.where(F.col("up").isNotNull())
     return done.drop("up"), jumps
 
 
+def _once(messages: DataFrame) -> DataFrame:
+    """The least row of each node of a tree, without nulls in role, text and score."""
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
+    own = messages.where(F.col("node").isNotNull()).select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), score)
+    least = Window.partitionBy("tree", "node").orderBy("parent", "role", "text", "score")
+    return own.withColumn("copy", F.row_number().over(least)).where("copy = 1").drop("copy")
+
+
 def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     """Rows (tree, leaf, rank, depth, node) of the messages on each chosen path; depth is 1 at the root."""
-    nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    return _branches(_once(messages), top)
+
+
+def _branches(nodes: DataFrame, top: int | None) -> DataFrame:
+    own = nodes.schema["tree"].dataType
+    nodes = nodes.select("tree", "node", "parent", "score")
     # A null tree is a tree of its own: joins below need a key that equals itself.
-    nodes = nodes.withColumn("tree", F.struct(F.col("tree").isNull().alias("none"), F.coalesce("tree", F.lit(0).cast(messages.schema["tree"].dataType)).alias("id")))
+    nodes = nodes.withColumn("tree", F.struct(F.col("tree").isNull().alias("none"), F.coalesce("tree", F.lit(0).cast(own)).alias("id")))
     have = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     nodes = nodes.join(have, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "score")
     nodes = cut(nodes, "chat-nodes")
@@ -121,8 +139,9 @@ def format_trees(messages: DataFrame, top: int | None = 1, learn: str = "assista
     ``loss_spans`` holds (start, length) in code points of ``formatted``: the
     escaped text of each ``learn`` message, in order.
     """
-    on_path = branches(messages, top)
-    said = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    messages = _once(messages)
+    on_path = _branches(messages, top)
+    said = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     turns = on_path.join(said, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
     grouped = turns.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
     head = F.transform("turns", lambda x: F.concat(F.lit(OPEN), _escape_role(x["role"]), F.lit(BETWEEN)))

@@ -1,12 +1,15 @@
 """Whole texts to ids with the tokenizers library, one distinct chunk at a time.
 
-The word vocabulary drops white space and never merges across it, so the ids of
-a text are the ids of its chunks between ASCII white space, in order. Each task
-encodes a chunk when it first meets it and then copies the ids.
+The word vocabulary lower-cases, drops white space and never merges across it, so
+the ids of a text are the ids of its chunks between ASCII white space, in order.
+Each task encodes a chunk when it first meets it and then copies the ids. A
+tokenizer file with other settings may see white space or case, so its texts are
+encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -23,6 +26,20 @@ REMEMBERED = 1_000_000
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
 
 
+def forgets_white_space(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those of the word vocabulary: lower case, white space dropped, words of their own."""
+    steps = (settings.get("normalizer") or {}).get("normalizers", [])
+    cuts = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0]["behavior"], cuts[0]["invert"], cuts[1]["add_prefix_space"]) == ("Removed", True, False)
+        and settings["model"].get("end_of_word_suffix") == "</w>"
+        and settings.get("post_processor") is None
+    )
+
+
 class ChunkMemo:
     """Ids of chunks already met, in flat arrays, so that a whole batch is put together by array operations."""
 
@@ -65,6 +82,7 @@ class ChunkEncoder(ChunkMemo):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.end_id = end_id
+        self.by_chunk = forgets_white_space(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
@@ -99,8 +117,17 @@ class ChunkEncoder(ChunkMemo):
         of_odd = iter(self._one_by_one(odd))
         self._add(chunks, [of_word[m[1].lower()] + self.stops[m[2]] if m else next(of_odd) for m in parts])
 
+    def _whole(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, without chunks."""
+        end = [] if self.end_id is None else [self.end_id]
+        ids = [own + end for own in self._one_by_one([(t or b"").decode() for t in texts])]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many belong to each text (its end id included)."""
+        if not self.by_chunk:
+            return self._whole(texts)
         if len(self.number) > REMEMBERED:
             self._reset()
         chunks: list[bytes] = []
