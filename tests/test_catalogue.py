@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from turnloom.plans import bundles, catalogue, contexts, joined, lifecycle, links, messages, records, seeds  # noqa: F401  (they register their queries)
+from turnloom.plans import bundles, catalogue, contexts, joined, lifecycle, links, messages, records, seeds, surfaces  # noqa: F401  (they register their queries)
 from turnloom.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

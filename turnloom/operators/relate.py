@@ -93,6 +93,25 @@ def carry_forward(rows: DataFrame, key: list[str], order: list[str], value: Colu
     return rows.withColumn(into, F.last(value, ignorenulls=True).over(Window.partitionBy(*key).orderBy(*order)))
 
 
+def last_before(rows: DataFrame, key: list[str], order: list[str], value: Column, into: str) -> DataFrame:
+    """The last non-null value before the row; null where there is none."""
+    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(into, F.last(value, ignorenulls=True).over(before))
+
+
+def only_with(rows: DataFrame, key: str, wanted: DataFrame, vetoed: DataFrame) -> DataFrame:
+    """Rows whose key is among those of ``wanted`` and not among those of ``vetoed``; a null key is in neither."""
+    return rows.join(wanted.select(key).distinct(), key, "left_semi").join(vetoed.select(key).distinct(), key, "left_anti")
+
+
+def edges_of(edges: DataFrame, atoms: DataFrame, source: str, target: str, ident: str) -> DataFrame:
+    """Edges that start or end at one of ``atoms``, each once however many of its ends are there; repeated edges stay repeated."""
+    own = atoms.select(F.col(ident).alias("_a")).where("_a IS NOT NULL").distinct()
+    starts = edges.join(own, F.col(source) == F.col("_a"), "left_semi")
+    others = edges.join(own, F.col(source) == F.col("_a"), "left_anti")
+    return starts.unionByName(others.join(own, F.col(target) == F.col("_a"), "left_semi"))
+
+
 def revisions(old: DataFrame, new: DataFrame, key: str, signature: str, revision: str, manual: Column | None = None) -> DataFrame:
     """(key, event, revision, previous) of each key of a new snapshot: created at 1, unchanged as it was, or revised to the next number.
 

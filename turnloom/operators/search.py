@@ -7,6 +7,8 @@ columns reach the scan, and a page is a bounded top-k.
 
 from __future__ import annotations
 
+import base64
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,6 +74,11 @@ def ranked(rows: DataFrame, query: str, field: str, age_days: Column, fields: li
     return out.withColumn("highlights", spans(field, terms_of(query))).withColumn("score", relevance(F.size("highlights"), age_days))
 
 
+def by_relevance(when: str, ident: str) -> list[Column]:
+    """The order of results: best score, then latest (unknown times last), then smallest id."""
+    return [F.desc("score"), F.desc_nulls_last(when), F.asc(ident)]
+
+
 def page(rows: DataFrame, order: list, offset: int = 0, limit: int = 50) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 
@@ -91,6 +98,38 @@ def after_cursor(rows: DataFrame, order: list[tuple[str, bool]], cursor: dict |
     return rows.orderBy(*(F.desc(n) if d else F.asc(n) for n, d in order)).limit(limit)
 
 
+#: Version of a page token's own shape.
+TOKEN_VERSION = 1
+
+
+def page_token(offset: int) -> str:
+    """An opaque token of the page that starts at ``offset``."""
+    said = json.dumps({"v": TOKEN_VERSION, "offset": offset}, separators=(",", ":"))
+    return base64.urlsafe_b64encode(said.encode()).decode().rstrip("=")
+
+
+def offset_of(token: str | None) -> int:
+    """The offset that a token stands for; without one the first page. A token that ``page_token`` didn't give is a ValueError."""
+    if not token:
+        return 0
+    try:
+        said = json.loads(base64.b64decode(token + "=" * (-len(token) % 4), altchars=b"-_", validate=True))
+    except ValueError as e:
+        raise ValueError("a page token must be base64url of JSON") from e
+    if not isinstance(said, dict) or isinstance(said.get("v"), bool) or said.get("v") != TOKEN_VERSION:
+        raise ValueError(f"a page token must be of version {TOKEN_VERSION}")
+    offset = said.get("offset")
+    if isinstance(offset, bool) or not isinstance(offset, int) or offset < 0:
+        raise ValueError("a page token's offset must be a whole number from 0 on")
+    return offset
+
+
+def token_page(rows: DataFrame, order: list, token: str | None = None, limit: int = 50) -> tuple[DataFrame, str]:
+    """The page that a token stands for, and the token of the next one; the page after the last is empty."""
+    offset = offset_of(token)
+    return page(rows, order, offset, limit), page_token(offset + limit)
+
+
 def with_total(rows: DataFrame, order: list, offset: int = 0, limit: int = 50) -> tuple[DataFrame, DataFrame]:
     """A page, and one row with the number of all rows."""
     return page(rows, order, offset, limit), rows.agg(F.count("*").alias("total"))

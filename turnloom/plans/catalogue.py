@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom import session
 from turnloom.functions import text as T
 from turnloom.functions.user_text import split_user_text
-from turnloom.operators import derive, linking, relate, search, usage
+from turnloom.operators import derive, linking, relate, reports, search, usage
 from turnloom.plans.registry import query, table
 from turnloom.sources import generic
 
@@ -98,8 +98,8 @@ def _spawned(spark, sf_dir):
     """SELECT event_id, user_id, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_view FROM events""",
 )
 def _last_view(spark, sf_dir):
-    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(before).alias("last_view"))
+    view = F.when(F.col("event_type") == "view", F.col("event_id"))
+    return relate.last_before(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], view, "last_view").select("event_id", "user_id", "last_view")
 
 
 @query("carry_forward", """SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active FROM events""")
@@ -161,7 +161,7 @@ def _filtered(spark, sf_dir):
 
 @query("turn_summary", "SELECT coalesce(o_orderstatus, 'all') AS link_state, count(*) AS turns FROM orders GROUP BY GROUPING SETS ((o_orderstatus), ())")
 def _summary(spark, sf_dir):
-    return table(spark, sf_dir, "orders").rollup("o_orderstatus").agg(F.count("*").alias("turns")).select(F.coalesce("o_orderstatus", F.lit("all")).alias("link_state"), "turns")
+    return reports.summary(table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "link_state"), "link_state")
 
 
 WORDS = "the of"
@@ -262,8 +262,7 @@ def _alias(spark, sf_dir):
 @query("fallback_antijoin", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def _fallback(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
-    own = table(spark, sf_dir, "customer").select("c_custkey")
-    return own.join(orders.where("o_orderstatus = 'F'"), "c_custkey", "left_semi").join(orders.where("o_orderstatus = 'P'"), "c_custkey", "left_anti")
+    return relate.only_with(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'P'"))
 
 
 @query("orphan_antijoin", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 20) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem)")
@@ -274,7 +273,7 @@ def _orphans(spark, sf_dir):
 
 @query("project_rollup", f"WITH {USAGE_SQL} SELECT project, count(*) FILTER (link_state = 'F') AS committed, count(*) FILTER (link_state = 'P') AS candidate, count(DISTINCT session_id) AS sessions, max(day) AS last FROM u GROUP BY 1")
 def _projects(spark, sf_dir):
-    return usage_rows(spark, sf_dir).groupBy("project").agg(F.count_if(F.col("link_state") == "F").alias("committed"), F.count_if(F.col("link_state") == "P").alias("candidate"), F.countDistinct("session_id").alias("sessions"), F.max("day").alias("last"))
+    return reports.project_counters(usage_rows(spark, sf_dir), "project", "link_state", "session_id", "day", "F", "P")
 
 
 @query(
@@ -329,8 +328,7 @@ def _baseline(spark, sf_dir):
 
 @query("latest_per_group", "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def _latest(spark, sf_dir):
-    latest = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id", "value")).alias("m"))
-    return latest.select("user_id", "event_type", "m.event_id", "m.value")
+    return reports.last_of(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], "event_id", "value")
 
 
 @query(
@@ -338,14 +336,12 @@ def _latest(spark, sf_dir):
     """SELECT user_id, event_type, event_id, value, min(event_id) OVER (PARTITION BY user_id, event_type) AS place FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1""",
 )
 def _keep_max(spark, sf_dir):
-    best = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("value", (-F.col("event_id")).alias("o"))).alias("m"), F.min("event_id").alias("place"))
-    return best.select("user_id", "event_type", (-F.col("m.o")).alias("event_id"), "m.value", "place")
+    return reports.keep_max(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value", "event_id", "place")
 
 
 @query("tail_blob", "SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1")
 def _tail(spark, sf_dir):
-    best = table(spark, sf_dir, "documents").groupBy("source").agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("o"))).alias("m"))
-    return best.select("source", (-F.col("m.o")).alias("doc_id"), "m.n_chars")
+    return reports.keep_max(table(spark, sf_dir, "documents"), ["source"], "n_chars", "doc_id")
 
 
 @query("token_sum", "SELECT user_id, round(sum(coalesce(value, 0)), 2) AS total, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS model FROM events GROUP BY 1")
@@ -359,11 +355,7 @@ def _token_sum(spark, sf_dir):
 SELECT n AS turns, round(c / n, 4) AS linked, m AS sources, round(h / m, 4) AS healthy, round(greatest(0, least(1, 1 - (c / n + h / m) / 2)), 4) AS drift FROM t, s""",
 )
 def _drift(spark, sf_dir):
-    # Two one-row aggregates side by side.
-    t = table(spark, sf_dir, "orders").agg(F.count("*").alias("turns"), F.count_if(F.col("o_orderstatus") == "F").alias("c"), F.lit(1).alias("one"))
-    s = table(spark, sf_dir, "supplier").agg(F.count("*").alias("sources"), F.count_if(F.col("s_acctbal") > 0).alias("h"), F.lit(1).alias("one"))
-    linked, healthy = F.col("c") / F.col("turns"), F.col("h") / F.col("sources")
-    return t.join(s, "one").select("turns", F.round(linked, 4).alias("linked"), "sources", F.round(healthy, 4).alias("healthy"), F.round(T.clamp01(1 - (linked + healthy) / 2), 4).alias("drift"))
+    return reports.drift(table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F", table(spark, sf_dir, "supplier"), F.col("s_acctbal") > 0)
 
 
 @query(
@@ -373,39 +365,28 @@ n AS (SELECT date_trunc('day', ts) AS day, count(*) AS k FROM events GROUP BY 1)
 SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(k, 0) AS added, sum(coalesce(k, 0)) OVER (ORDER BY day)::BIGINT AS total FROM days LEFT JOIN n USING (day)""",
 )
 def _timeline(spark, sf_dir):
-    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    days = events.agg(F.max("day").alias("d")).select(F.explode(F.sequence(F.date_sub("d", 6), F.col("d"))).alias("day"))
-    added = days.join(events.groupBy("day").agg(F.count("*").alias("k")), "day", "left").withColumn("added", F.coalesce("k", F.lit(0)))
-    # Seven rows.
-    return added.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "added", F.sum("added").over(Window.orderBy("day")).alias("total"))
+    return reports.timeline(table(spark, sf_dir, "events"), "ts", 7)
 
 
 @query("stage_stats", "SELECT event_type AS stage, count(*) AS input, count(*) FILTER (value < 5) AS failures FROM events GROUP BY 1 UNION ALL SELECT 'index', 0, 0")
 def _stages(spark, sf_dir):
-    own = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("input"), F.count_if(F.col("value") < 5).alias("failures"))
-    # A stage without rows is listed with zeros.
-    return own.unionByName(spark.sql("SELECT 'index' AS stage, 0L AS input, 0L AS failures"))
+    return reports.stage_stats(table(spark, sf_dir, "events"), "event_type", F.col("value") < 5, ["view", "index"])
 
 
 @query("source_counts", "SELECT s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS records, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_suppkey = s_suppkey) AS sessions FROM supplier")
 def _sources(spark, sf_dir):
-    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("records"), F.countDistinct("l_orderkey").alias("sessions"))
-    out = table(spark, sf_dir, "supplier").select("s_suppkey").join(counts, "s_suppkey", "left")
-    return out.select("s_suppkey", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("sessions", F.lit(0)).alias("sessions"))
+    items = table(spark, sf_dir, "lineitem")
+    return reports.recount(table(spark, sf_dir, "supplier"), "s_suppkey", {"records": (items, "l_suppkey", None), "sessions": (items, "l_suppkey", "l_orderkey")})
 
 
 @query("overview_counts", "SELECT 'sources' AS what, count(*) AS n FROM supplier UNION ALL SELECT 'sessions', count(*) FROM customer UNION ALL SELECT 'turns', count(*) FROM orders UNION ALL SELECT 'records', count(*) FROM lineitem")
 def _overview_counts(spark, sf_dir):
-    parts = [table(spark, sf_dir, t).agg(F.lit(w).alias("what"), F.count("*").alias("n")) for w, t in (("sources", "supplier"), ("sessions", "customer"), ("turns", "orders"), ("records", "lineitem"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reports.counts({what: table(spark, sf_dir, t) for what, t in (("sources", "supplier"), ("sessions", "customer"), ("turns", "orders"), ("records", "lineitem"))})
 
 
 @query("inventory_bytes", "SELECT source, count(*) AS rows, sum(strlen(text))::BIGINT AS bytes, max(strlen(text)) AS largest FROM documents GROUP BY 1")
 def _inventory(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"), F.max(F.octet_length("text")).cast("long").alias("largest"))
+    return reports.inventory(table(spark, sf_dir, "documents"), "source", "text")
 
 
 @query(
@@ -414,16 +395,12 @@ def _inventory(spark, sf_dir):
 SELECT p_type, p_brand, n, k, greatest(0, all_labels - 3) AS more FROM r WHERE k <= 3""",
 )
 def _labels(spark, sf_dir):
-    counts = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("p_type")
-    ranked = counts.withColumn("k", F.row_number().over(by.orderBy(F.desc("n"), "p_brand"))).withColumn("more", F.greatest(F.lit(0), F.count("*").over(by) - 3))
-    return ranked.where("k <= 3").select("p_type", "p_brand", "n", "k", "more")
+    return reports.top_labels(table(spark, sf_dir, "part"), "p_type", "p_brand", 3)
 
 
 @query("related_work_rollup", "SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type NOT IN ('view', 'click')) AS others FROM events GROUP BY 1")
 def _related(spark, sf_dir):
-    kind = F.col("event_type")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(kind == "view").alias("views"), F.count_if(kind == "click").alias("clicks"), F.count_if(~kind.isin("view", "click")).alias("others"))
+    return reports.kinds(table(spark, sf_dir, "events"), "user_id", "event_type", {"views": "view", "clicks": "click"})
 
 
 @query(
@@ -433,9 +410,7 @@ FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_
 )
 def _lineage(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
-    joined = table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
-    out = joined.groupBy("o_orderkey").agg(F.countDistinct("p_partkey").alias("fragments"), F.array_sort(F.collect_set("p_brand")).alias("b"))
-    return out.select("o_orderkey", "fragments", F.size("b").cast("long").alias("blobs"), F.array_join("b", ",").alias("refs"))
+    return reports.lineage(table(spark, sf_dir, "orders"), "o_orderkey", items, "p_partkey", table(spark, sf_dir, "part"), "p_brand")
 
 
 SNAP = "SELECT o_custkey, max(o_orderstatus) AS sig, o_custkey % 3 + 1 AS rev, max(o_orderpriority) = '5-LOW' AS hand FROM orders WHERE o_orderdate {op} DATE '1998-01-01' GROUP BY 1"

@@ -35,6 +35,32 @@ def replace(rows: DataFrame, path: str, source: str = "source_id", sources: list
             target.getFileSystem(conf).delete(target, True)
 
 
+def verdicts(held: DataFrame, incoming: DataFrame, failed: DataFrame, source: str = "source_id", origin: str = "origin", session: str = "session") -> DataFrame:
+    """(source, origin, verdict) of each incoming or failed origin.
+
+    ``failed`` lists origins (source, origin) that were captured but not read acceptably: what they held stays (``failed``). An incoming origin is
+    replaced (``replace``), unless one of the sessions that it held is also held by a failed origin of its source: that session can't be
+    put together then, so the origin stays as it was (``veto``). An origin that held nothing is never vetoed. Null sessions are shared with none.
+    """
+    at = [source, origin]
+    bad = failed.select(*at).distinct()
+    parts = held.select(*at, session).where(F.col(session).isNotNull()).distinct()
+    stuck = parts.join(bad, at, "left_semi").select(source, session).distinct()
+    vetoed = parts.join(stuck, [source, session], "left_semi").select(*at).distinct().withColumn("_veto", F.lit(True))
+    asked = incoming.select(*at).distinct().join(bad, at, "left_anti").join(vetoed, at, "left")
+    good = asked.select(*at, F.when(F.col("_veto"), "veto").otherwise("replace").alias("verdict"))
+    return good.unionByName(bad.withColumn("verdict", F.lit("failed")))
+
+
+def merge_unless_vetoed(rows: DataFrame, failed: DataFrame, path: str, source: str = "source_id", origin: str = "origin", session: str = "session") -> DataFrame:
+    """``merge_by_origin`` of those origins whose verdict is to replace them; gives the verdicts. Rows of vetoed and failed origins aren't written."""
+    spark = rows.sparkSession
+    need_checkpoints(spark)
+    told = verdicts(_held(spark, path, rows), rows, failed, source, origin, session).checkpoint()
+    merge_by_origin(rows.join(told.where("verdict = 'replace'"), [source, origin], "left_semi").select(*rows.columns), path, source, origin)
+    return told
+
+
 def merge_by_origin(rows: DataFrame, path: str, source: str = "source_id", origin: str = "origin") -> None:
     """Put ``rows`` in place of what their sources held of the same origins; rows of a source's other origins stay."""
     spark = rows.sparkSession
