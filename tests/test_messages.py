@@ -3,6 +3,9 @@
 import base64
 import random
 
+from pyspark.sql import functions as F
+
+from turnloom.plans import messages as plans
 from turnloom.sources import messages
 
 
@@ -96,3 +99,10 @@ def test_trajectories(spark):
         ],
         key=str,
     )
+
+
+def test_queries_on_small_files_use_all_partitions(spark):
+    # What a row costs has nothing to do with its bytes, and these tables lie in one file.
+    for query in (plans._trajectories, plans._fields):
+        each = query(spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert each >= int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.text import bound
 from turnloom.plans.registry import query, table
+from turnloom.session import spread
 from turnloom.sources import messages
 
 
@@ -17,16 +18,23 @@ def _varint(n: Column) -> Column:
 
 def _bytes(n: Column) -> Column:
     byte = lambda i: F.shiftright(n, 7 * i).bitwiseAND(F.lit(127)) + F.when(F.shiftright(n, 7 * (i + 1)) > 0, 128).otherwise(0)
-    return F.concat(*(F.when((F.shiftright(n, 7 * i) > 0) | F.lit(i == 0), F.lpad(F.hex(byte(i)), 2, "0")).otherwise("") for i in range(8)))
+    long = F.concat(*(F.when((F.shiftright(n, 7 * i) > 0) | F.lit(i == 0), F.lpad(F.hex(byte(i)), 2, "0")).otherwise("") for i in range(8)))
+    # Most numbers are small.
+    return F.when(n.between(0, 127), F.lpad(F.hex(n), 2, "0")).otherwise(long)
+
+
+def _key(field: int, wire: int) -> Column:
+    """Hex of a field's key, which has one byte to field 15."""
+    return F.lit(f"{field * 8 + wire:02X}")
 
 
 def _number(field: int, n: Column) -> Column:
-    return F.concat(_varint(F.lit(field * 8)), _varint(n))
+    return F.concat(_key(field, 0), _varint(n))
 
 
 def _held(field: int, content: Column) -> Column:
     """Hex of a field with a length, from the hex of its content."""
-    return bound(content, lambda x: F.concat(_varint(F.lit(field * 8 + 2)), _varint(F.length(x) / 2), x))
+    return bound(content, lambda x: F.concat(_key(field, 2), _varint(F.length(x) / 2), x))
 
 
 def _text(field: int, content: Column) -> Column:
@@ -48,8 +56,8 @@ UNION ALL SELECT doc, '2.6', 5, NULL, '-LOW' FROM o WHERE p = '5-LOW'""",
 def _fields(spark, sf_dir):
     key = F.col("o_orderkey")
     inner = F.concat(_number(1, F.col("o_custkey")), _text(2, F.col("o_orderstatus")))
-    raw = F.concat(_number(1, key * 1000003), _text(2, F.col("o_orderpriority")), _held(3, inner), _varint(F.lit(37)), F.hex(F.lit("four")), _varint(F.lit(41)), F.hex(F.lit("and eigh")))
-    own = table(spark, sf_dir, "orders").select(key.alias("doc"), F.unhex(raw).alias("value"))
+    raw = F.concat(_number(1, key * 1000003), _text(2, F.col("o_orderpriority")), _held(3, inner), _key(4, 5), F.hex(F.lit("four")), _key(5, 1), F.hex(F.lit("and eigh")))
+    own = spread(table(spark, sf_dir, "orders"), "o_orderkey").select(key.alias("doc"), F.unhex(raw).alias("value"))
     out = messages.walk(own, depth=2).select("doc", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "wire", "number", F.col("payload").cast("string").alias("text"))
     # The nested message's own bytes are no text.
     return out.where("path <> '3'")
@@ -79,5 +87,5 @@ def _trajectories(spark, sf_dir):
     n = (key % 4).cast("int")
     whole = F.array_join(F.transform(F.filter(F.array(*(F.lit(i) for i in (1, 2, 3))), lambda i: i <= n), one), "")
     cut = F.when(key % 11 == 0, F.concat(F.left(whole, F.lit(20)), F.lit("0A"))).otherwise(whole)
-    own = table(spark, sf_dir, "customer").select(key.cast("string").alias("origin"), _base64(cut).alias("value"))
+    own = spread(table(spark, sf_dir, "customer"), "c_custkey").select(key.cast("string").alias("origin"), _base64(cut).alias("value"))
     return messages.trajectories(own, "x")

@@ -31,6 +31,12 @@ def need_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnloom-"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by keys over all shuffle partitions, for steps that cost much more than reading: small files otherwise lie in a few tasks."""
+    # A number that is given isn't lowered to the size of the rows, which says nothing about what they cost.
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the checkpoint folder and read again, which cuts its lineage; ``forget`` removes it, or the end of the application."""
     spark = df.sparkSession
