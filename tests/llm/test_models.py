@@ -1,9 +1,11 @@
 """Classifiers on held-out rows, packing, and the pipeline."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -180,3 +182,17 @@ def test_toxicity_of_long_and_repeated_texts(machine):
     model, clean = machine
     assert model.scores([b"the " * 30_000 + b"moron" + b" it" * 30_000, b"the " * 60_000])[0] >= 0.5 > model.scores([b"the " * 60_000])[0]
     assert len(set(model.scores([clean[0]] * 5).tolist())) == 1
+
+
+def test_memory_of_scoring_is_bounded(machine):
+    # A worker keeps what it once took, and in the pipeline the stages after it share the executor with it.
+    model, clean = machine
+    texts = [b" ".join(clean[i::40]).decode() for i in range(40)]
+    texts = texts * (1 + (2 << 20) // sum(map(len, texts)))
+    toxicity.scored(model, pa.array(texts[:2]))
+    tracemalloc.start()
+    got = toxicity.scored(model, pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    assert len(got) == len(texts) and np.allclose(got[:40], [model.scores([t.encode()])[0] for t in texts[:40]])

@@ -45,6 +45,8 @@ PARTS, ROWS = 10, 3
 ANCHOR_ROUNDS = 2
 #: Open members from which a bucket is crowded; documents and shingles of a block of a crowd; shingles multiplied at a time.
 CROWDED, BLOCK, BLOCK_SHINGLES, COLUMNS = 32, 256, 250_000, 4096
+#: Bytes of text whose words a worker takes at a time.
+PIECE = 1 << 18
 #: Members that one task compares with their anchor in a row; more are dealt to further tasks.
 GROUP = 500
 
@@ -122,7 +124,7 @@ def signatures(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: s
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", PIECE):
                 sets = shingle_sets(as_bytes(part.column("text")).to_pylist(), words)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 parts = band_parts([sets[i] for i in full]).view(np.int64) if full else np.zeros((0, 2 * PARTS), np.int64)
@@ -149,7 +151,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) ->
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, head = None, None
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", PIECE):
                 sets = shingle_sets(as_bytes(part.column("text")).to_pylist(), words)
                 found: list[tuple[int, int]] = []
                 for anchor, lot, doc, member, own in zip(*(part.column(c).to_pylist() for c in ("anchor", "lot", "doc", "is_member")), sets, strict=True):

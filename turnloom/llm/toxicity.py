@@ -44,6 +44,8 @@ from turnloom.llm.word_bpe import as_bytes, slices
 SAMPLE, OTHERS, LONGEST = 1500, 3, 20_000
 ORDER, SPAN, DECAY, STRETCH = 4, 6, 0.8, 8
 TABLE = 1 << 20
+#: Bytes of text that a worker scores at a time; it takes some 70 bytes of memory for each.
+PIECE = 1 << 18
 LANDMARKS, ROUNDS, RANDOM, HARD = 192, 4, 4000, 2000
 #: Positives at most, the commonest first; each has some thirty variants.
 POSITIVES = 200
@@ -407,6 +409,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     return model
 
 
+def scored(model: Model, texts: pa.Array) -> pa.Array:
+    """The scores of texts, PIECE bytes of them at a time."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    out = [model.scores(as_bytes(x.column("text")).to_pylist()) for x in slices(batch, "text", PIECE)]
+    return pa.array(np.concatenate(out) if out else [], pa.float64())
+
+
 def scorer(spark: SparkSession, model: Model):
     """A column function: the toxicity, 0 to 1, of a text column."""
     shared = spark.sparkContext.broadcast(model)
@@ -414,9 +423,7 @@ def scorer(spark: SparkSession, model: Model):
     @F.arrow_udf("double")
     def toxicity(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            batch = pa.RecordBatch.from_arrays([texts], ["text"])
-            scored = [shared.value.scores(as_bytes(x.column("text")).to_pylist()) for x in slices(batch, "text", 1 << 19)]
-            yield pa.array(np.concatenate(scored) if scored else [], pa.float64())
+            yield scored(shared.value, texts)
 
     def column(text: Column) -> Column:
         return toxicity(F.coalesce(text, F.lit("")))
