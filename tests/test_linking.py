@@ -120,3 +120,11 @@ def test_weak_paths(spark):
     paths = ["/root", "/ROOT", "/tmp", "/tmp/x", "/a/TEMP", "/a/scratchpad", "/a/codex-temp-1", "/x/.config/AionUi/aionui/claude-temp-9/in", "/roots", "/a/tmp/b", "/w/a"]
     rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", L.weak_path(F.col("p")).alias("w")).collect()
     assert [r.w for r in rows] == [True] * 8 + [False] * 3
+
+
+def test_observations_of_one_file_are_dealt_out(spark):
+    rows = [observed(id=f"o{i}", workspace_path=f"/w/{i % 7}") for i in range(200)]
+    one = spark.createDataFrame([tuple(o.get(f) for f in FIELDS) for o in rows], OBSERVED).coalesce(1)
+    out = L.Linked(one, spark.createDataFrame([], TURNS), spark.createDataFrame([], OVERRIDES))
+    held = [f for f in out.observations.inputFiles() if "turnloom-observations-" in f]
+    assert len(held) == int(spark.conf.get("spark.sql.shuffle.partitions")) and out.observations.count() == 200

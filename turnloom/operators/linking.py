@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
 from turnloom.operators.relate import as_of, keep
-from turnloom.session import forget, settled
+from turnloom.session import forget, settled, spread
 
 # Per candidate rule its base, what 2 and 3 sessions, 2 platforms and a repository root add, and its bounds.
 CANDIDATE = {
@@ -50,11 +50,9 @@ def subpath(path: Column, root: Column) -> Column:
     return F.when(path == root, ".").when(path.startswith(F.concat(root, F.lit("/"))), F.coalesce(F.nullif(below, F.lit("")), F.lit(".")))
 
 
-def _rule(when: Column, state: str, reason: Column | str, worth: Column | float, *parts: str | Column) -> Column:
-    reason = F.lit(reason) if isinstance(reason, str) else reason
+def _rule(when: Column, state: str, reason: str, worth: float, *parts: str | Column) -> Column:
     key = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    priority = F.array_position(F.array(*map(F.lit, REASONS)), reason).cast("int")
-    return F.when(when, F.struct(F.lit(state).alias("state"), reason.alias("reason"), (F.lit(worth) if isinstance(worth, float) else worth).alias("worth"), priority.alias("priority"), key.alias("key")))
+    return F.when(when, F.struct(F.lit(state).alias("state"), F.lit(reason).alias("reason"), F.lit(worth).alias("worth"), F.lit(REASONS.index(reason) + 1).alias("priority"), key.alias("key")))
 
 
 def rules(observations: DataFrame) -> DataFrame:
@@ -63,24 +61,25 @@ def rules(observations: DataFrame) -> DataFrame:
     An observation with a committed rule has no candidate ones.
     """
     names = ["host_id", "workspace_path", "repo_root", "repo_remote", "repo_fingerprint", "source_native_project_ref"]
-    host, path, root, remote, fingerprint, native = (F.nullif(F.col(c), F.lit("")) for c in names)
-    place = F.coalesce(subpath(path, root), path)
+    given = observations.select("id", *(F.nullif(F.col(c), F.lit("")).alias(c) for c in names))
+    host, path, root, remote, fingerprint, native = map(F.col, names)
+    # What several rules read is found in a step of its own.
+    rows = given.select("id", *names, F.coalesce(subpath(path, root), path).alias("_place"), weak_path(path).alias("_weak"))
+    place, weak = F.col("_place"), F.col("_weak")
     there = lambda *c: reduce(lambda a, b: a & b, [x.isNotNull() for x in c])
     at_host = [F.lit("host:"), host]
-    weak = F.when(weak_path(path), "weak_path_hint").otherwise("workspace_path_continuity")
-    committed = F.array(
-        _rule(there(fingerprint, place), "committed", "repo_fingerprint_match", 0.95, "fingerprint:", fingerprint, "|workspace:", place),
-        _rule(there(remote, host, place), "committed", "repo_remote_match", 0.85, *at_host, "|remote:", remote, "|workspace:", place),
-        _rule(there(root, host, place), "committed", "repo_root_match", 0.82, *at_host, "|repo_root:", root, "|workspace:", place),
+    printed, remoted, rooted = there(fingerprint, place), there(remote, host, place), there(root, host, place)
+    unsure = ~(printed | remoted | rooted)
+    found = F.array(
+        _rule(printed, "committed", "repo_fingerprint_match", 0.95, "fingerprint:", fingerprint, "|workspace:", place),
+        _rule(remoted, "committed", "repo_remote_match", 0.85, *at_host, "|remote:", remote, "|workspace:", place),
+        _rule(rooted, "committed", "repo_root_match", 0.82, *at_host, "|repo_root:", root, "|workspace:", place),
+        _rule(unsure & there(native, host), "candidate", "source_native_project", WORTH["source_native_project"], *at_host, "|native:", native),
+        _rule(unsure & there(path, host) & weak, "candidate", "weak_path_hint", WORTH["weak_path_hint"], *at_host, "|workspace:", path),
+        _rule(unsure & there(path, host) & ~weak, "candidate", "workspace_path_continuity", WORTH["workspace_path_continuity"], *at_host, "|workspace:", path),
+        _rule(unsure & there(remote, host), "candidate", "metadata_hint", WORTH["metadata_hint"], *at_host, "|remote_hint:", remote),
     )
-    candidate = F.array(
-        _rule(there(native, host), "candidate", "source_native_project", WORTH["source_native_project"], *at_host, "|native:", native),
-        _rule(there(path, host), "candidate", weak, F.when(weak_path(path), WORTH["weak_path_hint"]).otherwise(WORTH["workspace_path_continuity"]), *at_host, "|workspace:", path),
-        _rule(there(remote, host), "candidate", "metadata_hint", WORTH["metadata_hint"], *at_host, "|remote_hint:", remote),
-    )
-    sure = F.filter(committed, lambda r: r.isNotNull())
-    found = F.when(F.size(sure) > 0, sure).otherwise(F.filter(candidate, lambda r: r.isNotNull()))
-    return observations.select("id", F.explode(found).alias("r")).select("id", "r.*")
+    return rows.select("id", F.explode(found).alias("r")).where("r IS NOT NULL").select("id", "r.*")
 
 
 def components(edges: DataFrame, node: str, key: str) -> DataFrame:
@@ -138,7 +137,9 @@ def grouped(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = settled(rules(observations), "rules")
     # Keys of the two states differ, so one pass groups both without mixing them.
     members = settled(components(found, "id", "key").withColumnRenamed("node", "id"), "members")
-    keyed = found.join(members, "id").groupBy("component", "state", "key").agg((F.countDistinct("id") > 1).alias("shared"), F.min("priority").alias("priority"), F.min_by("reason", "priority").alias("reason"), F.min_by("worth", "priority").alias("worth"))
+    # A reason is known by its priority, so the groups hold numbers alone.
+    keyed = found.join(members, "id").groupBy("component", "state", "key").agg((F.min("id") != F.max("id")).alias("shared"), F.min("priority").alias("priority"), F.min_by("worth", "priority").alias("worth"))
+    keyed = keyed.withColumn("reason", F.element_at(F.array(*map(F.lit, REASONS)), F.col("priority")))
     named = pick_rule(keyed, "component", "shared", "priority", "worth", "key")
     sizes = metrics(observations.join(members, "id"), "component", "session_ref", "source_platform", F.coalesce(F.nullif("repo_root", F.lit("")).isNotNull(), F.lit(False)))
     both = named.join(sizes, "component")
@@ -187,6 +188,8 @@ class Linked:
         source_native_project_ref); ``turns``: (id, session_id, last_context_activity_at, submission_started_at); ``overrides``: (target_kind,
         target_ref, project_id, display_name, created_at, updated_at), one a target, target_ref as text.
         """
+        # Rules cost more than reading, and observations are read several times, so they are dealt out once.
+        observations = settled(spread(observations, "id"), "observations")
         projects, links = grouped(observations)
         projects, links = settled(projects, "projects"), settled(links, "project-links")
         manual = by_hand(overrides)
@@ -203,7 +206,7 @@ class Linked:
         self.observations = seen.select(*observations.columns, F.coalesce("_by_hand", "_p").alias("project_id"), F.when(by_hand_, "committed").otherwise(F.col("_s")).alias("state"), F.when(by_hand_, "manual_override").otherwise(F.col("_r")).alias("reason"))
 
         known = projects.select("project_id", "state", "confidence").unionByName(manual.join(projects, "project_id", "left_anti").select("project_id", F.lit("committed").alias("state"), F.lit(1.0).alias("confidence")))
-        linked = self.observations.where("project_id IS NOT NULL")
+        linked = settled(self.observations.where("project_id IS NOT NULL").select("id", "session_ref", "observed_at", "project_id"), "linked")
         # Of observations made at once the one with the largest id counts as the last.
         held = linked.select(F.col("session_ref").alias("session_id"), "observed_at", F.struct("id", "project_id").alias("_found"))
         asked = chosen(turns, {"turn": "id", "session": "session_id"})
