@@ -148,3 +148,11 @@ def test_likeness():
     assert like("Do **it**", "do it") and like("write the parser tests quickly", "write parser test quick") is False
     assert like("write parser tests for errors", "write the parser test for error now") and not like("one two", "one three") and not like(None, "") and not like("", "x")
     assert like("please rename all of the files", "well: please rename all of the files, and more words that don't matter at all here")
+
+
+def test_parts_of_a_deletion_do_not_share_tasks(spark):
+    # A union's branches that still sort share a stage's tasks, so whole tables meet in a few.
+    from turnloom.plans import lifecycle as plans
+
+    for query in (plans._delete, plans._purge):
+        assert "Exchange" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

@@ -1,7 +1,7 @@
 """Collection, deletion and tombstones, and what a rebuild has to touch.
 
-Every function takes tables and gives the tables that are left, with the tombstones of what went; nothing is written. A
-tombstone log is kept by logical id, so that purging again changes nothing, and ``alive`` is what readers see.
+Every function takes tables and gives the tables that are left, with the tombstones of what went; nothing is written but tables
+in between. A tombstone log is kept by logical id, so that purging again changes nothing, and ``alive`` is what readers see.
 """
 
 from __future__ import annotations
@@ -103,13 +103,16 @@ def delete_project(history: History, project_id: str, reason: str, now: str, rev
     A project of which nothing is left and that has its tombstone changes nothing.
     """
     of_project = F.col("project_id") == project_id
-    gone = history.turns.where(of_project)
+    mine = history.turns.where(of_project)
+    # What went is read by every table's step, so it is found once; what it named of blobs is read by one alone.
+    gone = settled(mine.select("turn_id", "revision_id", "session_id", "candidate_refs"), "gone-turns")
     left = history.turns.where(~F.coalesce(of_project, F.lit(False)))
     touched = gone.select("session_id").distinct()
     kept_sessions = left.groupBy("session_id").agg(F.count("*").alias("_n"), F.max("last_activity_at").alias("_last"))
-    gone_sessions = touched.join(kept_sessions, "session_id", "left_anti")
-    blobs = _unreferenced(history.turns, gone, left)
+    gone_sessions = settled(touched.join(kept_sessions, "session_id", "left_anti"), "gone-sessions")
+    blobs = _unreferenced(history.turns, mine, left)
     observed = history.observations.where(of_project).select("id").unionByName(history.observations.join(gone_sessions, "session_id", "left_semi").select("id")).distinct()
+    observed = settled(observed, "gone-observations")
     candidates = observed.unionByName(gone.select(F.explode("candidate_refs").alias("id"))).distinct()
 
     recount = kept_sessions.join(touched, "session_id", "left_semi")
@@ -124,7 +127,7 @@ def delete_project(history: History, project_id: str, reason: str, now: str, rev
 
     refs = history.artifacts.select("artifact_id", F.explode_outer("turn_refs").alias("turn_id")).join(gone.select("turn_id", F.lit(True).alias("_gone")), "turn_id", "left")
     refs = refs.groupBy("artifact_id").agg(F.array_sort(F.collect_set(F.when(F.col("_gone").isNull(), F.col("turn_id")))).alias("_left"), F.bool_or(F.col("_gone").isNotNull()).alias("_hit"))
-    marked = history.artifacts.join(refs, "artifact_id")
+    marked = settled(history.artifacts.join(refs, "artifact_id"), "marked-artifacts")
     dead = F.coalesce(of_project, F.lit(False)) | (F.col("_hit") & (F.size("_left") == 0))
     spent = marked.where(dead)
     artifacts = marked.where(~dead).withColumns({"revision": F.when(F.col("_hit"), F.col("revision") + 1).otherwise(F.col("revision")), "turn_refs": F.when(F.col("_hit"), F.col("_left")).otherwise(F.col("turn_refs"))}).select(*history.artifacts.columns)

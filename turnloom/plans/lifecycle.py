@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from turnloom.operators import lifecycle as L
 from turnloom.operators import variants
 from turnloom.plans.registry import query, table
+from turnloom.session import settled
 
 NOW = "2024-06-01"
 
@@ -33,6 +36,11 @@ def history(spark, sf_dir) -> L.History:
     )
 
 
+def together(*parts):
+    """The rows of all parts. Each is written in a step of its own: in one plan the branches of a union share its tasks, few each, which then sort whole tables."""
+    return reduce(lambda a, b: a.unionByName(b), [settled(p, "part") for p in parts])
+
+
 @query("candidate_archive", "SELECT o_orderkey::VARCHAR AS turn_id, CASE WHEN o_orderstatus = 'O' AND o_orderdate < DATE '1998-01-01' THEN 'archived' ELSE 'active' END AS value_axis, CASE WHEN o_orderstatus = 'O' AND o_orderdate < DATE '1998-01-01' THEN 'keep_raw_only' ELSE 'keep_raw_and_derived' END AS retention_axis FROM orders")
 def _archive(spark, sf_dir):
     return L.collect_candidates(history(spark, sf_dir), "1998-01-01", NOW).turns.select("turn_id", "value_axis", "retention_axis")
@@ -49,7 +57,7 @@ def _purge(spark, sf_dir):
     once = L.collect_candidates(history(spark, sf_dir), "1999-01-01", NOW, "purge")
     out = L.purge(once, once.tombstones.select(F.col("logical_id").alias("turn_id")), "again", "2025-01-01")
     rows = lambda kind, df, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
-    return rows("turn", out.turns, "turn_id").unionByName(rows("tombstone", out.tombstones.where(F.col("purged_at") == NOW), "logical_id")).unionByName(rows("blob", out.blobs, "blob_id"))
+    return together(rows("turn", out.turns, "turn_id"), rows("tombstone", out.tombstones.where(F.col("purged_at") == NOW), "logical_id"), rows("blob", out.blobs, "blob_id"))
 
 
 @query(
@@ -72,7 +80,7 @@ def _delete(spark, sf_dir):
     def rows(kind, df, key, detail=none):
         return df.select(F.lit(kind).alias("kind"), (F.col(key) if isinstance(key, str) else key).alias("id"), detail.alias("detail"))
 
-    parts = [
+    return together(
         rows("turn", out.turns, "turn_id"),
         rows("session", out.sessions, "session_id", F.concat_ws("/", F.col("turn_count").cast("string"), "updated_at")),
         rows("observation", out.observations, "id"),
@@ -80,11 +88,7 @@ def _delete(spark, sf_dir):
         rows("audit", out.audits, "id"),
         rows("artifact", out.artifacts, "artifact_id", F.concat_ws("/", F.col("revision").cast("string"), F.size("turn_refs").cast("string"))),
         rows("tombstone", out.tombstones, F.concat_ws(":", "object_kind", "logical_id")),
-    ]
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    return all_
+    )
 
 
 def scope(spark, sf_dir):
