@@ -7,6 +7,9 @@ return the columns of ``documents``; the last returns the packed pieces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,28 +25,45 @@ PASSAGE_WORDS = 51
 PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 
 
+def bounded(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """What the stage writes goes through Python in small batches, whoever calls it: workers keep the memory that they once took."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with small_batches(spark):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the subsequence-kernel machine doesn't reject; it learns from the training folds of ``labels``."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels").where(~held_out()))
     (score,) = fresh(docs, "toxicity")
-    return toxicity.score(docs, model, into=score).where(F.col(score) < TOXIC).drop(score)
+    # Written here, as the caller's batches may hold all texts of a task.
+    return cut(toxicity.score(docs, model, into=score).where(F.col(score) < TOXIC).drop(score), "not-toxic")
 
 
+@bounded
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The best row of each group of equal texts."""
     return exact_dedup.keep_best(docs)
 
 
+@bounded
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
     return near_dedup.keep_first(docs)
 
 
+@bounded
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages of over 50 words, or of 400 bytes, that occur more than once."""
     return suffix_dedup.strip(docs, PASSAGE_BYTES, words=PASSAGE_WORDS).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
     out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)

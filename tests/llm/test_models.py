@@ -196,3 +196,13 @@ def test_memory_of_scoring_is_bounded(machine):
     tracemalloc.stop()
     assert peak < 32 << 20
     assert len(got) == len(texts) and np.allclose(got[:40], [model.scores([t.encode()])[0] for t in texts[:40]])
+
+
+def test_scores_of_the_pipeline_are_written_in_small_batches(spark):
+    # What a stage returns runs with the batches of whoever writes it, which held all texts of a task.
+    import corpus_pipeline
+    from __spark_entry__ import queries
+
+    sf = "/root/testdata/sf0.001"
+    for out in (corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf), queries()["op10_toxicity"](spark, sf)):
+        assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and out.count()
