@@ -269,3 +269,20 @@ def test_near_dedup_of_repeated_ids(spark):
 def test_exact_dedup_keeps_the_longest_of_one_id(spark):
     docs = spark.createDataFrame([(1, "a b", 1), (1, "a     b", 2), (1, "ab", 3), (2, "a  b", 4)], "doc_id long, text string, row int").repartition(3)
     assert [tuple(r) for r in exact_dedup.keep_best(docs).collect()] == [(1, "a     b", 2)]
+
+
+def test_only_windows_that_may_meet_are_walked(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes()
+    gram, half = text(suffix_dedup.GRAM), (400 - suffix_dedup.GRAM) // 2
+    taken, sort = [], suffix_dedup.repeats
+    monkeypatch.setattr(suffix_dedup, "repeats", lambda data, length: taken.append(len(data)) or sort(data, length))
+    # Segments of one anchor: all apart; one that stands for two, alone; and two that share 300 bytes before it and 100 behind.
+    apart = [(1, i, 1, 300, text(300) + gram + text(300)) for i in range(5)]
+    twice = [(2, 9, 2, 300, text(300) + gram + text(300))]
+    shared = text(300) + gram + text(100)
+    some = [(3, i, 1, 310, bytes([65 + i]) * 10 + shared + text(150)) for i in range(2)]
+    runs = {(a, d): [(r["first"], r["last"]) for r in own] for b in suffix_dedup.walked(iter(apart + twice + some), 400) for a, d, own in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert runs == {(2, 9): [(0, 232)], (3, 0): [(10, 42)], (3, 1): [(10, 42)]}
+    # Of those two, windows that start at least half before the anchor.
+    assert sum(taken) == 2 * (310 - half + 400 + 1)
