@@ -1,6 +1,8 @@
 """Hashing, token files, byte-level encoding and chat formatting: round trips and public libraries as references."""
 
 import base64
+import string
+import unicodedata
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from turnloom.llm import byte_bpe, chat, token_store
+from turnloom.llm import byte_bpe, chat, token_store, word_bpe
 from turnloom.llm.common import small_batches
 from turnloom.llm.mphf import MinimalPerfectHash
 from turnloom.llm.word_bpe import encoder
@@ -140,6 +142,27 @@ def test_other_tokenizer_files_encode_whole_texts():
     assert encoder(WORDS, None).by_chunk
 
 
+def test_words_are_learned_once(monkeypatch):
+    monkeypatch.setattr(word_bpe, "REMEMBERED", 200)
+    coder, learned = word_bpe.ChunkEncoder(WORDS, None), []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda chunks: learned.extend(chunks) or learn(chunks))
+    # Capitals and forgotten words: "The", "nación." and "and" stay known, the others were met once. The last texts keep their case.
+    texts = [f"The nación. THE the AND and nación. x{i}y {'abc'[i % 3] * i}q{'.!?)_'[i % 5] * (i % 7)} Été's{i}" for i in range(1, 150)]
+    texts += ["H\u0331 h\u0331 J\u030c.", "<|ENDOFTEXT|> Ab<|endoftext|>C", "\u212aelvin 'S don'T A'", "word''. naïve\u0301 (The)"]
+    want = [x.ids for x in Tokenizer_().encode_batch(texts, add_special_tokens=False)]
+    for text, own in zip(texts, want, strict=True):
+        assert coder.encode([text.encode()])[0].tolist() == own
+    assert all(learned.count(w) == 1 for w in ("the".encode(), "nación.".encode(), b"and")) and coder.n < 400
+    ids, counts = coder.encode([t.encode() for t in texts])
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_only_marks_compose_with_letters():
+    joined = {c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))) if any(len(unicodedata.normalize("NFC", x + c)) == 1 for x in string.ascii_letters)}
+    assert joined and all(c.encode()[:1] in word_bpe.MARKS for c in joined)
+
+
 def test_chat_of_repeated_nodes_and_cycles(spark):
     rows = [(1, 1, None, "user", "ask", 0.5), (1, 2, 1, "assistant", "tell", 1.0), (1, 2, 1, "assistant", "tell", 1.0), (1, 1, None, "user", "ask again", 0.5), (1, None, 2, "user", "no node", 9.0)]
     # A long chain in one tree, and cycles with rows that hang from them in others.
