@@ -102,6 +102,19 @@ def test_suffix_query(spark, docs):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(r), len(r) - len(kept), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup_query_shows_what_stays(spark, tmp_path):
+    # Of passages of over 50 words the one of 400 bytes goes, that of fewer bytes stays; a character cut in two is marked.
+    passage, short = (" ".join(f"{w}{i:03d}" for i in range(60)) for w in ("wörd", "w"))
+    texts = [f"one {passage} end", f"two {passage} {short} too", f"three {short}", "é" + "a" * 399, "ĩ" + "a" * 399, None, ""]
+    assert len(passage.encode()) >= 400 > len(short)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op8_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert [got[i].text for i in range(7)] == ["oneend", f"two{short} too", f"three {short}", "\ufffd", "\ufffd", None, ""]
+    for r in got.values():
+        if "\ufffd" not in (r.text or ""):
+            assert r.kept_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
 def test_packing_query(spark, docs):
     want, got = word_ids(docs), rows_of(spark, "op9_packing")
     sequences = {}
